@@ -19,8 +19,8 @@ from loamspark.session import materialize
 
 SLOT = ["entity", "property"]
 VERSION = [*SLOT, "value", "valid_from_us", "valid_to_us"]
-#: Children of an inner node, and levels below the root: 64 ** 3 leaves, however large the data.
-FANOUT, LEVELS = 64, 3
+#: Children of an inner node, and levels below the root: 512 ** 2 leaves, however large the data.
+FANOUT, LEVELS = 512, 2
 #: Parts of the time axis with about as many claims each; a slot's claims of one part are ordered in one task.
 TIME_PARTS = 64
 
@@ -48,35 +48,38 @@ def claims_from(items: DataFrame, as_of: Column | None = None) -> DataFrame:
     return claims.withColumn("leaf", leaf_of(*SLOT))
 
 
-def leaf_digests(claims: DataFrame, value: str = "value") -> DataFrame:
-    """(leaf, digest) of a snapshot; at most FANOUT ** LEVELS rows. Xor of 128-bit claim hashes, so order is free."""
-    parts = [F.col(x) for x in (*SLOT, "t", value)]
-    return (
-        claims.where(F.col(value).isNotNull())
-        .groupBy("leaf")
-        .agg(F.bit_xor(F.xxhash64(*parts)).alias("a"), F.bit_xor(F.xxhash64(F.lit("second"), *parts)).alias("b"), F.count(F.lit(1)).alias("n"))
-        .select("leaf", F.sha2(F.concat_ws("/", "a", "b", "n"), 256).alias("digest"))
-    )
+def leaf_digests(claims: DataFrame) -> DataFrame:
+    """(node, was, is): each leaf's digest in the older and the newer snapshot; at most FANOUT ** LEVELS rows.
+
+    A digest is the xor of 128-bit claim hashes, so order is free, and their number; null if the leaf has no claim.
+    """
+
+    def digest(value: str) -> Column:
+        here, parts = F.col(value).isNotNull(), [F.col(x) for x in (*SLOT, "t", value)]
+        xor = [F.bit_xor(F.when(here, F.xxhash64(*salt, *parts))) for salt in ([], [F.lit("second")])]
+        return F.concat_ws("/", *xor, F.count_if(here))
+
+    return claims.groupBy(F.col("leaf").alias("node")).agg(digest("old_value").alias("was"), digest("value").alias("is"))
 
 
 def tree(leaves: DataFrame) -> list[DataFrame]:
-    """Levels of the hash tree from the root down to the leaves, each (node, digest). An empty snapshot has no node."""
-    levels = [leaves.select(F.col("leaf").alias("node"), "digest")]
+    """Levels of both snapshots' hash trees from the root down to the leaves, each (node, was, is)."""
+    levels = [leaves]
     for _ in range(LEVELS):
-        below = levels[0].select((F.col("node") / FANOUT).cast("int").alias("up"), "node", "digest")
-        levels.insert(0, below.groupBy("up").agg(F.array_sort(F.collect_list(F.struct("node", "digest"))).alias("kids")).select(F.col("up").alias("node"), F.sha2(F.to_json("kids"), 256).alias("digest")))
+        kids = levels[0].groupBy((F.col("node") / FANOUT).cast("int").alias("up")).agg(F.array_sort(F.collect_list(F.struct("node", "was", "is"))).alias("kids"))
+        one = lambda x: F.sha2(F.to_json(F.transform("kids", lambda k: F.struct(k.node, k[x]))), 256)
+        levels.insert(0, kids.select(F.col("up").alias("node"), one("was").alias("was"), one("is").alias("is")))
     return levels
 
 
-def changed_leaves(old: list[DataFrame], new: list[DataFrame]) -> DataFrame:
+def changed_leaves(levels: list[DataFrame]) -> DataFrame:
     """Leaves whose digests differ: from the root down, only children of differing nodes are compared."""
     differing: DataFrame | None = None
-    for a, b in zip(old, new, strict=True):
-        a, b = a.select("node", F.col("digest").alias("was")), b.select("node", F.col("digest").alias("is"))
+    for nodes in levels:
         if differing is not None:
             up = F.broadcast(differing.select(F.col("node").alias("up")))  # at most FANOUT ** level rows
-            a, b = (x.join(up, (F.col("node") / FANOUT).cast("int") == F.col("up"), "left_semi") for x in (a, b))
-        differing = a.join(b, "node", "full").where(~F.col("was").eqNullSafe(F.col("is"))).select("node")
+            nodes = nodes.join(up, (F.col("node") / FANOUT).cast("int") == F.col("up"), "left_semi")
+        differing = nodes.where(F.col("was") != F.col("is")).select("node")
     return differing.withColumnRenamed("node", "leaf")
 
 
@@ -126,8 +129,8 @@ def append_snapshot(log: DataFrame, claims: DataFrame, splits: list[int], snapsh
 
     log: (entity, property, value, valid_from_us, valid_to_us, op, snapshot). Only slots in changed leaves are read.
     """
-    leaves = changed_leaves(tree(leaf_digests(claims, "old_value")), tree(leaf_digests(claims, "value")))
-    slots = changed_slots(claims, leaves)
+    leaves = changed_leaves(tree(materialize(leaf_digests(claims), "leaves")))
+    slots = materialize(changed_slots(claims, leaves), "slots")
     fresh = versions(claims.join(slots, SLOT, "left_semi"), splits).withColumn("op", F.lit(1))
     held = current_versions(log).join(slots, SLOT, "left_semi").withColumn("op", F.lit(-1))
     diff = fresh.unionByName(held).groupBy(*VERSION).agg(F.sum("op").cast("int").alias("op")).where(F.col("op") != 0)
