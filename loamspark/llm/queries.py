@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamspark.llm import bpe, group_topn, leakage
+from loamspark.llm import bpe, group_topn, leakage, mojibake
 from loamspark.llm.sql import SQL  # noqa: F401
 from loamspark.session import table
 
@@ -29,4 +29,13 @@ def p7_reparameterised(spark, sf_dir):
     return _leaks(spark, sf_dir).where("verbatim = 0 AND reparameterised > 0").select("doc_id", "item_id", "reparameterised")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p6_ids, p7_found, p7_reparameterised)}
+def p8_found(spark, sf_dir):
+    return mojibake.garbled_documents(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p8_restored(spark, sf_dir):
+    """Garbled documents with their original text, null where it is lost for good."""
+    return mojibake.restored_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p6_ids, p7_found, p7_reparameterised, p8_found, p8_restored)}
