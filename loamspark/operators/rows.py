@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 def current_struct(order: str, fields: Sequence[str]) -> Column:
     """Struct whose maximum belongs to the current row: greatest order, then content, null orders last."""
-    return F.struct(F.col(order).isNotNull().alias("_has"), F.col(order).alias("_order"), *[F.col(x) for x in fields])
+    return F.struct(F.col(order).isNotNull().alias("_has"), F.col(order).alias("_order"), *[F.col(x) for x in fields if x != order])
 
 
 def current_rows(df: DataFrame, key: str, order: str, fields: Sequence[str]) -> DataFrame:
-    """One row per key: that with the greatest order (ties by content, so a rerun gives the same row).
+    """(key, fields) with one row per key: that with the greatest order (ties by content, so a rerun gives the same).
 
     Rows with a null key are left out. The maximum is combined map-side, so a key with a third of all rows
     costs one row per map task in the shuffle.
     """
     best = F.max(current_struct(order, fields)).alias("_best")
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(best).select(key, *[F.col(f"_best.{x}").alias(x) for x in fields])
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(best).select(key, *[F.col(f"_best.{'_order' if x == order else x}").alias(x) for x in fields])
