@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from loamspark.llm import batch_dedup, bpe, group_topn, leakage, mojibake
+from loamspark.llm import batch_dedup, bpe, curve_knn, group_topn, leakage, mojibake
 from loamspark.llm.sql import SQL  # noqa: F401
 from loamspark.session import table
 
 
+def p1_found(spark, sf_dir):
+    return curve_knn.similar_chunks(spark, sf_dir)
+
+
 def p3_found(spark, sf_dir):
     return batch_dedup.duplicate_claims(spark, sf_dir)
 
@@ -42,4 +46,4 @@ def p8_restored(spark, sf_dir):
     return mojibake.restored_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p6_ids, p7_found, p7_reparameterised, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p6_ids, p7_found, p7_reparameterised, p8_found, p8_restored)}
