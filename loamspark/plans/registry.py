@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loamspark.plans import problems
+from loamspark.plans import problems, store_queries
 
-MODULES = [problems]
+MODULES = [problems, store_queries]
 
 
 def queries():
