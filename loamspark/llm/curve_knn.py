@@ -24,6 +24,8 @@ from loamspark.operators.rows import current_rows
 from loamspark.session import materialize, table
 
 DIMENSIONS = 384
+#: Negative cosines are told between orderings in steps of 1 / FAR, far below the error of quantisation.
+FAR = 16_383
 #: Keys with several rows that are broadcast; more are joined.
 BROADCAST_KEYS = 1_000_000
 
@@ -86,17 +88,19 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 class Orderings:
     """Landmarks, projections and split points of all orderings, fitted on a sample of unit vectors."""
 
-    def __init__(self, sample: np.ndarray, rows: int, s: Settings) -> None:
+    def __init__(self, quantised: np.ndarray, rows: int, s: Settings) -> None:
         self.s = s
-        self.maps, self.splits = [], []
+        sample = _normal(quantised)
+        self.maps, self.splits, self.unit = [], [], {}
         parts = max(1, -(-rows // s.partition_rows))
         for t in range(s.orderings):
             rng = np.random.default_rng(t)
-            marks = sample[rng.permutation(len(sample))[: s.landmarks]]
+            chosen = rng.permutation(len(sample))[: s.landmarks]
+            marks = sample[chosen]
             onto = marks @ rng.standard_normal((sample.shape[1], s.dimensions)).astype(np.float32)
             y = self._project(sample, marks, onto)
             edges = np.quantile(y, np.linspace(0, 1, 257)[1:-1], axis=0).astype(np.float32)
-            self.maps.append((marks, onto, edges))
+            self.maps.append((quantised[chosen], onto, edges))
             keys = np.sort(self._keys(y, edges))
             self.splits.append(keys[(np.arange(1, parts) * len(keys)) // parts])
         self.partitions = parts * s.orderings
@@ -120,15 +124,25 @@ class Orderings:
 
     def place(self, x: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
         """(partition, key) of unit vectors in ordering t."""
-        marks, onto, edges = self.maps[t]
-        keys = self._keys(self._project(x, marks, onto), edges)
+        if t not in self.unit:
+            self.unit[t] = _normal(self.maps[t][0])
+        _, onto, edges = self.maps[t]
+        keys = self._keys(self._project(x, self.unit[t], onto), edges)
         return t * self.parts + np.searchsorted(self.splits[t], keys, "right"), keys
 
 
+def _signed(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(len(column), -1)
+
+
+def _normal(quantised: np.ndarray) -> np.ndarray:
+    x = quantised.astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _unit(column: pa.Array) -> np.ndarray:
     """Unit vectors of a column of quantised ones."""
-    x = np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(len(column), -1).astype(np.float32)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    return _normal(_signed(column))
 
 
 def _quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +194,7 @@ def _windows(s: Settings):
         else:
             near, d = np.zeros((n, 0), ids.dtype), np.zeros(0, np.float32)
         ends = pa.array(np.arange(n + 1, dtype=np.int32) * take)
-        lists = [pa.ListArray.from_arrays(ends, pa.array(v, k)) for v, k in ((near.ravel(), pa.string()), (d, pa.float32()))]
+        lists = [pa.ListArray.from_arrays(ends, pa.array(v, k)) for v, k in ((near.ravel(), pa.string()), (np.rint(d * FAR).astype(np.int16), pa.int16()))]
         return pa.record_batch([pa.array(ids[at : at + n], pa.string()), *lists], ["id", "ids", "far"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,31 +256,33 @@ def usable_vectors(df: DataFrame, key: str, vector: str, order: str, dimensions:
     return whole.mapInArrow(_quantise, "id string, vector binary, ga long, gb long")
 
 
-def nearest(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
+def nearest(vectors: DataFrame, s: Settings = Settings(), rows: int | None = None) -> DataFrame:
     """(id, near): for each row of usable_vectors() its s.k most cosine-similar others, ties by smaller id.
 
     near is an array of ids, the most similar first. ids must be unique. Equal vectors form a
     group: its s.k + 1 smallest ids are searched, which is all that any row can have among its nearest, and the rest
-    take the group's first ids. An empty or one-row table gives no neighbours.
+    take the group's first ids. An empty or one-row table gives no neighbours. rows is about how many there are.
     """
     spark = vectors.sparkSession
-    hashed = materialize(vectors, "vectors")
+    rows = vectors.count() if rows is None else rows
+    drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.2 * s.sample / max(rows, 1)))
+    hashed = materialize(vectors.select("id", "ga", "gb", F.when(drawn, F.col("vector")).alias("vector")), "vectors")
     place = F.row_number().over(Window.partitionBy("ga", "gb").orderBy("id"))
     heads = hashed.select("id", "ga", "gb").withColumn("place", place).where(F.col("place") <= s.copies)
     full = materialize(heads.groupBy("ga", "gb").agg(F.max("place").alias("n"), F.array_sort(F.collect_list("id")).alias("ids")).where(F.col("n") == s.copies), "full-groups")
     # groups of fewer copies are searched whole, so only the full ones need looking up
     surplus = hashed.select("id", "ga", "gb").join(full, ["ga", "gb"]).where(~F.array_contains("ids", F.col("id"))).select("id", "ids")
     surplus = materialize(surplus, "surplus")
-    searched = hashed.join(surplus.select("id"), "id", "left_anti").select("id", "vector")
+    copies = F.broadcast(surplus.select("id")) if surplus.count() <= BROADCAST_KEYS else surplus.select("id")
+    searched = vectors.select("id", "vector").join(copies, "id", "left_anti")
 
-    rows = hashed.count()
-    sample = hashed.orderBy(F.xxhash64("id"), "id").limit(s.sample).select("vector").collect()  # bounded by s.sample
+    sample = hashed.where("vector IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(s.sample).select("vector").collect()  # bounded by s.sample
     if len(sample) < 2:
         return spark.createDataFrame([], "id string, near array<string>")
-    orderings = Orderings(_unit(pa.array([bytes(r.vector) for r in sample])), rows, s)
+    orderings = Orderings(_signed(pa.array([bytes(r.vector) for r in sample])), rows, s)
     spread = searched.mapInArrow(_spread(spark.sparkContext.broadcast(orderings)), "id string, vector binary, part int, key long")
     ranged = spread.repartitionById(orderings.partitions, F.col("part")).sortWithinPartitions("part", "key")
-    near = ranged.mapInArrow(_windows(s), "id string, ids array<string>, far array<float>")
+    near = ranged.mapInArrow(_windows(s), "id string, ids array<string>, far array<smallint>")
     # at most one list per ordering comes together; the first of an id's entries is its place
     lists = near.groupBy("id").agg(F.collect_list(F.struct("far", "ids")).alias("lists"))
     entries = F.transform("lists", lambda x: F.zip_with(x.far, x.ids, lambda d, i: F.struct(d.alias("far"), i.alias("id"))))
@@ -283,4 +299,5 @@ def neighbour_pairs(near: DataFrame) -> DataFrame:
 
 def similar_chunks(spark, sf_dir: str, s: Settings = Settings()) -> DataFrame:
     """neighbour_pairs of the current usable embeddings of all code chunks."""
-    return neighbour_pairs(nearest(usable_vectors(table(spark, sf_dir, "code_chunk_embeddings"), "chunk_id", "embedding", "updated_at", DIMENSIONS), s))
+    embeddings = table(spark, sf_dir, "code_chunk_embeddings")
+    return neighbour_pairs(nearest(usable_vectors(embeddings, "chunk_id", "embedding", "updated_at", DIMENSIONS), s, embeddings.count()))
