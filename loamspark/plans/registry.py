@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loamspark.plans import join_queries, problems, store_queries
+from loamspark.plans import aggregate_queries, join_queries, problems, store_queries
 
-MODULES = [problems, store_queries, join_queries]
+MODULES = [problems, store_queries, join_queries, aggregate_queries]
 
 
 def queries():
