@@ -177,12 +177,12 @@ def _(s, d):
 
 
 @R("AGG25_hierarchy_rollup", """
-SELECT week, day, session, count(*) AS n, round(avg(nullif(confidence, 0)), 4) AS confidence FROM (
+SELECT week, day, session, count(*) AS n, round(sum(confidence), 2) AS confidence_sum, count(nullif(confidence, 0)) AS rated FROM (
 SELECT strftime(date_trunc('week', created_at AT TIME ZONE 'UTC'), '%Y-%m-%d') AS week, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, coalesce(source_session, '') AS session, confidence FROM {CUR} WHERE created_at IS NOT NULL) GROUP BY ROLLUP (week, day, session)""")
 def _(s, d):
     c = claims(s, d, "created_at", "source_session", "confidence").where("created_at IS NOT NULL")
     c = c.select(F.date_format(F.date_trunc("week", "created_at"), "yyyy-MM-dd").alias("week"), F.date_format("created_at", "yyyy-MM-dd").alias("day"), F.coalesce("source_session", F.lit("")).alias("session"), "confidence")
-    return c.rollup("week", "day", "session").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.nullif("confidence", F.lit(0.0))), 4).alias("confidence"))
+    return c.rollup("week", "day", "session").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 2).alias("confidence_sum"), F.count(F.nullif("confidence", F.lit(0.0))).alias("rated"))
 
 
 @R("AGG28_compaction", """

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loamspark.plans import aggregate_queries, join_queries, problems, store_queries
+from loamspark.plans import aggregate_queries, join_queries, problems, retrieval_queries, store_queries
 
-MODULES = [problems, store_queries, join_queries, aggregate_queries]
+MODULES = [problems, store_queries, join_queries, aggregate_queries, retrieval_queries]
 
 
 def queries():
@@ -16,4 +16,4 @@ def oracle_sql():
 
 
 def flagship(spark, sf_dir):
-    return problems.p2_found(spark, sf_dir)
+    return retrieval_queries.hybrid(spark, sf_dir)
