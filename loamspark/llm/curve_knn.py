@@ -32,17 +32,17 @@ BROADCAST_KEYS = 1_000_000
 
 @dataclass(frozen=True)
 class Settings:
-    """Parameters of the index.
+    """Parameters of the index; for_rows() gives those for a collection's size.
 
     sample bounds the rows that are fitted on: landmarks per ordering are drawn from it, as are the curve's split
-    points. block is the number of neighbours on the curve that are compared at once. copies bounds how many of a
-    group of equal vectors are searched; the others get the group's result, which is exact.
+    points. block is the number of neighbours on the curve that are compared at once. At most k + 1 of a group of
+    equal vectors are searched; the others get the group's result, which is exact.
     """
 
     k: int = 10
     orderings: int = 3
     landmarks: int = 2048
-    sample: int = 12_288
+    sample: int = 16_384
     dimensions: int = 4
     bits: int = 12
     sharpness: float = 20.0
@@ -53,6 +53,13 @@ class Settings:
     def copies(self) -> int:
         return self.k + 1
 
+    @staticmethod
+    def for_rows(rows: int, k: int = 10) -> Settings:
+        """Landmarks grow with the rows up to half the sample, blocks with their root, so that recall holds as regions
+        multiply; the work grows with rows ** 1.5."""
+        block = int(min(16_384, max(1024, 9 * rows**0.5)))
+        return Settings(k=k, landmarks=int(min(8192, max(512, rows // 48))), block=block, partition_rows=max(40_000, 12 * block))
+
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     """Place along the Hilbert curve of integer cells (rows, dimensions), each below 2 ** bits.
@@ -256,15 +263,16 @@ def usable_vectors(df: DataFrame, key: str, vector: str, order: str, dimensions:
     return whole.mapInArrow(_quantise, "id string, vector binary, ga long, gb long")
 
 
-def nearest(vectors: DataFrame, s: Settings = Settings(), rows: int | None = None) -> DataFrame:
-    """(id, near): for each row of usable_vectors() its s.k most cosine-similar others, ties by smaller id.
+def nearest(vectors: DataFrame, s: Settings | None = None, rows: int | None = None) -> DataFrame:
+    """(id, near): for each row of usable_vectors() its k most cosine-similar others, ties by smaller id.
 
     near is an array of ids, the most similar first. ids must be unique. Equal vectors form a
-    group: its s.k + 1 smallest ids are searched, which is all that any row can have among its nearest, and the rest
+    group: its k + 1 smallest ids are searched, which is all that any row can have among its nearest, and the rest
     take the group's first ids. An empty or one-row table gives no neighbours. rows is about how many there are.
     """
     spark = vectors.sparkSession
     rows = vectors.count() if rows is None else rows
+    s = Settings.for_rows(rows) if s is None else s
     drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.2 * s.sample / max(rows, 1)))
     hashed = materialize(vectors.select("id", "ga", "gb", F.when(drawn, F.col("vector")).alias("vector")), "vectors")
     place = F.row_number().over(Window.partitionBy("ga", "gb").orderBy("id"))
@@ -297,7 +305,7 @@ def neighbour_pairs(near: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "other").alias("chunk_id_a"), F.greatest("id", "other").alias("chunk_id_b")).distinct()
 
 
-def similar_chunks(spark, sf_dir: str, s: Settings = Settings()) -> DataFrame:
+def similar_chunks(spark, sf_dir: str) -> DataFrame:
     """neighbour_pairs of the current usable embeddings of all code chunks."""
     embeddings = table(spark, sf_dir, "code_chunk_embeddings")
-    return neighbour_pairs(nearest(usable_vectors(embeddings, "chunk_id", "embedding", "updated_at", DIMENSIONS), s, embeddings.count()))
+    return neighbour_pairs(nearest(usable_vectors(embeddings, "chunk_id", "embedding", "updated_at", DIMENSIONS), rows=embeddings.count()))
