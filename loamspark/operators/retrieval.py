@@ -132,3 +132,18 @@ def metrics_at(ranked: DataFrame, relevant: DataFrame, query: str, item: str, k:
     both = ranked.select(query).distinct().join(ideal, query, "left").join(hits, query, "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return both.select(query, zero(F.try_divide("hits", "wanted")).alias("recall"), zero(F.col("hits") / float(k)).alias("precision"), zero(1.0 / F.col("first")).alias("mrr"), zero(F.try_divide("dcg", "ideal")).alias("ndcg"))
+
+
+def hashed_vectors(df: DataFrame, key: str, text: str, dimensions: int = 384) -> DataFrame:
+    """(key, embedding): unit vectors of signed hashed tokens, the encoder where no model is at hand.
+
+    Equal texts have equal vectors; texts without tokens have the zero vector. Built from column expressions only.
+    """
+    t = df.select(key, F.explode_outer(tokens(F.col(text))).alias("t"))
+    place = F.pmod(F.xxhash64("t"), F.lit(dimensions)).cast("int")
+    sign = F.when(F.pmod(F.xxhash64("t", F.lit("sign")), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    cells = t.groupBy(key, place.alias("i")).agg(F.sum(F.when(F.col("t").isNotNull(), sign)).alias("x"))
+    # at most `dimensions` cells per key
+    rows = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("x").isNotNull(), F.struct("i", "x")))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
+    value = lambda i: F.coalesce(F.try_divide(F.try_element_at("m", i.cast("int")), F.col("n")), F.lit(0.0)).cast("float")
+    return rows.select(key, F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), value).alias("embedding"))

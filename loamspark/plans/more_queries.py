@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loamspark.operators import retrieval, store, temporal
+from loamspark.functions import dates
+from loamspark.operators import retrieval, selection, store, temporal
 from loamspark.plans.common import Registry, as_of, claims, feedback
 from loamspark.plans.join_queries import turns
 from loamspark.plans.retrieval_queries import TERMS
@@ -59,13 +60,13 @@ def _(s, d):
 
 
 @R("JON06_similar_values", """
-WITH r AS (SELECT entity, property, value, lead(value) OVER (PARTITION BY entity, property ORDER BY first_seen, id) AS nxt FROM {CUR} WHERE coalesce(entity, '') <> '' AND coalesce(property, '') <> '' AND value IS NOT NULL)
+WITH r AS (SELECT entity, property, value, lead(value) OVER (PARTITION BY entity, property ORDER BY first_seen NULLS LAST, id) AS nxt FROM {CUR} WHERE coalesce(entity, '') <> '' AND coalesce(property, '') <> '' AND value IS NOT NULL)
 SELECT entity, property, count(*) AS n FROM r WHERE nxt IS NOT NULL AND nxt <> value AND regexp_matches(value || nxt, '^[ -~]*$') AND levenshtein(value, nxt) <= 3 GROUP BY ALL""")
 def _(s, d):
-    w = Window.partitionBy("entity", "property").orderBy("first_seen", "id")
+    w = Window.partitionBy("entity", "property").orderBy(F.asc_nulls_last("first_seen"), "id")
     c = claims(s, d, "entity", "property", "value", "first_seen").where("coalesce(entity, '') <> '' AND coalesce(property, '') <> '' AND value IS NOT NULL")
     c = c.withColumn("nxt", F.lead("value").over(w)).where("nxt IS NOT NULL AND nxt <> value")
-    return c.where(F.concat("value", "nxt").rlike("^[ -~]*$") & (F.levenshtein("value", "nxt") <= 3)).groupBy("entity", "property").agg(F.count(F.lit(1)).alias("n"))
+    return c.where(F.concat("value", "nxt").rlike(r"^[ -~]*\z") & (F.levenshtein("value", "nxt") <= 3)).groupBy("entity", "property").agg(F.count(F.lit(1)).alias("n"))
 
 
 @R("JON09_items_to_chunks", """
@@ -283,3 +284,66 @@ def _(s, d):
     held = retrieval.tokens(F.col("text"))
     hits = sum((F.array_contains(held, t).cast("int") for t in TERMS[1:]), F.array_contains(held, TERMS[0]).cast("int"))
     return claims(s, d, "text").select("id", hits.alias("hits")).orderBy(F.desc("hits"), "id").limit(15)
+
+
+@R("TOP10_greedy_packet")
+def _(s, d):
+    """For each project the best claims that fit 8 items and 300 tokens, without near-duplicates."""
+    c = claims(s, d, "project_id", "text", "confidence").where("project_id IS NOT NULL")
+    return selection.greedy_packet(c.withColumn("score", F.coalesce("confidence", F.lit(0.0))), "project_id", "id", "text", "score", 50, 8, 300)
+
+
+@R("GRA08_budgeted_context", """
+SELECT source_session, id, spent FROM (SELECT source_session, id, CAST(sum(greatest(1, length(coalesce(text, '')) // 4)) OVER (PARTITION BY source_session ORDER BY confidence DESC NULLS LAST, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS spent
+FROM {CUR} WHERE source_session IS NOT NULL) WHERE spent <= 200""")
+def _(s, d):
+    cost = F.greatest(F.lit(1), F.floor(F.length(F.coalesce("text", F.lit(""))) / 4))
+    c = claims(s, d, "source_session", "text", "confidence").where("source_session IS NOT NULL")
+    return selection.within_budget(c, "source_session", [F.desc_nulls_last("confidence"), F.col("id")], cost, 200).select("source_session", "id", "spent")
+
+
+@R("FUN08_temporal_queries", r"""
+SELECT item_id, hits >= 2 OR hits / greatest(len(regexp_extract_all(question, '\S+')), 1) > 0.12 AS temporal FROM (SELECT item_id, question, len(regexp_extract_all(lower(question), '\b(when|today|yesterday|recent(ly)?|latest|last|ago|before|after|since|until|week|month|year|day)\b')) AS hits FROM eval_items)""")
+def _(s, d):
+    return table(s, d, "eval_items").select("item_id", dates.is_temporal(F.col("question")).alias("temporal"))
+
+
+@R("UDF01_hashed_vectors")
+def _(s, d):
+    """Embeddings of the claims by token hashing; tested for norm and equality."""
+    return retrieval.hashed_vectors(claims(s, d, "text"), "id", "text", 64)
+
+
+@R("JON30_code_references", r"""
+WITH n AS (SELECT DISTINCT id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9_.]{5,}'))) AS name FROM {CUR} WHERE text IS NOT NULL),
+k AS (SELECT DISTINCT lower(module_name) AS name, file_path, 0.6 AS w, 'module' AS reason FROM code_chunks WHERE module_name IS NOT NULL UNION ALL SELECT DISTINCT lower(class_name), file_path, 0.8, 'class' FROM code_chunks WHERE class_name IS NOT NULL)
+SELECT n.id, k.file_path, round(sum(k.w), 6) AS confidence, list_sort(list(DISTINCT k.reason)) AS reasons FROM n JOIN k USING (name) GROUP BY n.id, k.file_path""")
+def _(s, d):
+    names = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z][a-z0-9_.]{5,}"), F.lit(0)))
+    n = claims(s, d, "text").where("text IS NOT NULL").select("id", F.explode(names).alias("name"))
+    c = table(s, d, "code_chunks")
+    of = lambda col, w, why: c.where(F.col(col).isNotNull()).select(F.lower(col).alias("name"), "file_path").distinct().withColumns({"w": F.lit(w), "reason": F.lit(why)})
+    k = of("module_name", 0.6, "module").unionByName(of("class_name", 0.8, "class"))
+    return n.join(k, "name").groupBy("id", "file_path").agg(F.round(F.sum("w"), 6).alias("confidence"), F.array_sort(F.collect_set("reason")).alias("reasons"))  # two reasons
+
+
+@R("STR05_file_changes", """
+SELECT file_path, CASE WHEN o.h IS NULL THEN 'fresh' WHEN n.size < o.size THEN 'truncated' WHEN n.h <> o.h THEN 'rotated' WHEN n.size = o.size THEN 'unchanged' ELSE 'append' END AS change
+FROM (SELECT file_path, max(line_end) AS size, max(file_hash) AS h FROM code_chunks GROUP BY file_path) n LEFT JOIN (SELECT file_path, max(line_end) AS size, max(file_hash) AS h FROM code_chunks WHERE chunk_type <> 'method' GROUP BY file_path) o USING (file_path)""")
+def _(s, d):
+    snap = lambda c: c.groupBy("file_path").agg(F.max("line_end").alias("size"), F.max("file_hash").alias("h"))
+    c = table(s, d, "code_chunks")
+    o = snap(c.where("chunk_type <> 'method'")).select("file_path", F.col("size").alias("was"), F.col("h").alias("old"))
+    j = snap(c).join(o, "file_path", "left")
+    # one inode throughout: a changed head tells a rotated file
+    same = F.when(F.col("old").isNotNull(), F.lit(1))
+    return j.select("file_path", selection.file_change(same, F.col("was"), F.lit(1), F.col("size"), F.col("h") == F.col("old")).alias("change"))
+
+
+@R("EVA16_latest_correct", """
+SELECT memory_type, round(avg(CASE WHEN id = newest THEN 1.0 ELSE 0 END), 6) AS share FROM (SELECT memory_type, id, first_value(id) OVER (PARTITION BY entity, property ORDER BY last_confirmed DESC NULLS LAST, id) AS newest FROM {CUR} WHERE coalesce(entity, '') <> '' AND coalesce(property, '') <> '') GROUP BY memory_type""")
+def _(s, d):
+    w = Window.partitionBy("entity", "property").orderBy(F.desc_nulls_last("last_confirmed"), "id")
+    c = claims(s, d, "memory_type", "entity", "property", "last_confirmed").where("coalesce(entity, '') <> '' AND coalesce(property, '') <> ''")
+    c = c.select("memory_type", (F.first("id").over(w) == F.col("id")).cast("double").alias("hit"))
+    return c.groupBy("memory_type").agg(F.round(F.avg("hit"), 6).alias("share"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 import weakref
@@ -40,7 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="loamspark-")
+        folder = tempfile.mkdtemp(prefix="loamspark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        named = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
