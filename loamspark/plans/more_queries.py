@@ -47,6 +47,14 @@ def _(s, d):
     return c.groupBy("source_session").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("id")).alias("constituents"), F.max("last_confirmed").alias("last_confirmed"))  # at most 20 each
 
 
+@R("SNK10_summary_all_items")
+def _(s, d):
+    """Every claim of each session with its session's summary; the id list is kept as rows, so a session may hold any share of them."""
+    c = claims(s, d, "source_session", "last_confirmed").where("source_session IS NOT NULL")
+    summary = c.groupBy("source_session").agg(F.count(F.lit(1)).alias("n"), F.max("last_confirmed").alias("last_confirmed"))
+    return c.select("source_session", "id").join(summary, "source_session")
+
+
 @R("FLT14_keep_plain_claims", r"SELECT id FROM {CUR} WHERE NOT regexp_matches(lower(coalesce(text, '')), '\b(maybe|perhaps|because)\b')")
 def _(s, d):
     return claims(s, d, "text").where(~F.lower(F.coalesce("text", F.lit(""))).rlike(r"\b(maybe|perhaps|because)\b")).select("id")
