@@ -31,7 +31,7 @@ SKELETON_LEAST = 12
 LEAST_PAIRS, LEAST_DOCUMENTS = 2, 3
 #: Distinct words of so many characters that bear a transformation out where twins can't, as in texts without ASCII.
 LEAST_WORDS, LONG_WORD = 3, 4
-#: A restored word must be so many times as frequent as the garbled one (single-byte transformations).
+#: A restored word must be in so many times as many distinct texts as the garbled one (single-byte transformations).
 RATIO = 4
 #: Learned words that go to the executors at once; beyond it they are joined.
 BROADCAST_WORDS = 300_000
@@ -176,11 +176,16 @@ def words_of(text: str) -> set[str]:
 
 
 def _words(batches):
+    """Of each word the rows (n) and the distinct texts (d) that hold it; texts come once, with their copies."""
     for b in batches:
         rows: Counter[str] = Counter()
-        for t in b["text"].to_pylist():
-            rows.update(words_of(t))
-        yield pa.record_batch([pa.array(list(rows), pa.string()), pa.array(list(rows.values()), pa.int64())], ["word", "n"])
+        texts: Counter[str] = Counter()
+        for t, copies in zip(b["text"].to_pylist(), b["copies"].to_pylist(), strict=True):
+            held = words_of(t)
+            texts.update(held)
+            for w in held:
+                rows[w] += copies
+        yield pa.record_batch([pa.array(list(texts), pa.string()), pa.array([rows[w] for w in texts], pa.int64()), pa.array(list(texts.values()), pa.int64())], ["word", "n", "d"])
 
 
 def _characters(batches):
@@ -224,20 +229,20 @@ def _candidates(shared):
         sequences = [(i, Sequences(read, shared.value)) for i, read in utf8]
         for b in batches:
             out = []
-            for w, n in zip(b["word"].to_pylist(), b["n"].to_pylist(), strict=True):
+            for w, n, d in zip(b["word"].to_pylist(), b["n"].to_pylist(), b["d"].to_pylist(), strict=True):
                 if LOST in w:
-                    out.append((w, n, None, -1, True))
+                    out.append((w, n, d, None, -1, True))
                     continue
                 for i, s in sequences:
                     made = s.restore(w)
                     if made != w:
-                        out.append((w, n, made, i, True))
+                        out.append((w, n, d, made, i, True))
                 if len(w) > 1 or w.isalpha():
                     for i, t in single:
                         made = restore(w, *t)
                         if made and made != w:
-                            out.append((w, n, made, i, False))
-            yield pa.record_batch([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.string(), pa.int64(), pa.string(), pa.int32(), pa.bool_()))], ["word", "n", "made", "transformation", "sure"])
+                            out.append((w, n, d, made, i, False))
+            yield pa.record_batch([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.bool_()))], ["word", "n", "d", "made", "transformation", "sure"])
 
     return run
 
@@ -246,23 +251,26 @@ def learn_words(texts: DataFrame, learned: list[tuple[str, str, int]]) -> DataFr
     """(word, made, transformation, sure): garbled words and their originals; made is null where it is lost.
 
     A stretch of UTF-8 read otherwise shows itself if what it decodes to are characters that the corpus uses. A word
-    under a single-byte transformation counts if the restored word is in LEAST_DOCUMENTS documents and RATIO times
-    as frequent as the word itself. Texts without ASCII letters have no twins: a transformation that isn't learned
+    under a single-byte transformation counts if the restored word is in LEAST_DOCUMENTS documents and in RATIO times
+    as many distinct texts as the word itself, so that copies of a garbled text don't vote its words clean. Copies of
+    the clean text count as well while the garbled word isn't in more distinct texts than the restored one. Texts without ASCII letters have no twins: a transformation that isn't learned
     counts as well if LEAST_WORDS distinct long words are restored to words of the corpus by it.
     """
     spark = texts.sparkSession
-    words = materialize(texts.mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    once = texts.groupBy("text").agg(F.count(F.lit(1)).alias("copies"))
+    words = materialize(once.mapInArrow(_words, "word string, n long, d long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("d").alias("d")), "words")
     chars = words.mapInArrow(_characters, "c string, n long").groupBy("c").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS)
     known = spark.sparkContext.broadcast({r.c for r in chars.select("c").collect()})  # bounded by Unicode
-    vocabulary = words.select(F.col("word").alias("made"), F.col("n").alias("made_n")).where(F.col("made_n") >= LEAST_DOCUMENTS)
-    made = words.mapInArrow(_candidates(known), "word string, n long, made string, transformation int, sure boolean")
-    made = materialize(made.join(vocabulary, "made", "left").where(F.col("sure") | (F.col("made_n") >= RATIO * F.col("n"))), "candidates")
-    long = (F.length("made") >= LONG_WORD) & (F.col("made_n") >= RATIO * F.col("n"))
+    vocabulary = words.select(F.col("word").alias("made"), F.col("n").alias("made_n"), F.col("d").alias("made_d")).where(F.col("made_n") >= LEAST_DOCUMENTS)
+    made = words.mapInArrow(_candidates(known), "word string, n long, d long, made string, transformation int, sure boolean")
+    frequent = (F.col("made_d") >= RATIO * F.col("d")) | ((F.col("made_n") >= RATIO * F.col("n")) & (F.col("made_d") >= F.col("d")))
+    made = materialize(made.join(vocabulary, "made", "left").where(F.col("sure") | frequent), "candidates")
+    long = (F.length("made") >= LONG_WORD) & frequent
     borne = made.where(long).groupBy("transformation").agg(F.count_distinct("word").alias("k")).where(F.col("k") >= LEAST_WORDS)
     taken = {r.transformation for r in borne.collect()} | {-1}  # at most len(TRANSFORMATIONS) rows
     taken |= {i for i, t in enumerate(TRANSFORMATIONS) if t in set(learned) or t[0] == UTF8 and (*t[:2], REPEATS) in set(learned)}
-    # of several originals the most frequent word of the corpus, else the shortest
-    score = F.coalesce((1 << 40) + F.col("made_n"), -F.length("made").cast("long"))
+    # of several originals the word in most distinct texts of the corpus, else the shortest
+    score = F.coalesce((1 << 40) + F.col("made_d"), -F.length("made").cast("long"))
     best = F.max(F.struct(score.alias("score"), F.struct("made", "transformation", "sure").alias("m"))).getField("m").alias("m")
     return made.where(F.col("transformation").isin(*taken)).groupBy("word").agg(best).select("word", "m.*")
 
