@@ -2,11 +2,12 @@
 
 Each ordering projects the vectors to a few dimensions, through their similarities with its own landmarks, and sorts
 them along a Hilbert curve. The orderings are range-partitioned with split points from a sample; within a partition
-each block of the curve is compared with itself and its two neighbours. A vector's candidates from all orderings are
-merged and the best k remain.
+each block of the curve is compared with itself and its two neighbours. About one block beyond each split point goes to
+the neighbouring partition as well, to be compared with but not searched again. A vector's candidates from all orderings
+are merged and the best k remain.
 
 Vectors travel as one signed byte per dimension with a scale of their own, which the cosine cancels: its error is
-about 0.0005 at 384 dimensions. A bounded sample fixes landmarks and split points; every vector is ordered and searched.
+about 0.0005 at 384 dimensions. A sample fixes landmarks and split points; every vector is ordered and searched.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ DIMENSIONS = 384
 FAR = 16_383
 #: Keys with several rows that are broadcast; more are joined.
 BROADCAST_KEYS = 1_000_000
+#: Similarities with landmarks that are held at once when rows are projected.
+PROJECTED = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -55,10 +58,13 @@ class Settings:
 
     @staticmethod
     def for_rows(rows: int, k: int = 10) -> Settings:
-        """Landmarks grow with the rows up to half the sample, blocks with their root, so that recall holds as regions
-        multiply; the work grows with rows ** 1.5."""
-        block = int(min(16_384, max(1024, 9 * rows**0.5)))
-        return Settings(k=k, landmarks=int(min(8192, max(512, rows // 48))), block=block, partition_rows=max(40_000, 12 * block))
+        """Landmarks grow with the rows, blocks with their root, so that recall holds as regions multiply.
+
+        Neither is capped. The sample is twice the landmarks, so the driver holds a 24th of all vectors from 393,216
+        rows on; comparing grows with rows ** 1.5, projecting with rows ** 2.
+        """
+        block, landmarks = int(max(1024, 9 * rows**0.5)), int(max(512, rows // 48))
+        return Settings(k=k, landmarks=landmarks, sample=max(16_384, 2 * landmarks), block=block, partition_rows=max(40_000, 12 * block))
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -98,7 +104,7 @@ class Orderings:
     def __init__(self, quantised: np.ndarray, rows: int, s: Settings) -> None:
         self.s = s
         sample = _normal(quantised)
-        self.maps, self.splits, self.unit = [], [], {}
+        self.maps, self.splits, self.reach, self.unit = [], [], [], {}
         parts = max(1, -(-rows // s.partition_rows))
         for t in range(s.orderings):
             rng = np.random.default_rng(t)
@@ -109,14 +115,21 @@ class Orderings:
             edges = np.quantile(y, np.linspace(0, 1, 257)[1:-1], axis=0).astype(np.float32)
             self.maps.append((quantised[chosen], onto, edges))
             keys = np.sort(self._keys(y, edges))
-            self.splits.append(keys[(np.arange(1, parts) * len(keys)) // parts])
+            at = (np.arange(1, parts) * len(keys)) // parts
+            self.splits.append(keys[at])
+            # keys about one block before and after each split point
+            block = max(1, -(-s.block * len(keys) // max(rows, 1)))
+            self.reach.append((keys[np.maximum(at - block, 0)], keys[np.minimum(at + block, len(keys) - 1)]))
         self.partitions = parts * s.orderings
         self.parts = parts
 
     def _project(self, x: np.ndarray, marks: np.ndarray, onto: np.ndarray) -> np.ndarray:
-        w = x @ marks.T
-        w = np.exp(self.s.sharpness * (w - w.max(1, keepdims=True)))
-        return (w @ onto) / w.sum(1, keepdims=True)
+        step, out = max(1, PROJECTED // len(marks)), []
+        for at in range(0, len(x), step):
+            w = x[at : at + step] @ marks.T
+            w = np.exp(self.s.sharpness * (w - w.max(1, keepdims=True)))
+            out.append((w @ onto) / w.sum(1, keepdims=True))
+        return np.concatenate(out)
 
     def _keys(self, y: np.ndarray, edges: np.ndarray) -> np.ndarray:
         """Curve place of projected rows: each dimension is cut at the sample's quantiles, evenly between them."""
@@ -137,6 +150,16 @@ class Orderings:
         keys = self._keys(self._project(x, self.unit[t], onto), edges)
         return t * self.parts + np.searchsorted(self.splits[t], keys, "right"), keys
 
+    def guests(self, where: np.ndarray, keys: np.ndarray, t: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, partition) of those placed rows that lie within a block of a split point, for the partition beyond."""
+        if self.parts == 1:
+            return
+        at, (low, high) = where - t * self.parts, self.reach[t]
+        up = np.nonzero((at < self.parts - 1) & (keys >= low[np.minimum(at, self.parts - 2)]))[0]
+        yield up, where[up] + 1
+        down = np.nonzero((at > 0) & (keys < high[np.maximum(at - 1, 0)]))[0]
+        yield down, where[down] - 1
+
 
 def _signed(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(len(column), -1)
@@ -165,7 +188,7 @@ def _quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _spread(shared):
-    """Each vector once per ordering, with its partition and key."""
+    """Each vector once per ordering, with its partition and key, and as a guest where it lies near a split point."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o: Orderings = shared.value
@@ -175,13 +198,19 @@ def _spread(shared):
                 x = _unit(part["vector"])
                 for t in range(o.s.orderings):
                     where, keys = o.place(x, t)
-                    yield pa.record_batch([part["id"], part["vector"], pa.array(where, pa.int32()), pa.array(keys, pa.int64())], ["id", "vector", "part", "key"])
+                    for rows, to, guest in [(None, where, False), *((*g, True) for g in o.guests(where, keys, t))]:
+                        some = part if rows is None else part.take(pa.array(rows))
+                        at_keys = keys if rows is None else keys[rows]
+                        yield pa.record_batch([some["id"], some["vector"], pa.array(to, pa.int32()), pa.array(at_keys, pa.int64()), pa.array(np.full(len(to), guest))], ["id", "vector", "part", "key", "guest"])
 
     return run
 
 
 def _windows(s: Settings):
-    """Candidates of each row in batches sorted by (part, key): its best among its block and the two beside it."""
+    """Candidates of each row in batches sorted by (part, key): its best among its block and the two beside it.
+
+    Guests are candidates only; they come before or after all other rows of their part.
+    """
 
     def best(ids: np.ndarray, x: np.ndarray, at: int, n: int) -> pa.RecordBatch:
         """Candidates for rows at .. at + n - 1 of ids / x."""
@@ -205,37 +234,41 @@ def _windows(s: Settings):
         return pa.record_batch([pa.array(ids[at : at + n], pa.string()), *lists], ["id", "ids", "far"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def blocks() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-            """(part, ids, unit vectors) of up to `block` rows; a block doesn't cross parts."""
-            held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        def blocks() -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+            """(part, ids, unit vectors, guest) of up to `block` rows; a block doesn't cross parts."""
+            held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
             size = 0
+            whole = lambda: (held[0][0], *(np.concatenate([h[i] for h in held]) for i in (1, 2, 3)))
             for b in batches:
                 if not b.num_rows:
                     continue
                 parts = b["part"].to_numpy()
-                ids, x = np.array(b["id"].to_pylist(), str), _unit(b["vector"])
+                ids, x, guest = np.array(b["id"].to_pylist(), str), _unit(b["vector"]), np.array(b["guest"].to_pylist(), bool)
                 cuts = [0, *(np.nonzero(np.diff(parts))[0] + 1), len(parts)]
                 for lo, hi in zip(cuts, cuts[1:], strict=False):
                     at = lo
                     while at < hi:
                         if held and held[0][0] != parts[at]:
-                            yield held[0][0], np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+                            yield whole()
                             held, size = [], 0
                         n = min(hi - at, s.block - size)
-                        held.append((int(parts[at]), ids[at : at + n], x[at : at + n]))
+                        held.append((int(parts[at]), ids[at : at + n], x[at : at + n], guest[at : at + n]))
                         at, size = at + n, size + n
                         if size == s.block:
-                            yield held[0][0], np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+                            yield whole()
                             held, size = [], 0
             if held:
-                yield held[0][0], np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+                yield whole()
 
         def compare(before, here, after) -> Iterator[pa.RecordBatch]:
+            own = np.nonzero(~here[3])[0]
+            if not len(own):
+                return
             side = [z for z in (before, here, after) if z is not None and z[0] == here[0]]
             ids, x = np.concatenate([z[1] for z in side]), np.concatenate([z[2] for z in side])
             at = len(before[1]) if before is not None and before[0] == here[0] else 0
-            for i in range(0, len(here[1]), 256):
-                yield best(ids, x, at + i, min(256, len(here[1]) - i))
+            for i in range(own[0], own[-1] + 1, 256):
+                yield best(ids, x, at + i, min(256, own[-1] + 1 - i))
 
         before = here = None
         for after in blocks():
@@ -288,7 +321,7 @@ def nearest(vectors: DataFrame, s: Settings | None = None, rows: int | None = No
     if len(sample) < 2:
         return spark.createDataFrame([], "id string, near array<string>")
     orderings = Orderings(_signed(pa.array([bytes(r.vector) for r in sample])), rows, s)
-    spread = searched.mapInArrow(_spread(spark.sparkContext.broadcast(orderings)), "id string, vector binary, part int, key long")
+    spread = searched.mapInArrow(_spread(spark.sparkContext.broadcast(orderings)), "id string, vector binary, part int, key long, guest boolean")
     ranged = spread.repartitionById(orderings.partitions, F.col("part")).sortWithinPartitions("part", "key")
     near = ranged.mapInArrow(_windows(s), "id string, ids array<string>, far array<smallint>")
     # at most one list per ordering comes together; the first of an id's entries is its place
