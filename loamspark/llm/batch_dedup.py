@@ -3,7 +3,7 @@
 A text's words are cut where a rolling hash over a word's bytes meets a mask, so an edit changes only the chunks it
 touches. A table of chunk keys leads to the records that hold them: records that share a chunk are candidates, the
 bytes of their shared chunks decide whether they are compared, and the distinct words of those that are left give the
-verdict. Accepted records go into the table, which stays between batches.
+verdict. Records with a chunk that many hold meet by their rarest distinct words instead, which misses none. Accepted records go into the table, which stays between batches.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ SHARE = (7, 10)
 LEAST_WORDS = 6
 #: A word ends a chunk with probability 1 / CUT.
 CUT, SEED = 2, 11
-#: A chunk in more records is looked up together with the one after it, and if that isn't rarer with the next too.
+#: Records with a chunk in more records than that are joined on their rarest distinct words.
 HOT = 128
+#: Words whose frequency ranks them; the others are rarer and ranked by hash. Any ranking gives the same matches.
+RANKED = 65_536
 #: Chunks are counted in one of so many classes first: those far beyond HOT there needn't be shuffled to be counted.
 COUNTED = 16
 #: Least share of the smaller text's bytes in shared chunks.
@@ -149,11 +151,30 @@ def _representatives(rows: DataFrame, cls: DataFrame) -> DataFrame:
     return rows.join(_small(copies), "id", "left_anti").withColumn("c", F.col("cls_a"))
 
 
-def _runs(reps: DataFrame) -> DataFrame:
-    """A row for each chunk of each representative: its key and the two after it."""
-    after = lambda k: F.slice("chunks", k, F.greatest(F.size("chunks"), F.lit(1)))
-    each = F.arrays_zip(F.col("chunks").alias("k"), after(2).alias("k2"), after(3).alias("k3"))
-    return reps.select("c", "tag", "base", F.explode(each).alias("e")).select("c", "tag", "base", "e.k", "e.k2", "e.k3")
+def _keys(reps: DataFrame) -> DataFrame:
+    """A row for each chunk of each representative."""
+    return reps.select("c", "tag", "base", F.explode("chunks").alias("k"))
+
+
+def _rarest(shared):
+    """(c, tag, base, w): so many of each record's rarest words that any match has one of them among its own."""
+    num, den = SHARE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = shared.value
+        for b in batches:
+            found, ends = [], [0]
+            for ws in b["words"].to_pylist():
+                w = np.array(ws, np.int32)
+                at = np.minimum(np.searchsorted(known, w), len(known) - 1) if len(known) else None
+                rank = np.zeros(len(w), np.int64) if at is None else np.where(known[at] == w, counts[at], 0)
+                found.append(w[np.lexsort((w, rank))[: len(w) + (-len(w) * num) // den + 1]])
+                ends.append(ends[-1] + len(found[-1]))
+            rows = pa.array(np.repeat(np.arange(b.num_rows), np.diff(ends)))
+            flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int32), pa.int32())
+            yield pa.record_batch([*[b[x].take(rows) for x in ("c", "tag", "base")], flat], ["c", "tag", "base", "w"])
+
+    return run
 
 
 def _xor_count(a: Column, b: Column) -> Column:
@@ -184,21 +205,26 @@ def _meet(postings: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _shared_chunks(reps: DataFrame) -> DataFrame:
-    """(x new, y, n): representatives that share a run of chunks, and its bytes.
+    """(x new, y, n): representatives that share a chunk in at most HOT of them, and its bytes; and, of those with a
+    chunk in more, the ones that share one of their rarest words, with n beyond all bytes.
 
-    The shortest run that isn't hot is looked up; runs of three chunks are, however many records hold them.
+    Texts that match have a word in common among their rarest 30 % (and one), so no match that shares a hot chunk is
+    missed. No word has a cap: a word that is among the rarest of many records costs the square of these.
     """
-    runs, size = _runs(reps), lambda k: F.col(k).bitwiseAND(255).cast("int")
-    sample = _runs(reps.where(F.pmod("c", F.lit(COUNTED)) == 0)).groupBy("k").count()
-    hottest = materialize(sample.where(F.col("count") * COUNTED > 4 * HOT).select("k"), "hottest")
-    one, hot = _meet(runs.join(_small(hottest), "k", "left_anti").select("k", "c", "tag", "base", size("k").alias("n")), "runs-1")
-    hot = _small(materialize(hot.unionByName(hottest).distinct(), "hot-1"))
-    pairs = runs.where("k2 IS NOT NULL").join(hot, "k", "left_semi").select(F.xxhash64("k", "k2").alias("k"), "k3", "c", "tag", "base", (size("k") + size("k2")).alias("n"))
-    two, hot2 = _meet(pairs.select("k", "c", "tag", "base", "n"), "runs-2")
-    three = pairs.where("k3 IS NOT NULL").join(_small(hot2.distinct()), "k", "left_semi").select(F.xxhash64("k", "k3").alias("k"), "c", "tag", "base", (F.col("n") + size("k3")).alias("n"))
-    x, y = three.where("NOT base").alias("x"), three.alias("y")
-    met = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.c") != F.col("y.c")) & (F.col("y.base") | (F.col("x.c") < F.col("y.c"))) & _may_match(F.col("x.tag"), F.col("y.tag")))
-    return one.unionByName(two).unionByName(met.select(F.col("x.c").alias("x"), F.col("y.c").alias("y"), F.col("x.n").alias("n")))
+    keys, size = _keys(reps), F.col("k").bitwiseAND(255).cast("int")
+    some = reps.where(F.pmod("c", F.lit(COUNTED)) == 0)
+    hottest = materialize(_keys(some).groupBy("k").count().where(F.col("count") * COUNTED > 4 * HOT).select("k"), "hottest")
+    one, hot = _meet(keys.join(_small(hottest), "k", "left_anti").select("k", "c", "tag", "base", size.alias("n")), "chunks")
+    hot = _small(materialize(hot.unionByName(hottest).distinct(), "hot"))
+    held = materialize(keys.join(hot, "k", "left_semi").select("c").distinct(), "hot-records")
+    counted = some.select(F.explode("words").alias("w")).groupBy("w").count().where("count > 1")
+    counted = sorted((r.w, r["count"]) for r in counted.orderBy(F.desc("count"), "w").limit(RANKED).collect())  # bounded by RANKED
+    ranks = reps.sparkSession.sparkContext.broadcast((np.array([w for w, _ in counted], np.int32), np.array([n for _, n in counted], np.int64)))
+    rare = reps.join(_small(held), "c", "left_semi").select("c", "tag", "base", "words").mapInArrow(_rarest(ranks), "c long, tag long, base boolean, w int")
+    rare = materialize(rare, "rarest")
+    x, y = rare.where("NOT base").alias("x"), rare.alias("y")
+    met = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.c") != F.col("y.c")) & (F.col("y.base") | (F.col("x.c") < F.col("y.c"))) & _may_match(F.col("x.tag"), F.col("y.tag")))
+    return one.unionByName(met.select(F.col("x.c").alias("x"), F.col("y.c").alias("y"), F.lit(1 << 30).alias("n")))
 
 
 def similar_classes(rows: DataFrame, cls: DataFrame) -> DataFrame:
