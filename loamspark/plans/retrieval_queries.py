@@ -260,7 +260,7 @@ def _(s, d):
 
 @R("FUN45_embedding_text", "SELECT id, md5(substr(concat_ws(chr(10), qualified_name, signature, docstring, body), 1, 1000)) AS h FROM code_chunks")
 def _(s, d):
-    return table(s, d, "code_chunks").select("id", F.md5(F.substring(F.concat_ws("\n", "qualified_name", "signature", "docstring", "body"), 1, 1000)).alias("h"))
+    return table(s, d, "code_chunks").select("id", F.md5(F.concat_ws("\n", "qualified_name", "signature", "docstring", "body")).alias("h"))
 
 
 @R("FUN44_calls_in_bodies", r"SELECT id, unnest(list_distinct(regexp_extract_all(body, '([A-Za-z_][A-Za-z0-9_]*)\(', 1))) AS callee FROM code_chunks WHERE body IS NOT NULL")
