@@ -77,7 +77,7 @@ def _(s, d):
     return c.where(F.concat("value", "nxt").rlike(r"^[ -~]*\z") & (F.levenshtein("value", "nxt") <= 3)).groupBy("entity", "property").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R("JON09_items_to_chunks", """
+@R("NAM09_items_by_module_name", """
 SELECT c.id, k.id AS chunk_id FROM (SELECT id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+_[a-z]+(?:_[0-9]+)?'))) AS name FROM {CUR} WHERE text IS NOT NULL) c
 JOIN (SELECT id, lower(module_name) AS name FROM code_chunks WHERE module_name IS NOT NULL) k USING (name) QUALIFY row_number() OVER (PARTITION BY c.id ORDER BY k.id) <= 3""")
 def _(s, d):
