@@ -1,13 +1,16 @@
-"""The k most similar vectors of every vector, by several Hilbert orderings.
-
-Each ordering projects the vectors to a few dimensions, through their similarities with its own landmarks, and sorts
-them along a Hilbert curve. The orderings are range-partitioned with split points from a sample; within a partition
-each block of the curve is compared with itself and its two neighbours. About one block beyond each split point goes to
-the neighbouring partition as well, to be compared with but not searched again. A vector's candidates from all orderings
-are merged and the best k remain.
-
-Vectors travel as one signed byte per dimension with a scale of their own, which the cosine cancels: its error is
-about 0.0005 at 384 dimensions. A sample fixes landmarks and split points; every vector is ordered and searched.
+"""The k most similar vectors of every vector, by shifted Hilbert orderings.
+
+Each ordering projects the vectors to a few dimensions, shifts them and sorts them along a Hilbert curve. The projection
+goes through landmarks of its own: a sample whose rows were moved to the centre of their region, so that vectors of one
+region get nearly the same place. Landmarks are found in two steps (groups, then members of the nearest groups), so
+placing a row costs the root of their number. Orderings are range-partitioned with split points from the sample. Within
+a partition, blocks of the curve are compared with their neighbours; about one block beyond each split point comes
+along from the neighbouring partition, to be compared with but not searched again. Blocks that lie wholly within one
+dense region are compared with more blocks of that region, up to a fixed number.
+
+The rows travel from ordering to ordering with their vector, as it is, and the best k found so far; so candidates of all
+orderings are ranked by the cosine of the true vectors. The sample is bounded; every vector is ordered and searched, and
+the work is in proportion to the rows.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,46 +29,50 @@ from loamspark.operators.rows import current_rows
 from loamspark.session import materialize, table
 
 DIMENSIONS = 384
-#: Negative cosines are told between orderings in steps of 1 / FAR, far below the error of quantisation.
-FAR = 16_383
-#: Keys with several rows that are broadcast; more are joined.
+#: Cosines are told apart in steps of 1 / FAR, about the error of single precision; smaller ids come first beyond that.
+FAR = 1 << 20
+#: Rows of about 20 bytes that are broadcast; more are joined.
 BROADCAST_KEYS = 1_000_000
-#: Similarities with landmarks that are held at once when rows are projected.
-PROJECTED = 1 << 24
 
 
 @dataclass(frozen=True)
 class Settings:
     """Parameters of the index; for_rows() gives those for a collection's size.
 
-    sample bounds the rows that are fitted on: landmarks per ordering are drawn from it, as are the curve's split
-    points. block is the number of neighbours on the curve that are compared at once. At most k + 1 of a group of
-    equal vectors are searched; the others get the group's result, which is exact.
+    landmarks is their number in each ordering; the sample that is fitted on has orderings * landmarks rows. block is
+    the number of neighbours on the curve that are compared at once, reach how many blocks to each side one of a dense
+    region is compared with. At most k + 1 of a group of equal vectors are searched; the others get the group's result,
+    which is exact.
     """
 
     k: int = 10
-    orderings: int = 3
-    landmarks: int = 2048
-    sample: int = 16_384
+    orderings: int = 2
+    landmarks: int = 8192
+    sketch: int = 128
     dimensions: int = 4
     bits: int = 12
-    sharpness: float = 20.0
-    block: int = 3072
-    partition_rows: int = 40_000
+    nearest: int = 16
+    probes: int = 12
+    moves: int = 4
+    soft: float = 6.0
+    sharp: float = 20.0
+    block: int = 384
+    reach: int = 16
+    dense: float = 0.5
+    partition_rows: int = 12_288
 
     @property
     def copies(self) -> int:
         return self.k + 1
 
+    @property
+    def sample(self) -> int:
+        return self.orderings * self.landmarks
+
     @staticmethod
     def for_rows(rows: int, k: int = 10) -> Settings:
-        """Landmarks grow with the rows, blocks with their root, so that recall holds as regions multiply.
-
-        Neither is capped. The sample is twice the landmarks, so the driver holds a 24th of all vectors from 393,216
-        rows on; comparing grows with rows ** 1.5, projecting with rows ** 2.
-        """
-        block, landmarks = int(max(1024, 9 * rows**0.5)), int(max(512, rows // 48))
-        return Settings(k=k, landmarks=landmarks, sample=max(16_384, 2 * landmarks), block=block, partition_rows=max(40_000, 12 * block))
+        """An eighth of the rows are landmarks, 32,768 at most: the bound of the sample. Blocks don't grow."""
+        return Settings(k=k, landmarks=min(max(512, rows // 8), 32_768), partition_rows=max(12_288, rows // 2048))
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -98,193 +106,300 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+def _rows_to_one(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+
+
+class Landmarks:
+    """Sketches of landmarks, and for each the centre of its region."""
+
+    def __init__(self, marks: np.ndarray, s: Settings, rng: np.random.Generator) -> None:
+        self.s, self.marks = s, marks
+        groups = max(1, int(len(marks) ** 0.5))
+        self.heads = marks[rng.permutation(len(marks))[:groups]].copy()
+        for _ in range(2):
+            sums, own = np.zeros_like(self.heads), np.argmax(marks @ self.heads.T, 1)
+            np.add.at(sums, own, marks)
+            self.heads = np.where(np.bincount(own, minlength=groups)[:, None] > 0, _rows_to_one(sums), self.heads)
+        own = np.argmax(marks @ self.heads.T, 1)
+        order = np.argsort(own, kind="stable")
+        self.marks, self.starts = marks[order], np.searchsorted(own[order], np.arange(groups + 1))
+        centres = self.marks
+        for _ in range(s.moves):
+            centres = np.concatenate([self._mix(*self._near(centres[i : i + 4096]), s.soft, self.marks) for i in range(0, len(centres), 4096)])
+        self.centres = centres
+
+    def _near(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(landmark, similarity) of the nearest landmarks of each row, among those of the nearest groups."""
+        n, k = len(x), min(self.s.nearest, len(self.marks))
+        probes = min(self.s.probes, len(self.heads))
+        near = np.argpartition(-(x @ self.heads.T), probes - 1, axis=1)[:, :probes].ravel()
+        order = np.argsort(near, kind="stable")
+        rows, cuts = np.repeat(np.arange(n), probes)[order], np.searchsorted(near[order], np.arange(len(self.heads) + 1))
+        which, far = np.zeros((n, k), np.int64), np.full((n, k), 9, np.float32)
+        for g in range(len(self.heads)):
+            r, (lo, hi) = rows[cuts[g] : cuts[g + 1]], self.starts[g : g + 2]
+            if not len(r) or lo == hi:
+                continue
+            d = -(x[r] @ self.marks[lo:hi].T)
+            some = np.argpartition(d, k - 1, axis=1)[:, :k] if hi - lo > k else np.broadcast_to(np.arange(hi - lo), d.shape)
+            d = np.concatenate([far[r], np.take_along_axis(d, some, 1)], 1)
+            i = np.concatenate([which[r], some + lo], 1)
+            best = np.argpartition(d, k - 1, axis=1)[:, :k]
+            far[r], which[r] = np.take_along_axis(d, best, 1), np.take_along_axis(i, best, 1)
+        return which, -far
+
+    @staticmethod
+    def _mix(which: np.ndarray, near: np.ndarray, sharp: float, of: np.ndarray) -> np.ndarray:
+        w = np.exp(sharp * (near - near.max(1, keepdims=True)))
+        return _rows_to_one(np.matmul(w[:, None, :], of[which])[:, 0, :])
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """Centre of the region of each sketch."""
+        return self._mix(*self._near(x), self.s.sharp, self.centres)
+
+
 class Orderings:
-    """Landmarks, projections and split points of all orderings, fitted on a sample of unit vectors."""
+    """Landmarks, shifts and split points of all orderings, fitted on a bounded sample of sketches."""
 
-    def __init__(self, quantised: np.ndarray, rows: int, s: Settings) -> None:
-        self.s = s
-        sample = _normal(quantised)
-        self.maps, self.splits, self.reach, self.unit = [], [], [], {}
-        parts = max(1, -(-rows // s.partition_rows))
+    def __init__(self, sample: np.ndarray, rows: int, s: Settings) -> None:
+        self.s, self.mean = s, sample.mean(0)
+        sample = _rows_to_one(sample - self.mean)
+        self.parts = max(1, -(-rows // s.partition_rows))
+        self.maps, self.splits, self.band = [], [], []
         for t in range(s.orderings):
             rng = np.random.default_rng(t)
-            chosen = rng.permutation(len(sample))[: s.landmarks]
-            marks = sample[chosen]
-            onto = marks @ rng.standard_normal((sample.shape[1], s.dimensions)).astype(np.float32)
-            y = self._project(sample, marks, onto)
+            order = rng.permutation(len(sample))
+            marks = Landmarks(sample[order[: s.landmarks]], s, rng)
+            y = marks.place(sample[order[::-1][:32_768]]) @ (onto := rng.standard_normal((sample.shape[1], s.dimensions)).astype(np.float32))
             edges = np.quantile(y, np.linspace(0, 1, 257)[1:-1], axis=0).astype(np.float32)
-            self.maps.append((quantised[chosen], onto, edges))
-            keys = np.sort(self._keys(y, edges))
-            at = (np.arange(1, parts) * len(keys)) // parts
+            self.maps.append((marks, onto, edges, rng.random(s.dimensions)))
+            keys = np.sort(self._keys(y, t))
+            at = (np.arange(1, self.parts) * len(keys)) // self.parts
             self.splits.append(keys[at])
             # keys about one block before and after each split point
             block = max(1, -(-s.block * len(keys) // max(rows, 1)))
-            self.reach.append((keys[np.maximum(at - block, 0)], keys[np.minimum(at + block, len(keys) - 1)]))
-        self.partitions = parts * s.orderings
-        self.parts = parts
-
-    def _project(self, x: np.ndarray, marks: np.ndarray, onto: np.ndarray) -> np.ndarray:
-        step, out = max(1, PROJECTED // len(marks)), []
-        for at in range(0, len(x), step):
-            w = x[at : at + step] @ marks.T
-            w = np.exp(self.s.sharpness * (w - w.max(1, keepdims=True)))
-            out.append((w @ onto) / w.sum(1, keepdims=True))
-        return np.concatenate(out)
-
-    def _keys(self, y: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        """Curve place of projected rows: each dimension is cut at the sample's quantiles, evenly between them."""
-        bits, cells = self.s.bits, np.empty(y.shape, np.int64)
+            self.band.append((keys[np.maximum(at - block, 0)], keys[np.minimum(at + block, len(keys) - 1)]))
+
+    def centred(self, x: np.ndarray) -> np.ndarray:
+        """Sketches of unit vectors, seen from the sample's mean."""
+        return _rows_to_one(x @ _projection(x.shape[1], self.s.sketch) - self.mean)
+
+    def _keys(self, y: np.ndarray, t: int) -> np.ndarray:
+        """Curve place of projected rows: each dimension is cut at the sample's quantiles, and shifted."""
+        _, _, edges, shift = self.maps[t]
+        size = 1 << self.s.bits
+        cells = np.empty(y.shape, np.int64)
         for i in range(y.shape[1]):
             e = edges[:, i]
             j = np.searchsorted(e, y[:, i])
             lo, hi = e[np.maximum(j - 1, 0)], e[np.minimum(j, len(e) - 1)]
             within = np.clip(np.where(hi > lo, (y[:, i] - lo) / np.where(hi > lo, hi - lo, 1), 0.5), 0, 0.999)
-            cells[:, i] = ((j + within) * (1 << (bits - 8))).astype(np.int64)
-        return hilbert_keys(np.clip(cells, 0, (1 << bits) - 1), bits)
-
-    def place(self, x: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
-        """(partition, key) of unit vectors in ordering t."""
-        if t not in self.unit:
-            self.unit[t] = _normal(self.maps[t][0])
-        _, onto, edges = self.maps[t]
-        keys = self._keys(self._project(x, self.unit[t], onto), edges)
-        return t * self.parts + np.searchsorted(self.splits[t], keys, "right"), keys
-
-    def guests(self, where: np.ndarray, keys: np.ndarray, t: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            cells[:, i] = ((j + within) / 256 + shift[i]) / 2 * size
+        return hilbert_keys(np.clip(cells, 0, size - 1), self.s.bits)
+
+    def place(self, sketch: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """(partition, key) of centred sketches in ordering t."""
+        marks, onto, _, _ = self.maps[t]
+        keys = self._keys(marks.place(sketch) @ onto, t)
+        return np.searchsorted(self.splits[t], keys, "right"), keys
+
+    def guests(self, at: np.ndarray, keys: np.ndarray, t: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(rows, partition) of those placed rows that lie within a block of a split point, for the partition beyond."""
         if self.parts == 1:
             return
-        at, (low, high) = where - t * self.parts, self.reach[t]
+        low, high = self.band[t]
         up = np.nonzero((at < self.parts - 1) & (keys >= low[np.minimum(at, self.parts - 2)]))[0]
-        yield up, where[up] + 1
+        yield up, at[up] + 1
         down = np.nonzero((at > 0) & (keys < high[np.maximum(at - 1, 0)]))[0]
-        yield down, where[down] - 1
+        yield down, at[down] - 1
 
 
-def _signed(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(len(column), -1)
+def _projection(dimensions: int, onto: int) -> np.ndarray:
+    """Random directions, the same in every process; scaled so that similarities keep their size."""
+    x = np.random.default_rng(384).standard_normal((dimensions, onto)) / onto**0.5
+    return x.astype(np.float32)
 
 
-def _normal(quantised: np.ndarray) -> np.ndarray:
-    x = quantised.astype(np.float32)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(column), -1)
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    """Unit vectors of a column of quantised ones."""
-    return _normal(_signed(column))
+def _usable(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        n = np.linalg.norm(x.astype(np.float64), axis=1)
+    return np.isfinite(n) & (n > 0)
 
 
-def _quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors as signed bytes, and the hash of the vector as it was; unusable ones are left out."""
-    for b in batches:
-        column = b["embedding"]
-        x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(column), -1)
-        usable = np.isfinite(x).all(1) & (x != 0).any(1)
-        x = x[usable]
-        q = np.rint(x * (127 / np.abs(x).max(1, keepdims=True, initial=0))).astype(np.int8)
-        group = np.frombuffer(b"".join(xxhash.xxh128_digest(r.tobytes()) for r in x), np.int64).reshape(-1, 2)
-        yield pa.record_batch([b["id"].filter(pa.array(usable)), pa.array([r.tobytes() for r in q], pa.binary()), pa.array(group[:, 0]), pa.array(group[:, 1])], ["id", "vector", "ga", "gb"])
+def _unit(x: np.ndarray) -> np.ndarray:
+    return (x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)).astype(np.float32)
+
+
+def _packed(x: np.ndarray) -> pa.Array:
+    """Vectors as they are: the bytes of equal weight together, compressed."""
+    press = zstandard.ZstdCompressor(level=1).compress
+    return pa.array([press(r.tobytes()) for r in np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1, 4).transpose(0, 2, 1))], pa.binary())
 
 
-def _spread(shared):
-    """Each vector once per ordering, with its partition and key, and as a guest where it lies near a split point."""
+def _unpacked(column: pa.Array) -> np.ndarray:
+    press = zstandard.ZstdDecompressor().decompress
+    flat = np.frombuffer(b"".join(map(press, column.to_pylist())), np.uint8).reshape(len(column), 4, -1)
+    return np.ascontiguousarray(flat.transpose(0, 2, 1)).view(np.float32).reshape(len(column), -1)
 
+
+def _sketches(drawn: int, size: int):
+    """(id, ga, gb, sketch): 128 bits of hash of each usable vector; the sketch of those that are drawn as a sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _matrix(b["embedding"])
+            ok = np.nonzero(_usable(x))[0]
+            x, ids = x[ok], b["id"].take(pa.array(ok))
+            group = np.frombuffer(b"".join(xxhash.xxh128_digest(r.tobytes()) for r in x), np.int64).reshape(-1, 2)
+            chosen = np.nonzero(group[:, 0] % (1 << 20) < drawn)[0]
+            flat = (_unit(x[chosen]) @ _projection(x.shape[1], size)).astype(np.float16)
+            sketches: list[bytes | None] = [None] * len(x)
+            for i, r in zip(chosen, flat, strict=True):
+                sketches[i] = r.tobytes()
+            yield pa.record_batch([ids, pa.array(group[:, 0]), pa.array(group[:, 1]), pa.array(sketches, pa.binary())], ["id", "ga", "gb", "sketch"])
+
+    return run
+
+
+_TRAVELLING = "id string, vector binary, part int, key long, guest boolean, ids array<string>, far array<int>"
+
+
+def _placed(o: Orderings, t: int, ids: pa.Array, vectors: pa.Array, unit: np.ndarray, near: pa.Array, far: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Rows with their place in ordering t; those near a split point once more as guests beyond it, without candidates."""
+    where, keys = o.place(o.centred(unit), t)
+    names = [x.strip().split()[0] for x in _TRAVELLING.split(",")]
+    yield pa.record_batch([ids, vectors, pa.array(where, pa.int32()), pa.array(keys, pa.int64()), pa.array(np.zeros(len(ids), bool)), near, far], names)
+    for rows, to in o.guests(where, keys, t):
+        some = pa.array(rows)
+        none = [pa.nulls(len(rows), x) for x in (pa.list_(pa.string()), pa.list_(pa.int32()))]
+        yield pa.record_batch([ids.take(some), vectors.take(some), pa.array(to, pa.int32()), pa.array(keys[rows], pa.int64()), pa.array(np.ones(len(rows), bool)), *none], names)
+
+
+def _first(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o: Orderings = shared.value
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
-                x = _unit(part["vector"])
-                for t in range(o.s.orderings):
-                    where, keys = o.place(x, t)
-                    for rows, to, guest in [(None, where, False), *((*g, True) for g in o.guests(where, keys, t))]:
-                        some = part if rows is None else part.take(pa.array(rows))
-                        at_keys = keys if rows is None else keys[rows]
-                        yield pa.record_batch([some["id"], some["vector"], pa.array(to, pa.int32()), pa.array(at_keys, pa.int64()), pa.array(np.full(len(to), guest))], ["id", "vector", "part", "key", "guest"])
+            x = _matrix(b["embedding"])
+            ok = np.nonzero(_usable(x))[0]
+            for i in range(0, len(ok), 4096):
+                some = ok[i : i + 4096]
+                none = [pa.nulls(len(some), x) for x in (pa.list_(pa.string()), pa.list_(pa.int32()))]
+                yield from _placed(o, 0, b["id"].take(pa.array(some)).cast(pa.string()), _packed(x[some]), _unit(x[some]), *none)
 
     return run
 
 
-def _windows(s: Settings):
-    """Candidates of each row in batches sorted by (part, key): its best among its block and the two beside it.
+class _Block:
+    """Neighbours on the curve: what they carry, unit vectors, guests, and the middle of their sketches."""
+
+    def __init__(self, rows: pa.RecordBatch, o: Orderings) -> None:
+        self.rows = rows
+        self.ids = np.array(rows["id"].to_pylist(), str)
+        self.unit = _unit(_unpacked(rows["vector"]))
+        self.own = np.nonzero(~rows["guest"].to_numpy(zero_copy_only=False))[0]
+        self.middle = o.centred(self.unit).mean(0)
+        self.dense = float(np.linalg.norm(self.middle))
 
-    Guests are candidates only; they come before or after all other rows of their part.
-    """
 
-    def best(ids: np.ndarray, x: np.ndarray, at: int, n: int) -> pa.RecordBatch:
-        """Candidates for rows at .. at + n - 1 of ids / x."""
-        far = -(x[at : at + n] @ x.T)
-        far[np.arange(n), np.arange(at, at + n)] = np.inf
-        take = min(s.k, len(ids) - 1)
-        if take:
-            # equal distances in the last places: smaller ids first
-            last = np.partition(far, take - 1, axis=1)[:, take - 1 : take]
-            row, col = np.nonzero(far <= last)
-            d = far[row, col]
-            order = np.lexsort((ids[col], d, row))
-            row, col, d = row[order], col[order], d[order]
-            start = np.searchsorted(row, np.arange(n))
-            pick = (start[:, None] + np.arange(take)).ravel()
-            near, d = ids[col[pick]].reshape(n, take), d[pick]
-        else:
-            near, d = np.zeros((n, 0), ids.dtype), np.zeros(0, np.float32)
-        ends = pa.array(np.arange(n + 1, dtype=np.int32) * take)
-        lists = [pa.ListArray.from_arrays(ends, pa.array(v, k)) for v, k in ((near.ravel(), pa.string()), (np.rint(d * FAR).astype(np.int16), pa.int16()))]
-        return pa.record_batch([pa.array(ids[at : at + n], pa.string()), *lists], ["id", "ids", "far"])
+def _blocks(batches: Iterator[pa.RecordBatch], o: Orderings) -> Iterator[_Block]:
+    held, size = [], 0
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            n = min(b.num_rows - at, o.s.block - size)
+            held.append(b.slice(at, n))
+            at, size = at + n, size + n
+            if size == o.s.block:
+                yield _Block(pa.Table.from_batches(held).combine_chunks().to_batches()[0], o)
+                held, size = [], 0
+    if size:
+        yield _Block(pa.Table.from_batches(held).combine_chunks().to_batches()[0], o)
+
+
+def _best(s: Settings, here: _Block, others: list[_Block]) -> tuple[pa.Array, pa.Array]:
+    """(ids, far) of the best k of each own row of a block: among the blocks given and what the row carries."""
+    ids = np.concatenate([here.ids, *[z.ids for z in others]])
+    x = np.concatenate([here.unit, *[z.unit for z in others]])
+    n, own = len(here.own), here.own
+    far = -(here.unit[own] @ x.T)
+    far[np.arange(n), own] = np.inf
+    take = min(s.k, len(ids) - 1)
+    row, near, d = np.zeros(0, np.int64), np.zeros(0, ids.dtype), np.zeros(0, np.int64)
+    if take:
+        last = np.partition(far, take - 1, axis=1)[:, take - 1 : take]
+        row, col = np.nonzero(far <= last + 2 / FAR)
+        near, d = ids[col], np.rint(far[row, col] * FAR).astype(np.int64)
+    lists, before = here.rows["ids"].take(pa.array(own)), here.rows["far"].take(pa.array(own))
+    sizes = np.array([len(v) if v is not None else 0 for v in before.to_pylist()], np.int64)
+    if sizes.sum():
+        row = np.concatenate([row, np.repeat(np.arange(n), sizes)])
+        near = np.concatenate([near, np.array(lists.flatten().to_pylist(), str)])
+        d = np.concatenate([d, before.flatten().to_numpy().astype(np.int64)])
+        # a candidate that both know counts once
+        _, code = np.unique(near, return_inverse=True)
+        _, once = np.unique(row * (len(near) + 1) + code, return_index=True)
+        row, near, d = row[once], near[once], d[once]
+    order = np.lexsort((near, d, row))
+    row, near, d = row[order], near[order], d[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < s.k
+    row, near, d = row[keep], near[keep], d[keep]
+    ends = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, pa.array(near, pa.string())), pa.ListArray.from_arrays(ends, pa.array(d.astype(np.int32)))
+
+
+def _windows(shared, t: int):
+    """The best of each row of a partition of ordering t, sorted by key; placed in the next ordering if there is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def blocks() -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-            """(part, ids, unit vectors, guest) of up to `block` rows; a block doesn't cross parts."""
-            held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
-            size = 0
-            whole = lambda: (held[0][0], *(np.concatenate([h[i] for h in held]) for i in (1, 2, 3)))
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                parts = b["part"].to_numpy()
-                ids, x, guest = np.array(b["id"].to_pylist(), str), _unit(b["vector"]), np.array(b["guest"].to_pylist(), bool)
-                cuts = [0, *(np.nonzero(np.diff(parts))[0] + 1), len(parts)]
-                for lo, hi in zip(cuts, cuts[1:], strict=False):
-                    at = lo
-                    while at < hi:
-                        if held and held[0][0] != parts[at]:
-                            yield whole()
-                            held, size = [], 0
-                        n = min(hi - at, s.block - size)
-                        held.append((int(parts[at]), ids[at : at + n], x[at : at + n], guest[at : at + n]))
-                        at, size = at + n, size + n
-                        if size == s.block:
-                            yield whole()
-                            held, size = [], 0
-            if held:
-                yield whole()
-
-        def compare(before, here, after) -> Iterator[pa.RecordBatch]:
-            own = np.nonzero(~here[3])[0]
-            if not len(own):
+        o: Orderings = shared.value
+        s, held, first = o.s, [], 0  # held[j] is block first + j
+
+        def around(i: int) -> list[_Block]:
+            here, found = held[i - first], []
+            for step in (-1, 1):
+                for j in range(1, s.reach + 1):
+                    at = i + step * j - first
+                    if not 0 <= at < len(held):
+                        break
+                    if j > 1 and not (here.dense >= s.dense and float(here.middle @ held[at].middle) >= s.dense * here.dense * held[at].dense and held[at].dense >= s.dense):
+                        break
+                    found.append(held[at])
+            return found
+
+        def done(i: int) -> Iterator[pa.RecordBatch]:
+            here = held[i - first]
+            if not len(here.own):
                 return
-            side = [z for z in (before, here, after) if z is not None and z[0] == here[0]]
-            ids, x = np.concatenate([z[1] for z in side]), np.concatenate([z[2] for z in side])
-            at = len(before[1]) if before is not None and before[0] == here[0] else 0
-            for i in range(own[0], own[-1] + 1, 256):
-                yield best(ids, x, at + i, min(256, own[-1] + 1 - i))
-
-        before = here = None
-        for after in blocks():
-            if here is not None:
-                yield from compare(before, here, after)
-            before, here = here, after
-        if here is not None:
-            yield from compare(before, here, None)
+            near, far = _best(s, here, around(i))
+            own = pa.array(here.own)
+            if t + 1 == s.orderings:
+                yield pa.record_batch([here.rows["id"].take(own), near], ["id", "near"])
+            else:
+                yield from _placed(o, t + 1, here.rows["id"].take(own), here.rows["vector"].take(own), here.unit[here.own], near, far)
+
+        i = 0
+        for b in _blocks(batches, o):
+            held.append(b)
+            if len(held) + first > i + s.reach:
+                yield from done(i)
+                i += 1
+                if i - first > s.reach:
+                    held, first = held[1:], first + 1
+        for j in range(i, first + len(held)):
+            yield from done(j)
 
     return run
 
 
 def usable_vectors(df: DataFrame, key: str, vector: str, order: str, dimensions: int) -> DataFrame:
-    """(id, vector, ga, gb) of the current row of each key; null, short, non-finite and zero vectors are left out.
+    """(id, embedding) of the current row of each key; null and short vectors and those with a null are left out.
 
-    ga and gb are 128 bits of hash of the vector as it was. Only keys with several rows are shuffled.
+    Only keys with several rows are shuffled. Non-finite and zero vectors are left out by nearest().
     """
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("id"), order, F.when(F.size(vector) == dimensions, F.col(vector)).alias("embedding"))
     several = materialize(rows.groupBy("id").count().where("count > 1").select("id"), "several")
@@ -292,44 +407,40 @@ def usable_vectors(df: DataFrame, key: str, vector: str, order: str, dimensions:
         several = F.broadcast(several)
     one = rows.join(several, "id", "left_anti").select("id", "embedding")
     rows = one.unionByName(current_rows(rows.join(several, "id", "left_semi"), "id", order, ["embedding"]))
-    whole = rows.where("embedding IS NOT NULL AND NOT exists(embedding, v -> v IS NULL)")
-    return whole.mapInArrow(_quantise, "id string, vector binary, ga long, gb long")
+    return rows.where("embedding IS NOT NULL AND NOT exists(embedding, v -> v IS NULL)")
 
 
 def nearest(vectors: DataFrame, s: Settings | None = None, rows: int | None = None) -> DataFrame:
     """(id, near): for each row of usable_vectors() its k most cosine-similar others, ties by smaller id.
 
-    near is an array of ids, the most similar first. ids must be unique. Equal vectors form a
-    group: its k + 1 smallest ids are searched, which is all that any row can have among its nearest, and the rest
-    take the group's first ids. An empty or one-row table gives no neighbours. rows is about how many there are.
+    near is an array of ids, the most similar first. ids must be unique; vectors with a value that isn't finite and zero
+    vectors are left out. Equal vectors form a group: its k + 1 smallest ids are searched, which is all that any row can
+    have among its nearest, and the rest take the group's first ids. An empty or one-row table gives no neighbours. rows
+    is about how many there are.
     """
     spark = vectors.sparkSession
     rows = vectors.count() if rows is None else rows
     s = Settings.for_rows(rows) if s is None else s
-    drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.2 * s.sample / max(rows, 1)))
-    hashed = materialize(vectors.select("id", "ga", "gb", F.when(drawn, F.col("vector")).alias("vector")), "vectors")
+    drawn = int((1 << 20) * min(1.0, 1.1 * s.sample / max(rows, 1)))
+    hashed = materialize(vectors.mapInArrow(_sketches(drawn, s.sketch), "id string, ga long, gb long, sketch binary"), "vectors")
+    full = hashed.groupBy("ga", "gb").count().where(F.col("count") > s.copies).select("ga", "gb")
     place = F.row_number().over(Window.partitionBy("ga", "gb").orderBy("id"))
-    heads = hashed.select("id", "ga", "gb").withColumn("place", place).where(F.col("place") <= s.copies)
-    full = materialize(heads.groupBy("ga", "gb").agg(F.max("place").alias("n"), F.array_sort(F.collect_list("id")).alias("ids")).where(F.col("n") == s.copies), "full-groups")
-    # groups of fewer copies are searched whole, so only the full ones need looking up
-    surplus = hashed.select("id", "ga", "gb").join(full, ["ga", "gb"]).where(~F.array_contains("ids", F.col("id"))).select("id", "ids")
-    surplus = materialize(surplus, "surplus")
+    # a window group limit keeps k + 1 rows of a group in each task before the shuffle
+    heads = hashed.select("id", "ga", "gb").join(full, ["ga", "gb"], "left_semi").withColumn("place", place).where(F.col("place") <= s.copies)
+    heads = heads.groupBy("ga", "gb").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    surplus = materialize(hashed.select("id", "ga", "gb").join(heads, ["ga", "gb"]).where(~F.array_contains("ids", F.col("id"))).select("id", "ids"), "surplus")
     copies = F.broadcast(surplus.select("id")) if surplus.count() <= BROADCAST_KEYS else surplus.select("id")
-    searched = vectors.select("id", "vector").join(copies, "id", "left_anti")
 
-    sample = hashed.where("vector IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(s.sample).select("vector").collect()  # bounded by s.sample
+    sample = hashed.where("sketch IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(s.sample).select("sketch").collect()  # bounded by s.sample
     if len(sample) < 2:
         return spark.createDataFrame([], "id string, near array<string>")
-    orderings = Orderings(_signed(pa.array([bytes(r.vector) for r in sample])), rows, s)
-    spread = searched.mapInArrow(_spread(spark.sparkContext.broadcast(orderings)), "id string, vector binary, part int, key long, guest boolean")
-    ranged = spread.repartitionById(orderings.partitions, F.col("part")).sortWithinPartitions("part", "key")
-    near = ranged.mapInArrow(_windows(s), "id string, ids array<string>, far array<smallint>")
-    # at most one list per ordering comes together; the first of an id's entries is its place
-    lists = near.groupBy("id").agg(F.collect_list(F.struct("far", "ids")).alias("lists"))
-    entries = F.transform("lists", lambda x: F.zip_with(x.far, x.ids, lambda d, i: F.struct(d.alias("far"), i.alias("id"))))
-    merged = lists.select("id", F.array_sort(F.flatten(entries)).alias("all"))
-    own = merged.select("id", F.slice(F.array_distinct("all.id"), 1, s.k).alias("near"))
-    return own.unionByName(surplus.select("id", F.slice("ids", 1, s.k).alias("near")))
+    sketches = np.frombuffer(b"".join(bytes(r.sketch) for r in sample), np.float16).reshape(len(sample), -1).astype(np.float32)
+    shared = spark.sparkContext.broadcast(Orderings(sketches, rows, s))
+    at = vectors.join(copies, "id", "left_anti").mapInArrow(_first(shared), _TRAVELLING)
+    for t in range(s.orderings):
+        ranged = at.repartitionById(shared.value.parts, F.col("part")).sortWithinPartitions("key", "id")
+        at = ranged.mapInArrow(_windows(shared, t), "id string, near array<string>" if t + 1 == s.orderings else _TRAVELLING)
+    return at.unionByName(surplus.select("id", F.slice("ids", 1, s.k).alias("near")))
 
 
 def neighbour_pairs(near: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def test_hilbert_visits_each_cell_once_by_neighbours():
 def test_recall_in_many_blocks(spark):
     rng = np.random.default_rng(0)
     x, ids = clustered(rng, 3000), [f"c{i:05}" for i in range(3000)]
-    s = c.Settings(block=256, landmarks=128, sample=512, partition_rows=1500)
+    s = c.Settings(block=64, landmarks=400, partition_rows=750)
     got = {r.id: r.near for r in c.nearest(vectors(spark, [(i, v.tolist(), 0, 1) for i, v in zip(ids, x, strict=True)]), s).collect()}
     want = truth(ids, x, 10)
     assert set(got) == set(ids) and all(len(v) == 10 and i not in v for i, v in got.items())
@@ -61,3 +61,14 @@ def test_unusable_and_older_rows(spark):
 def test_empty_and_single(spark):
     assert c.neighbour_pairs(c.nearest(vectors(spark, []))).collect() == []
     assert c.neighbour_pairs(c.nearest(vectors(spark, [("a", [1.0] * DIM, 1, 1)]))).collect() == []
+
+
+def test_vectors_are_packed_without_loss():
+    x = np.random.default_rng(2).standard_normal((7, DIM)).astype(np.float32) * np.float32(1e-20)
+    assert (c._unpacked(c._packed(x)) == x).all()
+
+
+def test_values_that_overflow_and_clashing_columns(spark):
+    rows = [("a", [3e38] * DIM, 1, 1), ("b", [1e-38] * DIM, 1, 1), ("c", [float("inf")] + [1.0] * (DIM - 1), 1, 1)]
+    got = {r.id: r.near for r in c.nearest(vectors(spark, rows)).collect()}
+    assert got == {"a": ["b"], "b": ["a"]}

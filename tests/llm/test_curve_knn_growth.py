@@ -6,27 +6,61 @@ import pyarrow as pa
 from loamspark.llm import curve_knn as c
 
 
-def test_landmarks_and_blocks_are_not_capped():
-    for rows in (800_000, 8_000_000):
-        s = c.Settings.for_rows(rows)
-        assert s.landmarks == rows // 48 and s.sample >= 2 * s.landmarks
-        assert s.block == int(9 * rows**0.5)
+def test_sample_is_bounded_and_blocks_do_not_grow():
+    small, large = c.Settings.for_rows(80_000), c.Settings.for_rows(80_000_000)
+    assert small.landmarks == 10_000 and large.sample == 65_536
+    assert small.block == large.block and small.reach == large.reach
+
+
+def near_in_one_process(x, s):
+    """What each ordering's partitions yield, run one after the other without a session."""
+    ids = np.array([f"c{i:04}" for i in range(len(x))])
+    o = c.Orderings(c._unit(x) @ c._projection(x.shape[1], s.sketch), len(x), s)
+    shared = SimpleNamespace(value=o)
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+    at = list(c._first(shared)([pa.record_batch([pa.array(ids), flat], ["id", "embedding"])]))
+    placed = {}
+    for t in range(s.orderings):
+        rows = pa.Table.from_batches(at)
+        placed[t] = {r["id"]: r["part"] for r in rows.to_pylist() if not r["guest"]}
+        at = []
+        for p in range(o.parts):
+            part = rows.filter(pa.compute.equal(rows["part"], p)).sort_by([("key", "ascending"), ("id", "ascending")])
+            at += list(c._windows(shared, t)(iter(part.to_batches())))
+    found = [r for b in at for r in b.to_pylist()]
+    assert sorted(r["id"] for r in found) == list(ids)
+    return {r["id"]: r["near"] for r in found}, placed
 
 
 def test_neighbours_across_split_points_are_compared():
-    rng = np.random.default_rng(3)
-    x = rng.integers(-127, 128, (1200, 16)).astype(np.int8)
-    ids = [f"c{i:04}" for i in range(len(x))]
-    s = c.Settings(orderings=1, landmarks=64, sample=1200, block=60, partition_rows=300)
-    o = c.Orderings(x, len(x), s)
-    where = dict(zip(ids, o.place(c._normal(x), 0)[0].tolist(), strict=True))
-    batch = pa.record_batch([pa.array(ids), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "vector"])
-    spread = pa.Table.from_batches(list(c._spread(SimpleNamespace(value=o))([batch]))).sort_by([("part", "ascending"), ("key", "ascending")])
-    near = {}
-    for b in c._windows(s)(iter(spread.to_batches())):
-        for r in b.to_pylist():
-            assert r["id"] not in near and r["id"] not in r["ids"]
-            near[r["id"]] = r["ids"]
-    assert set(near) == set(ids)
+    x = np.random.default_rng(3).standard_normal((1200, 16)).astype(np.float32)
+    near, placed = near_in_one_process(x, c.Settings(orderings=1, landmarks=600, block=60, partition_rows=300))
+    where = placed[0]
     across = {tuple(sorted((where[i], where[j]))) for i, js in near.items() for j in js if where[i] != where[j]}
-    assert across == {(0, 1), (1, 2), (2, 3)}
+    assert {(0, 1), (1, 2), (2, 3)} <= across
+
+
+def test_a_dense_region_larger_than_its_neighbour_blocks_is_searched_further():
+    rng = np.random.default_rng(4)
+    dense = rng.standard_normal(16) * 3 + 0.3 * rng.standard_normal((700, 16))
+    x = np.concatenate([dense, rng.standard_normal((900, 16))]).astype(np.float32)
+    u = c._unit(x)
+    sims = u @ u.T
+    np.fill_diagonal(sims, -9)
+    best = np.argsort(-sims[:700], axis=1)[:, :10]
+
+    def recall(reach):
+        near, _ = near_in_one_process(x, c.Settings(orderings=1, landmarks=600, block=40, partition_rows=1600, reach=reach))
+        return np.mean([len({f"c{j:04}" for j in best[i]} & set(near[f"c{i:04}"])) / 10 for i in range(700)])
+
+    assert recall(20) >= 0.9 > recall(1)
+
+
+def test_candidates_of_both_orderings_are_ranked_together():
+    x = np.random.default_rng(5).standard_normal((500, 16)).astype(np.float32)
+    u = c._unit(x)
+    near, _ = near_in_one_process(x, c.Settings(landmarks=250, block=50, partition_rows=600))
+    for i, js in near.items():
+        cos = [float(u[int(i[1:])] @ u[int(j[1:])]) for j in js]
+        assert len(set(js)) == len(js) == 10 and i not in js
+        assert all(a >= b - 2e-6 for a, b in zip(cos, cos[1:], strict=False))
