@@ -149,6 +149,20 @@ class Landmarks:
             far[r], which[r] = np.take_along_axis(d, best, 1), np.take_along_axis(i, best, 1)
         return which, -far
 
+    def __getstate__(self) -> dict:
+        """Sketches are sent as signed bytes: they only say where to look, vectors are never rounded."""
+        state = dict(self.__dict__)
+        for name in ("marks", "centres", "heads"):
+            scale = float(np.abs(state[name]).max()) / 127
+            state[name] = (np.rint(state[name] / scale).astype(np.int8), scale)
+        return state
+
+    def __setstate__(self, state: dict) -> None:
+        for name in ("marks", "centres", "heads"):
+            whole, scale = state[name]
+            state[name] = _rows_to_one(whole.astype(np.float32) * np.float32(scale))
+        self.__dict__.update(state)
+
     @staticmethod
     def _mix(which: np.ndarray, near: np.ndarray, sharp: float, of: np.ndarray) -> np.ndarray:
         w = np.exp(sharp * (near - near.max(1, keepdims=True)))
@@ -423,12 +437,14 @@ def nearest(vectors: DataFrame, s: Settings | None = None, rows: int | None = No
     s = Settings.for_rows(rows) if s is None else s
     drawn = int((1 << 20) * min(1.0, 1.1 * s.sample / max(rows, 1)))
     hashed = materialize(vectors.mapInArrow(_sketches(drawn, s.sketch), "id string, ga long, gb long, sketch binary"), "vectors")
-    full = hashed.groupBy("ga", "gb").count().where(F.col("count") > s.copies).select("ga", "gb")
+    full = materialize(hashed.groupBy("ga", "gb").count().where(F.col("count") > s.copies).select("ga", "gb"), "full-groups")
+    if full.count() <= BROADCAST_KEYS:
+        full = F.broadcast(full)
     place = F.row_number().over(Window.partitionBy("ga", "gb").orderBy("id"))
-    # a window group limit keeps k + 1 rows of a group in each task before the shuffle
+    # a window group limit keeps k + 1 rows of a group in each task before the shuffle; the groups are those of `full`
     heads = hashed.select("id", "ga", "gb").join(full, ["ga", "gb"], "left_semi").withColumn("place", place).where(F.col("place") <= s.copies)
     heads = heads.groupBy("ga", "gb").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    surplus = materialize(hashed.select("id", "ga", "gb").join(heads, ["ga", "gb"]).where(~F.array_contains("ids", F.col("id"))).select("id", "ids"), "surplus")
+    surplus = materialize(hashed.select("id", "ga", "gb").join(full, ["ga", "gb"], "left_semi").join(heads, ["ga", "gb"]).where(~F.array_contains("ids", F.col("id"))).select("id", "ids"), "surplus")
     copies = F.broadcast(surplus.select("id")) if surplus.count() <= BROADCAST_KEYS else surplus.select("id")
 
     sample = hashed.where("sketch IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(s.sample).select("sketch").collect()  # bounded by s.sample
