@@ -153,7 +153,7 @@ class Landmarks:
         """Sketches are sent as signed bytes: they only say where to look, vectors are never rounded."""
         state = dict(self.__dict__)
         for name in ("marks", "centres", "heads"):
-            scale = float(np.abs(state[name]).max()) / 127
+            scale = max(float(np.abs(state[name]).max(initial=0)), 1e-30) / 127
             state[name] = (np.rint(state[name] / scale).astype(np.int8), scale)
         return state
 
