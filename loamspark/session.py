@@ -48,6 +48,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder for tables that go when the driver ends or release() is called."""
+    path = f"{shared_dir(spark)}/loamspark-{label}-{uuid.uuid4().hex}"
+    _written.append((weakref.ref(spark), path))
+    return path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path holds anything."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
@@ -55,9 +68,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     The files go when the driver ends or release() is called.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loamspark-{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((weakref.ref(spark), path))
     return spark.read.schema(df.schema).parquet(path)
 
 
