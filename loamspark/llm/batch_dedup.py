@@ -1,39 +1,49 @@
 """Deduplication of new batches against everything accepted, by content-defined chunks.
 
 A text's words are cut where a rolling hash over a word's bytes meets a mask, so an edit changes only the chunks it
-touches. A table of chunk keys leads to the records that hold them: records that share a chunk are candidates, the
-bytes of their shared chunks decide whether they are compared, and the distinct words of those that are left give the
-verdict. Records with a chunk that many hold meet by their rarest distinct words instead, which misses none. Accepted records go into the table, which stays between batches.
+touches. A persistent table leads from chunks to the records that hold them: records that share a chunk are candidates,
+the bytes of their shared chunks decide whether they are compared, and the distinct words of those that are left give
+the verdict. Short texts, all of whose chunks a few edits may hit, are found by their rarest words in the same table,
+which misses none. Accepted records go into the table; a batch reads only the buckets of its own chunks.
+
+No chunk is left out for being frequent: the records of one that many hold are compared in tiles of bounded size.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamspark.llm.words import words
 from loamspark.operators.rows import current_rows
-from loamspark.session import materialize, table
+from loamspark.session import exists, materialize, scratch, table
 
 #: Texts match from this share of common distinct words on, given as a fraction of whole numbers.
 SHARE = (7, 10)
 #: Texts with fewer distinct words never match.
 LEAST_WORDS = 6
-#: A word ends a chunk with probability 1 / CUT.
-CUT, SEED = 2, 11
-#: Records with a chunk in more records than that are joined on their rarest distinct words.
-HOT = 128
+#: A word ends a chunk of at least LEAST_CHUNK words with probability 1 / CUT.
+CUT, LEAST_CHUNK, SEED = 2, 2, 11
+#: Texts of at most so many distinct words, and those that may match them, are found by their rarest words as well.
+SHORT = 15
 #: Words whose frequency ranks them; the others are rarer and ranked by hash. Any ranking gives the same matches.
 RANKED = 65_536
-#: Chunks are counted in one of so many classes first: those far beyond HOT there needn't be shuffled to be counted.
+#: The frequencies come from one of so many texts.
+RANK_SAMPLE = 64
+#: Rows of one key that are compared at once; keys with more are split into tiles of about so many by so many rows.
+HOT = 16_384
+#: Keys beyond HOT are found by counting one of so many classes.
 COUNTED = 16
+#: Days of new records are matched together until they have so many: results are those of one day after another.
+PASS_RECORDS = 65_536
 #: Least share of the smaller text's bytes in shared chunks.
 COVERAGE = 0.02
 #: Rows of (at most) 16 bytes that are broadcast; more are joined.
@@ -42,7 +52,7 @@ BROADCAST_ROWS = 1_000_000
 WORD_BITS, MAP_BITS = 8, 54
 TOP_WORDS = (1 << WORD_BITS) - 1
 
-_FEATURES = "cls_a long, cls_b long, tag long, size int, words array<int>, chunks array<long>"
+_FEATURES = "cls_a long, cls_b long, tag long, size int, words array<int>, keys array<long>"
 
 
 class _Hashes(dict):
@@ -58,13 +68,14 @@ class _Hashes(dict):
 
 def _chunks(hs: list[tuple[int, bool, int]]) -> list[int]:
     """Keys of the chunks: hash of the words in the upper bits, number of bytes in the lowest eight."""
-    out, h, n = [], 0, 0
+    out, h, n, held = [], 0, 0, 0
     for w, ends, size in hs:
         h = (h * 0x9E3779B97F4A7C15 + w) & 0xFFFFFFFFFFFFFFFF
         n += size
-        if ends:
+        held += 1
+        if ends and held >= LEAST_CHUNK:
             out.append((h ^ (h >> 29)) & 0xFFFFFFFFFFFFFF00 | min(n, 255))
-            h = n = 0
+            h = n = held = 0
     if n:
         out.append((h ^ (h >> 29)) & 0xFFFFFFFFFFFFFF00 | min(n, 255))
     return out
@@ -88,159 +99,173 @@ def _lists(xs: list[list[int]], kind: type) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int32 if kind is np.uint32 else np.int64)))
 
 
-def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    find = _Hashes().__getitem__
-    for b in batches:
-        keep, sizes, sets, tags, chunks, digests = [], [], [], [], [], []
-        texts = b["text"].to_pylist()
-        if "payload" in b.schema.names:
-            texts = [t if p is None else payload_text(p) for t, p in zip(texts, b["payload"].to_pylist(), strict=True)]
-        for i, t in enumerate(texts):
-            hs = list(map(find, words(t)))
-            distinct = sorted({h[0] for h in hs})
-            if len(distinct) < LEAST_WORDS:
-                continue
-            keep.append(i)
-            mask = 0
-            for h in distinct:
-                mask ^= 1 << h % MAP_BITS
-            tags.append(mask << WORD_BITS | min(len(distinct), TOP_WORDS))
-            digests.append(xxhash.xxh128_digest(np.array(distinct, np.uint64).tobytes()))
-            sets.append([h >> 32 for h in distinct])
-            sizes.append(sum(h[2] for h in hs))
-            chunks.append(_chunks(hs))
-        cls = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        take = pa.array(keep, pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [*[b[x].take(take) for x in ("id", "base", "at")], pa.array(cls[:, 0]), pa.array(cls[:, 1]), pa.array(tags, pa.int64()), pa.array(sizes, pa.int32()), _lists(sets, np.uint32), _lists(chunks, np.uint64)],
-            ["id", "base", "at", "cls_a", "cls_b", "tag", "size", "words", "chunks"],
-        )
-
-
-def records(texts: DataFrame) -> DataFrame:
-    """Features of (id, base, at, text[, payload]); texts with fewer than LEAST_WORDS distinct words are left out.
-
-    Records with the same set of distinct words are one class (cls_a, cls_b: 128 bits of hash). words holds 32 bits
-    of each word's hash.
-    """
-    cols = [c for c in ("id", "base", "at", "text", "payload") if c in texts.columns]
-    return texts.where(F.col("id").isNotNull()).select(*cols).mapInArrow(_featurise, f"id string, base boolean, at long, {_FEATURES}")
-
-
-CLS = ["cls_a", "cls_b"]
-
+def _rarest(distinct: list[int], ranks: dict[int, int]) -> list[int]:
+    """Keys of so many of a record's rarest words that any match has one of them among its own."""
+    num, den = SHARE
+    keep = len(distinct) + (-len(distinct) * num) // den + 1
+    return [h & 0xFFFFFFFFFFFFFF00 | 255 for h in sorted(distinct, key=lambda h: (ranks.get(h >> 32, 0), h))[:keep]]
 
-def classes(rows: DataFrame) -> DataFrame:
-    """One row per class: known from the start or not, its first new record (at, id), its size and representative.
 
-    A class with new records is represented by one of them. Features don't move: only ids and hashes are shuffled.
-    """
-    first = F.min(F.when(~F.col("base"), F.struct("at", "id")))
-    rep = F.min(F.struct("base", "id")).getField("id")
-    return rows.groupBy(*CLS).agg(F.max("base").alias("base"), first.alias("first"), F.count(F.lit(1)).alias("n"), rep.alias("rep"))
+def _featurise(ranks):
+    num, den = SHARE
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, ranked = _Hashes().__getitem__, dict(zip(*ranks.value, strict=True)) if ranks else {}
+        for b in batches:
+            keep, sizes, sets, tags, keys, digests = [], [], [], [], [], []
+            texts = b["text"].to_pylist()
+            if "payload" in b.schema.names:
+                texts = [t if p is None else payload_text(p) for t, p in zip(texts, b["payload"].to_pylist(), strict=True)]
+            for i, t in enumerate(texts):
+                hs = list(map(find, words(t)))
+                distinct = sorted({h[0] for h in hs})
+                if len(distinct) < LEAST_WORDS:
+                    continue
+                keep.append(i)
+                mask = 0
+                for h in distinct:
+                    mask ^= 1 << h % MAP_BITS
+                tags.append(mask << WORD_BITS | min(len(distinct), TOP_WORDS))
+                digests.append(xxhash.xxh128_digest(np.array(distinct, np.uint64).tobytes()))
+                sets.append([h >> 32 for h in distinct])
+                sizes.append(sum(h[2] for h in hs))
+                mine = set(_chunks(hs))
+                if len(distinct) * num <= SHORT * den:
+                    mine.update(_rarest(distinct, ranked))
+                keys.append(list(mine))
+            cls = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            take = pa.array(keep, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*[b[x].take(take) for x in ("id", "base", "at")], pa.array(cls[:, 0]), pa.array(cls[:, 1]), pa.array(tags, pa.int64()), pa.array(sizes, pa.int32()), _lists(sets, np.uint32), _lists(keys, np.uint64)],
+                ["id", "base", "at", "cls_a", "cls_b", "tag", "size", "words", "keys"],
+            )
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return run
 
 
-def _representatives(rows: DataFrame, cls: DataFrame) -> DataFrame:
-    several = _small(materialize(cls.where("n > 1").select(*CLS, "rep"), "several"))
-    copies = materialize(rows.select("id", *CLS).join(several, CLS).where("id <> rep").select("id"), "copies")
-    return rows.join(_small(copies), "id", "left_anti").withColumn("c", F.col("cls_a"))
+def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    find = _Hashes().__getitem__
+    for b in batches:
+        flat = [h for t in b["text"].to_pylist() for h in {find(w)[0] >> 32 for w in words(t)}]
+        yield pa.record_batch([pa.array(flat, pa.int64())], ["w"])
 
 
-def _keys(reps: DataFrame) -> DataFrame:
-    """A row for each chunk of each representative."""
-    return reps.select("c", "tag", "base", F.explode("chunks").alias("k"))
+def word_ranks(texts: DataFrame):
+    """Broadcast (words, frequencies) of the RANKED most frequent words in a sample of (id, text)."""
+    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(RANK_SAMPLE)) == 0).select("text").mapInArrow(_word_hashes, "w long")
+    rows = some.groupBy("w").count().where("count > 1").orderBy(F.desc("count"), "w").limit(RANKED).collect()  # bounded by RANKED
+    return texts.sparkSession.sparkContext.broadcast(([r.w for r in rows], [r["count"] for r in rows]))
 
 
-def _rarest(shared):
-    """(c, tag, base, w): so many of each record's rarest words that any match has one of them among its own."""
-    num, den = SHARE
+def records(texts: DataFrame, ranks=None) -> DataFrame:
+    """Features of (id, base, at, text[, payload]); texts with fewer than LEAST_WORDS distinct words are left out.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = shared.value
-        for b in batches:
-            found, ends = [], [0]
-            for ws in b["words"].to_pylist():
-                w = np.array(ws, np.int32)
-                at = np.minimum(np.searchsorted(known, w), len(known) - 1) if len(known) else None
-                rank = np.zeros(len(w), np.int64) if at is None else np.where(known[at] == w, counts[at], 0)
-                found.append(w[np.lexsort((w, rank))[: len(w) + (-len(w) * num) // den + 1]])
-                ends.append(ends[-1] + len(found[-1]))
-            rows = pa.array(np.repeat(np.arange(b.num_rows), np.diff(ends)))
-            flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int32), pa.int32())
-            yield pa.record_batch([*[b[x].take(rows) for x in ("c", "tag", "base")], flat], ["c", "tag", "base", "w"])
+    Records with the same set of distinct words are one class (cls_a, cls_b: 128 bits of hash). words holds 32 bits
+    of each word's hash, keys those of its chunks and, for short texts, of its rarest words. ranks: word_ranks(), the
+    same for all records of a store; none ranks words by their hashes.
+    """
+    cols = [c for c in ("id", "base", "at", "text", "payload") if c in texts.columns]
+    return texts.where(F.col("id").isNotNull()).select(*cols).mapInArrow(_featurise(ranks), f"id string, base boolean, at long, {_FEATURES}")
 
-    return run
 
+CLS = ["cls_a", "cls_b"]
 
-def _xor_count(a: Column, b: Column) -> Column:
-    return F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), WORD_BITS))
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has at most BROADCAST_ROWS rows of (at most) 16 bytes."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-def _may_match(a: Column, b: Column) -> Column:
-    """Necessary conditions from sizes and word bitmaps of two tags: no match is lost by them."""
-    num, den = SHARE
-    x, y = a.bitwiseAND(TOP_WORDS), b.bitwiseAND(TOP_WORDS)
-    small = (F.least(x, y) * den >= F.greatest(x, y) * num) & (_xor_count(a, b) * (den + num) <= (x + y) * (den - num))
-    return small | (F.greatest(x, y) == TOP_WORDS)
 
+def _one_of_each(rows: DataFrame) -> DataFrame:
+    """One row of each class: the first by (at, id). Only hashes move, and the ids of classes with several rows."""
+    several = _small(materialize(rows.groupBy(*CLS).count().where("count > 1").select(*CLS), "several"))
+    first = rows.join(several, CLS, "left_semi").groupBy(*CLS).agg(F.min(F.struct("at", "id")).getField("id").alias("first"))
+    copies = materialize(rows.select("id", *CLS).join(first, CLS).where("id <> first").select("id"), "copies")
+    return rows.join(_small(copies), "id", "left_anti")
 
-def _meet(postings: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs (x new, y, n) from the keys of at most HOT postings (k, c, tag, base, n); and the other keys.
 
-    One shuffle by key: it counts a key's postings, and only groups of at most HOT are brought together.
-    """
-    counted = postings.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("k")))
-    item = F.struct("c", "tag", "base", "n")
-    groups = counted.groupBy("k").agg(F.max("held").alias("held"), F.collect_list(F.when(F.col("held") <= HOT, item)).alias("all"))
-    groups = groups.where(F.col("held") > 1).withColumn("new", F.filter("all", lambda e: ~e.base)).where((F.col("held") > HOT) | (F.size("new") > 0))
-    paired = groups.withColumn("x", F.explode_outer("new")).withColumn("y", F.explode_outer("all"))
-    keep = F.col("x").isNull() | ((F.col("x.c") != F.col("y.c")) & (F.col("y.base") | (F.col("x.c") < F.col("y.c"))) & _may_match(F.col("x.tag"), F.col("y.tag")))
-    out = materialize(paired.where(keep).select(F.when(F.col("x").isNull(), F.col("k")).alias("k"), F.col("x.c").alias("x"), F.col("y.c").alias("y"), F.col("x.n").alias("n")), label)
-    return out.where("x IS NOT NULL").select("x", "y", "n"), out.where("x IS NULL").select("k")
-
-
-def _shared_chunks(reps: DataFrame) -> DataFrame:
-    """(x new, y, n): representatives that share a chunk in at most HOT of them, and its bytes; and, of those with a
-    chunk in more, the ones that share one of their rarest words, with n beyond all bytes.
-
-    Texts that match have a word in common among their rarest 30 % (and one), so no match that shares a hot chunk is
-    missed. No word has a cap: a word that is among the rarest of many records costs the square of these.
-    """
-    keys, size = _keys(reps), F.col("k").bitwiseAND(255).cast("int")
-    some = reps.where(F.pmod("c", F.lit(COUNTED)) == 0)
-    hottest = materialize(_keys(some).groupBy("k").count().where(F.col("count") * COUNTED > 4 * HOT).select("k"), "hottest")
-    one, hot = _meet(keys.join(_small(hottest), "k", "left_anti").select("k", "c", "tag", "base", size.alias("n")), "chunks")
-    hot = _small(materialize(hot.unionByName(hottest).distinct(), "hot"))
-    held = materialize(keys.join(hot, "k", "left_semi").select("c").distinct(), "hot-records")
-    counted = some.select(F.explode("words").alias("w")).groupBy("w").count().where("count > 1")
-    counted = sorted((r.w, r["count"]) for r in counted.orderBy(F.desc("count"), "w").limit(RANKED).collect())  # bounded by RANKED
-    ranks = reps.sparkSession.sparkContext.broadcast((np.array([w for w, _ in counted], np.int32), np.array([n for _, n in counted], np.int64)))
-    rare = reps.join(_small(held), "c", "left_semi").select("c", "tag", "base", "words").mapInArrow(_rarest(ranks), "c long, tag long, base boolean, w int")
-    rare = materialize(rare, "rarest")
-    x, y = rare.where("NOT base").alias("x"), rare.alias("y")
-    met = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.c") != F.col("y.c")) & (F.col("y.base") | (F.col("x.c") < F.col("y.c"))) & _may_match(F.col("x.tag"), F.col("y.tag")))
-    return one.unionByName(met.select(F.col("x.c").alias("x"), F.col("y.c").alias("y"), F.lit(1 << 30).alias("n")))
-
-
-def similar_classes(rows: DataFrame, cls: DataFrame) -> DataFrame:
-    """(a, b) structs of pairs of matching classes of which at least one has new records; each pair once, a < b."""
-    reps = _representatives(rows, cls)
-    met = _shared_chunks(reps).groupBy("x", "y").agg(F.sum("n").alias("shared"))
-    met = _small(materialize(met, "candidates"))
-    look = reps.select("c", F.struct(*CLS).alias("cls"), "size", "words")
-    named = lambda side: look.select(F.col("c").alias(side), F.struct("cls", "size", "words").alias(f"{side}_of"))
-    both = named("y").join(_small(materialize(named("x").join(met, "x"), "compared")), "y")
-    covered = both.where(F.col("shared") >= COVERAGE * F.least("x_of.size", "y_of.size"))
-    wx, wy = F.col("x_of.words"), F.col("y_of.words")
-    common = F.size(F.array_intersect(wx, wy))
+def _may_match(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Necessary conditions from sizes and word bitmaps of tags: no match is lost by them."""
     num, den = SHARE
-    matching = covered.where(common * den >= (F.size(wx) + F.size(wy) - common) * num)
-    return matching.select(F.least("x_of.cls", "y_of.cls").alias("a"), F.greatest("x_of.cls", "y_of.cls").alias("b"))
+    x, y = (a & np.uint64(TOP_WORDS)).astype(np.int16), (b & np.uint64(TOP_WORDS)).astype(np.int16)
+    apart = np.bitwise_count((a ^ b) >> np.uint64(WORD_BITS)).astype(np.int16)
+    most = np.maximum(x, y)
+    return ((np.minimum(x, y) * den >= most * num) & (apart * (den + num) <= (x + y) * (den - num))) | (most == TOP_WORDS)
+
+
+#: What a posting is to its tile: known, new, new to be compared with the others only, new for the others to compare.
+KNOWN, NEW, SEEKING, SOUGHT = range(4)
+_AT_ONCE = 1 << 21
+
+
+def _pairs_of(k: np.ndarray, tile: np.ndarray, tag: np.ndarray, role: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs (x new, y) of whole groups of postings of equal (k, tile), sorted by these."""
+    starts = np.nonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (tile[1:] != tile[:-1])]))[0]
+    sizes = np.diff(np.append(starts, len(k)))
+    seeks, new = (role == NEW) | (role == SEEKING), role != KNOWN
+    asked = np.add.reduceat(seeks.astype(np.int64), starts)
+
+    def out(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        keep = (role[y] != SEEKING) & (x != y) & (~new[y] | (tag[x] <= tag[y]))
+        x, y = x[keep], y[keep]
+        return pa.record_batch([pa.array(tag[x].view(np.int64)), pa.array(tag[y].view(np.int64)), pa.array(new[y]), pa.array((k[x] & 255).astype(np.int32))], ["x", "y", "y_new", "n"])
+
+    wide = asked * sizes > 4096
+    for g in np.nonzero(wide)[0]:
+        every = np.arange(starts[g], starts[g] + sizes[g])
+        seeking = every[seeks[every]]
+        step = max(1, _AT_ONCE // len(every))
+        for i in range(0, len(seeking), step):
+            x, y = np.nonzero(_may_match(tag[seeking[i : i + step], None], tag[None, every]))
+            yield out(seeking[i : i + step][x], every[y])
+    group = np.repeat(np.arange(len(starts)), sizes)
+    seeking = np.nonzero(seeks & ~wide[group] & (sizes[group] > 1))[0]
+    ends = np.cumsum(sizes[group[seeking]])
+    at = 0
+    while at < len(seeking):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + _AT_ONCE)))
+        some = seeking[at:to]
+        n = sizes[group[some]]
+        x = np.repeat(some, n)
+        y = np.repeat(starts[group[some]] - (ends[at:to] - n - done), n) + np.arange(len(x))
+        near = _may_match(tag[x], tag[y])
+        yield out(x[near], y[near])
+        at = to
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings (k, tile, tag, role) sorted by (k, tile) to pairs; a group has about 2 * HOT rows at most."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        now = [b[x].to_numpy() for x in ("k", "tile", "tag", "role")]
+        now = now if held is None else [np.concatenate(z) for z in zip(held, now, strict=True)]
+        last = int(np.nonzero(np.concatenate([[True], (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])]))[0][-1])
+        held = [z[last:] for z in now]
+        if last:
+            k, tile, tag, role = (z[:last] for z in now)
+            yield from _pairs_of(k, tile, tag.view(np.uint64), role)
+    if held is not None:
+        k, tile, tag, role = held
+        yield from _pairs_of(k, tile, tag.view(np.uint64), role)
+
+
+def _tiled(postings: DataFrame) -> DataFrame:
+    """(k, tile, tag, role) of (k, tag, new): keys with more than HOT rows are split so that each pair meets once."""
+    some = postings.where(F.pmod(F.xxhash64("tag"), F.lit(COUNTED)) == 0).groupBy("k").agg(F.count(F.lit(1)).alias("all"), F.count_if("new").alias("fresh"))
+    parts = lambda c: F.ceil(F.col(c) * COUNTED / F.lit(HOT)).cast("int")
+    hot = materialize(some.where(F.col("all") * COUNTED > HOT).select("k", F.greatest(parts("fresh"), F.lit(1)).alias("rows"), parts("all").alias("cols")), "hot")
+    known = F.when(F.col("new"), NEW).otherwise(KNOWN).cast("int")
+    if hot.isEmpty():
+        return postings.select("k", F.lit(0).alias("tile"), "tag", known.alias("role"))
+    row, col = F.pmod(F.xxhash64("tag", F.lit(1)), F.col("rows")), F.pmod(F.xxhash64("tag", F.lit(2)), F.col("cols"))
+    place = lambda tile, role: F.struct(tile.cast("int").alias("tile"), role.cast("int").alias("role"))
+    seeking = F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda j: place(row * F.col("cols") + j, F.lit(SEEKING)))
+    sought = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: place(i * F.col("cols") + col, F.when(F.col("new"), SOUGHT).otherwise(KNOWN)))
+    places = F.when(F.col("rows").isNull(), F.array(place(F.lit(0), known))).when(F.col("new"), F.concat(seeking, sought)).otherwise(sought)
+    return postings.join(_small(hot), "k", "left").select("k", "tag", F.explode(places).alias("p")).select("k", "p.tile", "tag", "p.role")
 
 
 def _refused(edges: DataFrame) -> DataFrame | None:
@@ -264,76 +289,168 @@ def _refused(edges: DataFrame) -> DataFrame | None:
     return refused
 
 
-def match_in_order(rows: DataFrame) -> DataFrame:
-    """(id, known_id): matches of each new record, in the order of (at, id), with all that is known before it.
+class ChunkStore:
+    """What was accepted so far, in a folder: a table from chunks to records, and the records' features.
 
-    rows are records(): base ones are known from the start; a new one becomes known only if nothing matched it. ids
-    must be unique. An empty table gives no matches.
+    Both tables are partitioned by buckets of their hashes; matching a batch reads the buckets of the batch's chunks
+    and of its candidates only, and no text again. buckets should grow with the records that are expected.
     """
-    cls = materialize(classes(rows), "classes")
-    pairs = materialize(similar_classes(rows, cls), "pairs")
-    info = cls.select(F.struct(*CLS).alias("cls"), "base", "first")
-    both = pairs.join(info.select(F.col("cls").alias("a"), F.col("base").alias("a_base"), F.col("first").alias("a_first")), "a").join(info.select(F.col("cls").alias("b"), F.col("base").alias("b_base"), F.col("first").alias("b_first")), "b")
-    both = materialize(both, "links")
-    blocked = both.where("a_base").select(F.col("b").alias("cls")).unionByName(both.where("b_base").select(F.col("a").alias("cls"))).distinct()
-    free = info.where("NOT base").join(blocked, "cls", "left_anti")
-    free = materialize(free, "free")
-    early = F.col("a_first") < F.col("b_first")
-    edges = both.where("NOT a_base AND NOT b_base").select(F.when(early, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(early, F.col("b")).otherwise(F.col("a")).alias("late"))
-    for end in ("early", "late"):
-        edges = edges.join(free.select(F.col("cls").alias(end)), end, "left_semi")
-    refused = _refused(materialize(edges, "edges"))
-    accepted = free if refused is None else free.join(refused.withColumnRenamed("c", "cls"), "cls", "left_anti")
-
-    key = F.struct(*CLS).alias("cls")
-    new = rows.where("NOT base").select("id", F.struct("at", "id").alias("order"), key)
-    known = rows.where("base").select(key, F.col("id").alias("known_id"), F.lit(None).cast("struct<at:bigint,id:string>").alias("since"))
-    known = known.unionByName(accepted.select("cls", F.col("first.id").alias("known_id"), F.col("first").alias("since")))
-    near = both.select(F.col("a").alias("cls"), F.col("b").alias("to")).unionByName(both.select(F.col("b").alias("cls"), F.col("a").alias("to")))
-    reach = near.unionByName(info.where("first IS NOT NULL").select("cls", F.col("cls").alias("to")))
-    reach = reach.join(known.withColumnRenamed("cls", "to"), "to").select("cls", "known_id", "since")
-    found = new.join(reach, "cls").where(F.col("since").isNull() | (F.col("since") < F.col("order")))
-    return found.select("id", "known_id")
 
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16) -> None:
+        self.spark, self.path, self.buckets = spark, path, buckets
 
-class ChunkStore:
-    """Records accepted so far, with their chunks, in a folder; batches are matched with it and appended to it.
+    def _bucket(self, c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int")
 
-    Matching reads the accepted records' features only; their texts are never processed again.
-    """
+    def _table(self, name: str, schema: str) -> DataFrame:
+        if not exists(self.spark, f"{self.path}/{name}"):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+    def chunks(self) -> DataFrame:
+        """(k, tag, bucket): a row for each chunk of each class."""
+        return self._table("chunks", "k long, tag long, bucket int")
 
-    def accepted(self) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(self.path)
-        except Exception:  # nothing was accepted yet
-            return None
+    def accepted(self) -> DataFrame:
+        """Features of all records that are known."""
+        return self._table("records", f"id string, at long, {_FEATURES}, bucket int")
 
     def append(self, rows: DataFrame) -> None:
-        """Accept records() rows as known."""
-        rows.withColumn("base", F.lit(True)).write.mode("append").parquet(self.path)
+        """Accept records() rows as known; chunks of a class that is known already are not entered again."""
+        path = f"{self.path}/incoming-{uuid.uuid4().hex}"
+        before = self.accepted().select(*CLS, "bucket")
+        rows.drop("base").withColumn("bucket", self._bucket("tag")).write.option("compression", "zstd").partitionBy("bucket").parquet(path)
+        rows = self.spark.read.schema(f"id string, at long, {_FEATURES}, bucket int").parquet(path)
+        one = _one_of_each(rows).select(*CLS, "tag", "keys", "bucket")
+        if exists(self.spark, f"{self.path}/records"):
+            one = one.join(before, [*CLS, "bucket"], "left_anti")
+        keys = one.select(F.explode("keys").alias("k"), "tag").withColumn("bucket", self._bucket("k")).sortWithinPartitions("bucket", "k")
+        keys.write.option("compression", "zstd").mode("append").partitionBy("bucket").parquet(f"{self.path}/chunks")
+        self._move(path, f"{self.path}/records")
+
+    def _move(self, path: str, to: str) -> None:
+        """Move the files of a partitioned table that is written whole into another."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = at(path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for bucket in fs.listStatus(at(path)):
+            if bucket.isDirectory():
+                name = bucket.getPath().getName()
+                fs.mkdirs(at(f"{to}/{name}"))
+                for file in fs.listStatus(bucket.getPath()):
+                    fs.rename(file.getPath(), at(f"{to}/{name}/{file.getPath().getName()}"))
+        fs.delete(at(path), True)
+
+    def _in_buckets(self, stored: DataFrame, wanted: DataFrame, c: str) -> DataFrame:
+        """The rows of a stored table in the buckets of the wanted values: other partitions are not read."""
+        hit = [r.b for r in wanted.select(self._bucket(c).alias("b")).distinct().collect()]  # at most `buckets`
+        return stored.where(F.col("bucket").isin(hit) if hit else F.lit(False))
+
+    def candidates(self, reps: DataFrame) -> DataFrame:
+        """(x new, y, y_new, n): tags of classes that share n bytes in chunks, as far as their tags allow a match."""
+        mine = reps.select(F.explode("keys").alias("k"), "tag", F.lit(True).alias("new"))
+        wanted = materialize(mine.select("k").distinct(), "keys")
+        stored = self._in_buckets(self.chunks(), wanted, "k").select("k", "tag", F.lit(False).alias("new"))
+        if wanted.count() <= BROADCAST_ROWS:
+            stored = stored.join(F.broadcast(wanted), "k", "left_semi")
+        tiled = _tiled(stored.unionByName(mine)).repartition("k", "tile").sortWithinPartitions("k", "tile")
+        return tiled.mapInArrow(_compare, "x long, y long, y_new boolean, n int").groupBy("x", "y", "y_new").agg(F.sum("n").alias("n"))
+
+    def similar(self, reps: DataFrame) -> DataFrame:
+        """(a, b, b_new): classes (structs) of a batch with those that match them, known ones and others of the batch."""
+        met = materialize(self.candidates(reps), "candidates")
+        look = lambda rows: rows.select(F.col("tag"), F.struct(*CLS).alias("cls"), "size", "words")
+        mine = look(reps)
+        wanted = materialize(met.where("NOT y_new").select(F.col("y").alias("tag")).distinct(), "wanted")
+        known = self._in_buckets(self.accepted(), wanted, "tag").join(_small(wanted), "tag", "left_semi")
+        # copies of a class have the same words
+        known = look(known.groupBy("tag", *CLS).agg(F.first("size").alias("size"), F.first("words").alias("words")))
+        named = lambda rows, side: rows.select(F.col("tag").alias(side), F.struct("cls", "size", "words").alias(f"{side}_of"))
+        left = met.join(named(mine, "x"), "x")
+        both = left.where("y_new").join(named(mine, "y"), "y").unionByName(left.where("NOT y_new").join(named(known, "y"), "y"))
+        covered = both.where((F.col("x_of.cls") != F.col("y_of.cls")) & (F.col("n") >= COVERAGE * F.least("x_of.size", "y_of.size")))
+        wx, wy = F.col("x_of.words"), F.col("y_of.words")
+        common = F.size(F.array_intersect(wx, wy))
+        num, den = SHARE
+        return covered.where(common * den >= (F.size(wx) + F.size(wy) - common) * num).select(F.col("x_of.cls").alias("a"), F.col("y_of.cls").alias("b"), F.col("y_new").alias("b_new")).distinct()
 
     def add_batch(self, rows: DataFrame) -> DataFrame:
-        """Match a batch of records(), append what nothing matched, return the matches (id, known_id)."""
+        """(id, known_id): matches of each record with all that is known before it, in the order of (at, id).
+
+        A record becomes known only if nothing matched it. rows are records() with unique ids. An empty batch or store
+        gives no matches; records of the batch are still matched with each other.
+        """
         rows = materialize(rows.withColumn("base", F.lit(False)), "batch")
-        before = self.accepted()
-        found = materialize(match_in_order(rows if before is None else before.unionByName(rows)), "matches")
-        self.append(rows.join(found.select("id"), "id", "left_anti"))
+        reps = _one_of_each(rows)
+        pairs = materialize(self.similar(reps), "pairs")
+        info = rows.groupBy(*CLS).agg(F.min(F.struct("at", "id")).alias("first"), F.first("tag").alias("tag")).select(F.struct(*CLS).alias("cls"), "tag", "first")
+        info = materialize(info, "classes")
+        touched = pairs.where("NOT b_new").select("b.*").unionByName(info.select("cls.*")).distinct()
+        ids = self.accepted().select(*CLS, F.col("id").alias("known_id")).join(_small(materialize(touched, "touched")), CLS, "left_semi")
+        ids = materialize(ids.select(F.struct(*CLS).alias("cls"), "known_id"), "known-ids")
+        blocked = pairs.where("NOT b_new").select(F.col("a").alias("cls")).unionByName(ids.select("cls")).distinct()
+        free = materialize(info.join(blocked, "cls", "left_anti").select("cls", "first"), "free")
+        first = lambda side: free.select(F.col("cls").alias(side), F.col("first").alias(f"{side}_first"))
+        inner = pairs.where("b_new").join(first("a"), "a").join(first("b"), "b")
+        ordered = F.col("a_first") < F.col("b_first")
+        edges = inner.select(F.when(ordered, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(ordered, F.col("b")).otherwise(F.col("a")).alias("late")).distinct()
+        refused = _refused(materialize(edges, "edges"))
+        accepted = free if refused is None else free.join(refused.withColumnRenamed("c", "cls"), "cls", "left_anti")
+        accepted = materialize(accepted.select("cls", "first"), "accepted")
+
+        new = rows.select("id", F.struct("at", "id").alias("order"), F.struct(*CLS).alias("cls"))
+        known = ids.select("cls", "known_id", F.lit(None).cast("struct<at:bigint,id:string>").alias("since"))
+        known = known.unionByName(accepted.select("cls", F.col("first.id").alias("known_id"), F.col("first").alias("since")))
+        reach = pairs.select(F.col("a").alias("cls"), F.col("b").alias("to")).unionByName(pairs.where("b_new").select(F.col("b").alias("cls"), F.col("a").alias("to")))
+        reach = reach.unionByName(info.select("cls", F.col("cls").alias("to"))).distinct().join(known.withColumnRenamed("cls", "to"), "to").select("cls", "known_id", "since")
+        found = new.join(reach, "cls").where(F.col("since").isNull() | (F.col("since") < F.col("order"))).select("id", "known_id")
+        found = materialize(found, "matches")
+        self.append(rows.join(accepted.select(F.col("first.id").alias("id")), "id", "left_semi"))
         return found
 
 
-def claim_records(items: DataFrame, discarded: DataFrame) -> DataFrame:
-    """Records of the claims in items and of discarded payloads; undated ones count as known from the start."""
-    known = current_rows(items, "id", "updated_at", ["text"]).select("id", F.lit(True).alias("base"), F.lit(None).cast("long").alias("at"), "text", F.lit(None).cast("string").alias("payload"))
-    rows = current_rows(discarded, "id", "discarded_at", ["discarded_at", "payload"])
+def match_in_order(rows: DataFrame) -> DataFrame:
+    """(id, known_id): matches of each new record, in the order of (at, id), with all that is known before it.
+
+    rows are records(): base ones are known from the start; a new one becomes known only if nothing matched it. ids
+    must be unique. An empty table gives no matches.
+    """
+    store = ChunkStore(rows.sparkSession, scratch(rows.sparkSession, "store"))
+    store.append(rows.where("base"))
+    return store.add_batch(rows.where("NOT base"))
+
+
+def claim_texts(items: DataFrame, discarded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, base, at, text, payload) of what is known from the start, and of dated discards."""
+    null = lambda kind: F.lit(None).cast(kind)
+    known = current_rows(items, "id", "updated_at", ["text"]).select("id", F.lit(True).alias("base"), null("long").alias("at"), "text", null("string").alias("payload"))
+    rows = materialize(current_rows(discarded, "id", "discarded_at", ["discarded_at", "payload"]), "discards")
     at = F.unix_micros(F.col("discarded_at").cast("timestamp"))
-    return records(known.unionByName(rows.select("id", at.isNull().alias("base"), at.alias("at"), F.lit(None).cast("string").alias("text"), F.coalesce("payload", F.lit("")).alias("payload"))))
+    rows = rows.select("id", at.isNull().alias("base"), at.alias("at"), null("string").alias("text"), F.coalesce("payload", F.lit("")).alias("payload"))
+    return known.unionByName(rows.where("base")), rows.where("NOT base")
+
+
+def passes(at: DataFrame, size: int) -> list[tuple[int, int]]:
+    """[from, to) in microseconds of consecutive UTC days, taken together until they have `size` rows."""
+    day = 86_400_000_000
+    out, held = [], 0
+    for r in at.groupBy(F.floor(F.col("at") / day).alias("d")).count().orderBy("d").collect():  # a row for each day
+        out, held = ([*out, (r.d * day, (r.d + 1) * day)], r["count"]) if not out or held >= size else ([*out[:-1], (out[-1][0], (r.d + 1) * day)], held + r["count"])
+    return out
 
 
 def duplicate_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id_a, id_b), a < b: each discarded claim with all equal or nearly equal ones known before it."""
-    rows = materialize(claim_records(table(spark, sf_dir, "memory_items"), table(spark, sf_dir, "memory_discarded")), "records")
-    found = match_in_order(rows)
+    """(id_a, id_b), a < b: each discarded claim with all equal or nearly equal ones known before it.
+
+    What is known from the start is entered into a ChunkStore; then the discards go through it, day after day.
+    """
+    known, new = claim_texts(table(spark, sf_dir, "memory_items"), table(spark, sf_dir, "memory_discarded"))
+    ranks = word_ranks(known.where("text IS NOT NULL"))
+    store = ChunkStore(spark, scratch(spark, "store"))
+    store.append(records(known, ranks))
+    found = None
+    for lo, hi in passes(new, PASS_RECORDS):
+        more = store.add_batch(records(new.where((F.col("at") >= lo) & (F.col("at") < hi)), ranks))
+        found = more if found is None else found.unionByName(more)
+    if found is None:
+        return spark.createDataFrame([], "id_a string, id_b string")
     return found.select(F.least("id", "known_id").alias("id_a"), F.greatest("id", "known_id").alias("id_b")).distinct()
