@@ -92,11 +92,10 @@ def payload_text(payload: str | None) -> str | None:
     return text if isinstance(text, str) else None
 
 
-def _lists(xs: list[list[int]], kind: type) -> pa.ListArray:
+def _lists(xs: list[list[int]]) -> pa.ListArray:
     ends = np.zeros(len(xs) + 1, np.int32)
     np.cumsum([len(x) for x in xs], out=ends[1:])
-    flat = np.fromiter(chain.from_iterable(xs), kind, ends[-1])
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int32 if kind is np.uint32 else np.int64)))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(xs), np.uint64, ends[-1]).view(np.int64)))
 
 
 def _rarest(distinct: list[int], ranks: dict[int, int]) -> list[int]:
@@ -112,7 +111,7 @@ def _featurise(ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, ranked = _Hashes().__getitem__, dict(zip(*ranks.value, strict=True)) if ranks else {}
         for b in batches:
-            keep, sizes, sets, tags, keys, digests = [], [], [], [], [], []
+            keep, sizes, sets, keys = [], [], [], []
             texts = b["text"].to_pylist()
             if "payload" in b.schema.names:
                 texts = [t if p is None else payload_text(p) for t, p in zip(texts, b["payload"].to_pylist(), strict=True)]
@@ -122,21 +121,23 @@ def _featurise(ranks):
                 if len(distinct) < LEAST_WORDS:
                     continue
                 keep.append(i)
-                mask = 0
-                for h in distinct:
-                    mask ^= 1 << h % MAP_BITS
-                tags.append(mask << WORD_BITS | min(len(distinct), TOP_WORDS))
-                digests.append(xxhash.xxh128_digest(np.array(distinct, np.uint64).tobytes()))
-                sets.append([h >> 32 for h in distinct])
-                sizes.append(sum(h[2] for h in hs))
+                sets.append(distinct)
+                sizes.append(sum([h[2] for h in hs]))
                 mine = set(_chunks(hs))
                 if len(distinct) * num <= SHORT * den:
                     mine.update(_rarest(distinct, ranked))
                 keys.append(list(mine))
-            cls = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            n = np.fromiter(map(len, sets), np.int64, len(sets))
+            flat = np.fromiter(chain.from_iterable(sets), np.uint64, int(n.sum()))
+            ends = np.cumsum(n)
+            maps = np.bitwise_xor.reduceat(np.uint64(1) << flat % np.uint64(MAP_BITS), ends - n) if len(n) else np.zeros(0, np.uint64)
+            tags = (maps << np.uint64(WORD_BITS) | np.minimum(n, TOP_WORDS).astype(np.uint64)).view(np.int64)
+            whole, at = flat.tobytes(), 8 * np.append(0, ends)
+            cls = np.frombuffer(b"".join([xxhash.xxh128_digest(whole[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]), np.int64).reshape(-1, 2)
+            held = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array((flat >> np.uint64(32)).astype(np.uint32).view(np.int32)))
             take = pa.array(keep, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [*[b[x].take(take) for x in ("id", "base", "at")], pa.array(cls[:, 0]), pa.array(cls[:, 1]), pa.array(tags, pa.int64()), pa.array(sizes, pa.int32()), _lists(sets, np.uint32), _lists(keys, np.uint64)],
+                [*[b[x].take(take) for x in ("id", "base", "at")], pa.array(cls[:, 0]), pa.array(cls[:, 1]), pa.array(tags), pa.array(sizes, pa.int32()), held, _lists(keys)],
                 ["id", "base", "at", "cls_a", "cls_b", "tag", "size", "words", "keys"],
             )
 
@@ -277,16 +278,16 @@ def _refused(edges: DataFrame) -> DataFrame | None:
     refused = None
     rounds = 0
     while not edges.isEmpty():
-        accepted = edges.select(F.col("early").alias("c")).distinct().join(edges.select(F.col("late").alias("c")), "c", "left_anti")
-        accepted = materialize(accepted, f"accepted-{rounds}")
-        out = materialize(edges.join(accepted.withColumnRenamed("c", "early"), "early", "left_semi").select(F.col("late").alias("c")).distinct(), f"refused-{rounds}")
+        waiting = edges.select(F.col("late").alias("early"), F.lit(True).alias("waits")).distinct()
+        edges = materialize(edges.join(waiting, "early", "left"), f"round-{rounds}")
+        out = edges.where("waits IS NULL").select(F.col("late").alias("c")).distinct()
         refused = out if refused is None else refused.unionByName(out)
-        edges = edges.join(accepted.withColumnRenamed("c", "early"), "early", "left_anti")
+        edges = edges.where("waits").drop("waits")
         for end in ("early", "late"):
             edges = edges.join(out.withColumnRenamed("c", end), end, "left_anti")
         edges = materialize(edges, f"edges-{rounds}")
         rounds += 1
-    return refused
+    return None if refused is None else refused.distinct()
 
 
 class ChunkStore:
@@ -296,7 +297,7 @@ class ChunkStore:
     and of its candidates only, and no text again. buckets should grow with the records that are expected.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16) -> None:
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 8) -> None:
         self.spark, self.path, self.buckets = spark, path, buckets
 
     def _bucket(self, c: str) -> Column:
@@ -315,15 +316,18 @@ class ChunkStore:
         """Features of all records that are known."""
         return self._table("records", f"id string, at long, {_FEATURES}, bucket int")
 
-    def append(self, rows: DataFrame) -> None:
-        """Accept records() rows as known; chunks of a class that is known already are not entered again."""
+    def append(self, rows: DataFrame, fresh: bool = False) -> None:
+        """Accept records() rows as known; chunks of a class that is known already are not entered again.
+
+        fresh says that each row is of a class of its own that isn't known.
+        """
         path = f"{self.path}/incoming-{uuid.uuid4().hex}"
-        before = self.accepted().select(*CLS, "bucket")
         rows.drop("base").withColumn("bucket", self._bucket("tag")).write.option("compression", "zstd").partitionBy("bucket").parquet(path)
-        rows = self.spark.read.schema(f"id string, at long, {_FEATURES}, bucket int").parquet(path)
-        one = _one_of_each(rows).select(*CLS, "tag", "keys", "bucket")
-        if exists(self.spark, f"{self.path}/records"):
-            one = one.join(before, [*CLS, "bucket"], "left_anti")
+        one = self.spark.read.schema(f"id string, at long, {_FEATURES}, bucket int").parquet(path)
+        if not fresh:
+            one = _one_of_each(one)
+            if exists(self.spark, f"{self.path}/records"):
+                one = one.join(self.accepted().select(*CLS, "bucket"), [*CLS, "bucket"], "left_anti")
         keys = one.select(F.explode("keys").alias("k"), "tag").withColumn("bucket", self._bucket("k")).sortWithinPartitions("bucket", "k")
         keys.write.option("compression", "zstd").mode("append").partitionBy("bucket").parquet(f"{self.path}/chunks")
         self._move(path, f"{self.path}/records")
@@ -371,7 +375,7 @@ class ChunkStore:
         wx, wy = F.col("x_of.words"), F.col("y_of.words")
         common = F.size(F.array_intersect(wx, wy))
         num, den = SHARE
-        return covered.where(common * den >= (F.size(wx) + F.size(wy) - common) * num).select(F.col("x_of.cls").alias("a"), F.col("y_of.cls").alias("b"), F.col("y_new").alias("b_new")).distinct()
+        return covered.where(common * den >= (F.size(wx) + F.size(wy) - common) * num).select(F.col("x_of.cls").alias("a"), F.col("y_of.cls").alias("b"), F.col("y_new").alias("b_new"))
 
     def add_batch(self, rows: DataFrame) -> DataFrame:
         """(id, known_id): matches of each record with all that is known before it, in the order of (at, id).
@@ -404,7 +408,7 @@ class ChunkStore:
         reach = reach.unionByName(info.select("cls", F.col("cls").alias("to"))).distinct().join(known.withColumnRenamed("cls", "to"), "to").select("cls", "known_id", "since")
         found = new.join(reach, "cls").where(F.col("since").isNull() | (F.col("since") < F.col("order"))).select("id", "known_id")
         found = materialize(found, "matches")
-        self.append(rows.join(accepted.select(F.col("first.id").alias("id")), "id", "left_semi"))
+        self.append(rows.join(accepted.select(F.col("first.id").alias("id")), "id", "left_semi"), fresh=True)
         return found
 
 
@@ -422,7 +426,11 @@ def match_in_order(rows: DataFrame) -> DataFrame:
 def claim_texts(items: DataFrame, discarded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, base, at, text, payload) of what is known from the start, and of dated discards."""
     null = lambda kind: F.lit(None).cast(kind)
-    known = current_rows(items, "id", "updated_at", ["text"]).select("id", F.lit(True).alias("base"), null("long").alias("at"), "text", null("string").alias("payload"))
+    items = items.where("id IS NOT NULL").select("id", "updated_at", "text")
+    # only ids with several rows are shuffled with their texts
+    several = _small(materialize(items.groupBy("id").count().where("count > 1").select("id"), "several-rows"))
+    known = items.join(several, "id", "left_anti").select("id", "text").unionByName(current_rows(items.join(several, "id", "left_semi"), "id", "updated_at", ["text"]))
+    known = known.select("id", F.lit(True).alias("base"), null("long").alias("at"), "text", null("string").alias("payload"))
     rows = materialize(current_rows(discarded, "id", "discarded_at", ["discarded_at", "payload"]), "discards")
     at = F.unix_micros(F.col("discarded_at").cast("timestamp"))
     rows = rows.select("id", at.isNull().alias("base"), at.alias("at"), null("string").alias("text"), F.coalesce("payload", F.lit("")).alias("payload"))
@@ -444,7 +452,7 @@ def duplicate_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     What is known from the start is entered into a ChunkStore; then the discards go through it, day after day.
     """
     known, new = claim_texts(table(spark, sf_dir, "memory_items"), table(spark, sf_dir, "memory_discarded"))
-    ranks = word_ranks(known.where("text IS NOT NULL"))
+    ranks = word_ranks(table(spark, sf_dir, "memory_items").select("id", "text"))
     store = ChunkStore(spark, scratch(spark, "store"))
     store.append(records(known, ranks))
     found = None
