@@ -30,8 +30,8 @@ from loamspark.session import exists, materialize, scratch, table
 SHARE = (7, 10)
 #: Texts with fewer distinct words never match.
 LEAST_WORDS = 6
-#: A word ends a chunk of at least LEAST_CHUNK words with probability 1 / CUT.
-CUT, LEAST_CHUNK, SEED = 2, 2, 11
+#: A word ends a chunk with probability 1 / CUT, unless the word before it did.
+CUT, SEED = 2, 11
 #: Texts of at most so many distinct words, and those that may match them, are found by their rarest words as well.
 SHORT = 15
 #: Words whose frequency ranks them; the others are rarer and ranked by hash. Any ranking gives the same matches.
@@ -55,30 +55,50 @@ TOP_WORDS = (1 << WORD_BITS) - 1
 _FEATURES = "cls_a long, cls_b long, tag long, size int, words array<int>, keys array<long>"
 
 
-class _Hashes(dict):
-    """Word -> (hash, ends a chunk, its bytes and the space)."""
+_MULTIPLY = 0x9E3779B97F4A7C15
+_TURN = pow(_MULTIPLY, -1, 1 << 64)
 
-    def __missing__(self, w: str) -> tuple[int, bool, int]:
+
+class _Vocabulary(dict):
+    """Word -> number; of each number: hash, whether it ends a chunk, bytes with the space."""
+
+    def __init__(self) -> None:
+        self.hashes, self.ends, self.sizes = [], [], []
+
+    def __missing__(self, w: str) -> int:
         data = w.encode("utf-8", "surrogatepass")
-        if len(self) > 500_000:
-            self.clear()
-        made = self[w] = (xxhash.xxh64_intdigest(data), xxhash.xxh64_intdigest(data, SEED) % CUT == 0, len(data) + 1)
-        return made
-
-
-def _chunks(hs: list[tuple[int, bool, int]]) -> list[int]:
-    """Keys of the chunks: hash of the words in the upper bits, number of bytes in the lowest eight."""
-    out, h, n, held = [], 0, 0, 0
-    for w, ends, size in hs:
-        h = (h * 0x9E3779B97F4A7C15 + w) & 0xFFFFFFFFFFFFFFFF
-        n += size
-        held += 1
-        if ends and held >= LEAST_CHUNK:
-            out.append((h ^ (h >> 29)) & 0xFFFFFFFFFFFFFF00 | min(n, 255))
-            h = n = held = 0
-    if n:
-        out.append((h ^ (h >> 29)) & 0xFFFFFFFFFFFFFF00 | min(n, 255))
-    return out
+        self.hashes.append(xxhash.xxh64_intdigest(data))
+        self.ends.append(xxhash.xxh64_intdigest(data, SEED) % CUT == 0)
+        self.sizes.append(len(data) + 1)
+        self[w] = len(self.hashes) - 1
+        return self[w]
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def _chunks(hashes: np.ndarray, ends: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(last word, key) of each chunk of texts in a row; first marks where a text begins.
+
+    A key is the hash of the chunk's words in the upper bits, and its bytes in the lowest eight. Chunks have two words
+    at least, but for a text's last one: of words in a row that could end a chunk, every other one does.
+    """
+    at = np.arange(len(hashes))
+    run = np.maximum.accumulate(np.where(ends & (first | ~np.append(False, ends[:-1])), at, -1))
+    # a chunk has just ended before a text's first word, and two words ago at least before any other run
+    cuts = ends & ((at - run) % 2 == first[np.maximum(run, 0)])
+    cuts |= np.append(first[1:], True)
+    last = np.nonzero(cuts)[0]
+    start = np.append(0, last[:-1] + 1)
+    up, down = _powers(_MULTIPLY, len(hashes)), _powers(_TURN, len(hashes))
+    total = np.append(np.uint64(0), np.cumsum(hashes * down, dtype=np.uint64))
+    h = (total[last + 1] - total[start]) * up[last]
+    held = np.append(0, np.cumsum(sizes))
+    few = np.minimum(held[last + 1] - held[start], 255).astype(np.uint64)
+    return last, (h ^ (h >> np.uint64(29))) & np.uint64(0xFFFFFFFFFFFFFF00) | few
 
 
 def payload_text(payload: str | None) -> str | None:
@@ -92,70 +112,96 @@ def payload_text(payload: str | None) -> str | None:
     return text if isinstance(text, str) else None
 
 
-def _lists(xs: list[list[int]]) -> pa.ListArray:
-    ends = np.zeros(len(xs) + 1, np.int32)
-    np.cumsum([len(x) for x in xs], out=ends[1:])
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(xs), np.uint64, ends[-1]).view(np.int64)))
+def _lists(row: np.ndarray, flat: pa.Array, rows: int) -> pa.ListArray:
+    """Lists of a flat column whose values belong to rows in order."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)), flat)
 
 
-def _rarest(distinct: list[int], ranks: dict[int, int]) -> list[int]:
-    """Keys of so many of a record's rarest words that any match has one of them among its own."""
-    num, den = SHARE
-    keep = len(distinct) + (-len(distinct) * num) // den + 1
-    return [h & 0xFFFFFFFFFFFFFF00 | 255 for h in sorted(distinct, key=lambda h: (ranks.get(h >> 32, 0), h))[:keep]]
+def _groups_sorted(row: np.ndarray, *by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by row, then by the other keys; place within the row)."""
+    order = np.lexsort((*by[::-1], row))
+    at = row[order]
+    return order, np.arange(len(row)) - np.searchsorted(at, at)
 
 
-def _featurise(ranks):
+def _rarest(row: np.ndarray, words: np.ndarray, n: np.ndarray, ranks) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): so many of the rarest words of each short record that any match has one of them among its own."""
     num, den = SHARE
+    some = np.nonzero((n * num <= SHORT * den)[row])[0]
+    row, words = row[some], words[some]
+    rank = np.zeros(len(words), np.int64)
+    if ranks is not None and len(ranks[0]):
+        known, counts = ranks
+        w = (words >> np.uint64(32)).astype(np.int64)
+        at = np.minimum(np.searchsorted(known, w), len(known) - 1)
+        rank = np.where(known[at] == w, counts[at], 0)
+    order, place = _groups_sorted(row, rank, words)
+    row, words = row[order], words[order]
+    keep = place < (n + (-n * num) // den + 1)[row]
+    return row[keep], words[keep] & np.uint64(0xFFFFFFFFFFFFFF00) | np.uint64(255)
 
+
+def _featurise(ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, ranked = _Hashes().__getitem__, dict(zip(*ranks.value, strict=True)) if ranks else {}
+        vocabulary = _Vocabulary()
         for b in batches:
-            keep, sizes, sets, keys = [], [], [], []
             texts = b["text"].to_pylist()
             if "payload" in b.schema.names:
                 texts = [t if p is None else payload_text(p) for t, p in zip(texts, b["payload"].to_pylist(), strict=True)]
-            for i, t in enumerate(texts):
-                hs = list(map(find, words(t)))
-                distinct = sorted({h[0] for h in hs})
-                if len(distinct) < LEAST_WORDS:
-                    continue
-                keep.append(i)
-                sets.append(distinct)
-                sizes.append(sum([h[2] for h in hs]))
-                mine = set(_chunks(hs))
-                if len(distinct) * num <= SHORT * den:
-                    mine.update(_rarest(distinct, ranked))
-                keys.append(list(mine))
-            n = np.fromiter(map(len, sets), np.int64, len(sets))
-            flat = np.fromiter(chain.from_iterable(sets), np.uint64, int(n.sum()))
-            ends = np.cumsum(n)
-            maps = np.bitwise_xor.reduceat(np.uint64(1) << flat % np.uint64(MAP_BITS), ends - n) if len(n) else np.zeros(0, np.uint64)
+            if len(vocabulary) > 500_000:
+                vocabulary = _Vocabulary()
+            found = [words(t) for t in texts]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            number = np.fromiter(map(vocabulary.__getitem__, chain.from_iterable(found)), np.int64, int(sizes.sum()))
+            hashes, ends, width = np.array(vocabulary.hashes, np.uint64)[number], np.array(vocabulary.ends, bool)[number], np.array(vocabulary.sizes, np.int64)[number]
+            row = np.repeat(np.arange(len(found)), sizes)
+            order, _ = _groups_sorted(row, hashes)
+            fresh = np.append(True, (row[order][1:] != row[order][:-1]) | (hashes[order][1:] != hashes[order][:-1]))[: len(order)]
+            distinct, of = hashes[order][fresh], row[order][fresh]
+            enough = np.bincount(of, minlength=len(found)) >= LEAST_WORDS
+            place = np.cumsum(enough) - 1
+            keep = np.nonzero(enough)[0]
+            distinct, of = distinct[enough[of]], place[of[enough[of]]]
+            some = enough[row]
+            hashes, ends, width, row = hashes[some], ends[some], width[some], place[row[some]]
+            n, rows = np.bincount(of, minlength=len(keep)), len(keep)
+            if not rows:
+                continue
+            starts = np.searchsorted(of, np.arange(rows))
+            maps = np.bitwise_xor.reduceat(np.uint64(1) << distinct % np.uint64(MAP_BITS), starts)
             tags = (maps << np.uint64(WORD_BITS) | np.minimum(n, TOP_WORDS).astype(np.uint64)).view(np.int64)
-            whole, at = flat.tobytes(), 8 * np.append(0, ends)
-            cls = np.frombuffer(b"".join([xxhash.xxh128_digest(whole[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]), np.int64).reshape(-1, 2)
-            held = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array((flat >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-            take = pa.array(keep, pa.int32())
+            whole, cuts = distinct.tobytes(), (8 * np.append(starts, len(distinct))).tolist()
+            cls = np.frombuffer(b"".join([xxhash.xxh128_digest(whole[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]), np.int64).reshape(-1, 2)
+            last, keys = _chunks(hashes, ends, width, np.append(True, row[1:] != row[:-1]))
+            rare_row, rare = _rarest(of, distinct, n, ranks.value if ranks else None)
+            key_row, keys = np.append(row[last], rare_row), np.append(keys, rare)
+            order, _ = _groups_sorted(key_row, keys)
+            key_row, keys = key_row[order], keys[order]
+            once = np.append(True, (key_row[1:] != key_row[:-1]) | (keys[1:] != keys[:-1]))
+            take = pa.array(keep)
             yield pa.RecordBatch.from_arrays(
-                [*[b[x].take(take) for x in ("id", "base", "at")], pa.array(cls[:, 0]), pa.array(cls[:, 1]), pa.array(tags), pa.array(sizes, pa.int32()), held, _lists(keys)],
+                [
+                    *[b[x].take(take) for x in ("id", "base", "at")], pa.array(cls[:, 0]), pa.array(cls[:, 1]), pa.array(tags), pa.array(np.bincount(row, width, rows).astype(np.int32)),
+                    _lists(of, pa.array((distinct >> np.uint64(32)).astype(np.uint32).view(np.int32)), rows), _lists(key_row[once], pa.array(keys[once].view(np.int64)), rows),
+                ],
                 ["id", "base", "at", "cls_a", "cls_b", "tag", "size", "words", "keys"],
-            )
+            )
 
     return run
 
 
 def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    find = _Hashes().__getitem__
     for b in batches:
-        flat = [h for t in b["text"].to_pylist() for h in {find(w)[0] >> 32 for w in words(t)}]
+        flat = [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) >> 32 for t in b["text"].to_pylist() for w in set(words(t))]
         yield pa.record_batch([pa.array(flat, pa.int64())], ["w"])
 
 
 def word_ranks(texts: DataFrame):
-    """Broadcast (words, frequencies) of the RANKED most frequent words in a sample of (id, text)."""
+    """Broadcast (words in order, frequencies) of the RANKED most frequent words in a sample of (id, text)."""
     some = texts.where(F.pmod(F.xxhash64("id"), F.lit(RANK_SAMPLE)) == 0).select("text").mapInArrow(_word_hashes, "w long")
     rows = some.groupBy("w").count().where("count > 1").orderBy(F.desc("count"), "w").limit(RANKED).collect()  # bounded by RANKED
-    return texts.sparkSession.sparkContext.broadcast(([r.w for r in rows], [r["count"] for r in rows]))
+    rows.sort()
+    return texts.sparkSession.sparkContext.broadcast((np.array([r.w for r in rows], np.int64), np.array([r["count"] for r in rows], np.int64)))
 
 
 def records(texts: DataFrame, ranks=None) -> DataFrame:
@@ -253,11 +299,20 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _pairs_of(k, tile, tag.view(np.uint64), role)
 
 
-def _tiled(postings: DataFrame) -> DataFrame:
-    """(k, tile, tag, role) of (k, tag, new): keys with more than HOT rows are split so that each pair meets once."""
-    some = postings.where(F.pmod(F.xxhash64("tag"), F.lit(COUNTED)) == 0).groupBy("k").agg(F.count(F.lit(1)).alias("all"), F.count_if("new").alias("fresh"))
-    parts = lambda c: F.ceil(F.col(c) * COUNTED / F.lit(HOT)).cast("int")
-    hot = materialize(some.where(F.col("all") * COUNTED > HOT).select("k", F.greatest(parts("fresh"), F.lit(1)).alias("rows"), parts("all").alias("cols")), "hot")
+def _counted(keys: DataFrame) -> DataFrame:
+    """(k, n) of (tag, keys): about how many rows hold the keys that many do, from one of COUNTED classes."""
+    some = keys.where(F.pmod(F.xxhash64("tag"), F.lit(COUNTED)) == 0).select(F.explode("keys").alias("k"))
+    return some.groupBy("k").agg((F.count(F.lit(1)) * COUNTED).alias("n")).where(F.col("n") > COUNTED)
+
+
+def _tiled(postings: DataFrame, counts: DataFrame) -> DataFrame:
+    """(k, tile, tag, role) of (k, tag, new): keys with more than HOT rows are split so that each pair meets once.
+
+    counts are (k, n, fresh): rows of keys and new rows of keys; keys that few hold may be missing.
+    """
+    some = counts.groupBy("k").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("fresh"), F.col("n")).otherwise(0)).alias("fresh"))
+    parts = lambda c: F.ceil(F.col(c) / F.lit(HOT)).cast("int")
+    hot = materialize(some.where(F.col("all") > HOT).select("k", F.greatest(parts("fresh"), F.lit(1)).alias("rows"), parts("all").alias("cols")), "hot")
     known = F.when(F.col("new"), NEW).otherwise(KNOWN).cast("int")
     if hot.isEmpty():
         return postings.select("k", F.lit(0).alias("tile"), "tag", known.alias("role"))
@@ -328,8 +383,9 @@ class ChunkStore:
             one = _one_of_each(one)
             if exists(self.spark, f"{self.path}/records"):
                 one = one.join(self.accepted().select(*CLS, "bucket"), [*CLS, "bucket"], "left_anti")
-        keys = one.select(F.explode("keys").alias("k"), "tag").withColumn("bucket", self._bucket("k")).sortWithinPartitions("bucket", "k")
-        keys.write.option("compression", "zstd").mode("append").partitionBy("bucket").parquet(f"{self.path}/chunks")
+        keys = one.select(F.explode("keys").alias("k"), "tag").withColumn("bucket", self._bucket("k"))
+        keys.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").mode("append").partitionBy("bucket").parquet(f"{self.path}/chunks")
+        _counted(one).coalesce(1).write.mode("append").parquet(f"{self.path}/frequent")
         self._move(path, f"{self.path}/records")
 
     def _move(self, path: str, to: str) -> None:
@@ -356,7 +412,8 @@ class ChunkStore:
         stored = self._in_buckets(self.chunks(), wanted, "k").select("k", "tag", F.lit(False).alias("new"))
         if wanted.count() <= BROADCAST_ROWS:
             stored = stored.join(F.broadcast(wanted), "k", "left_semi")
-        tiled = _tiled(stored.unionByName(mine)).repartition("k", "tile").sortWithinPartitions("k", "tile")
+        counts = _counted(reps).withColumn("fresh", F.lit(True)).unionByName(self._table("frequent", "k long, n long").withColumn("fresh", F.lit(False)))
+        tiled = _tiled(stored.unionByName(mine), counts).repartition("k", "tile").sortWithinPartitions("k", "tile")
         return tiled.mapInArrow(_compare, "x long, y long, y_new boolean, n int").groupBy("x", "y", "y_new").agg(F.sum("n").alias("n"))
 
     def similar(self, reps: DataFrame) -> DataFrame:
