@@ -42,6 +42,8 @@ RANK_SAMPLE = 64
 HOT = 16_384
 #: Keys beyond HOT are found by counting one of so many classes.
 COUNTED = 16
+#: Records for each bucket of a store.
+BUCKET_RECORDS = 65_536
 #: Days of new records are matched together until they have so many: results are those of one day after another.
 PASS_RECORDS = 65_536
 #: Least share of the smaller text's bytes in shared chunks.
@@ -305,23 +307,32 @@ def _counted(keys: DataFrame) -> DataFrame:
     return some.groupBy("k").agg((F.count(F.lit(1)) * COUNTED).alias("n")).where(F.col("n") > COUNTED)
 
 
-def _tiled(postings: DataFrame, counts: DataFrame) -> DataFrame:
-    """(k, tile, tag, role) of (k, tag, new): keys with more than HOT rows are split so that each pair meets once.
+def _tiled(known: DataFrame, new: DataFrame, counts: DataFrame) -> DataFrame:
+    """(k, tile, tag, role) of postings (k, tag): keys with more than HOT are split so that each pair meets once.
 
     counts are (k, n, fresh): rows of keys and new rows of keys; keys that few hold may be missing.
     """
     some = counts.groupBy("k").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("fresh"), F.col("n")).otherwise(0)).alias("fresh"))
     parts = lambda c: F.ceil(F.col(c) / F.lit(HOT)).cast("int")
     hot = materialize(some.where(F.col("all") > HOT).select("k", F.greatest(parts("fresh"), F.lit(1)).alias("rows"), parts("all").alias("cols")), "hot")
-    known = F.when(F.col("new"), NEW).otherwise(KNOWN).cast("int")
-    if hot.isEmpty():
-        return postings.select("k", F.lit(0).alias("tile"), "tag", known.alias("role"))
+    most = hot.agg(F.max("rows")).first()[0]
+    if most is None:
+        plain = lambda df, role: df.select("k", F.lit(0).alias("tile"), "tag", F.lit(role).alias("role"))
+        return plain(known, KNOWN).unionByName(plain(new, NEW))
+    hot = _small(hot)
+    known, new = known.join(hot, "k", "left"), new.join(hot, "k", "left")
     row, col = F.pmod(F.xxhash64("tag", F.lit(1)), F.col("rows")), F.pmod(F.xxhash64("tag", F.lit(2)), F.col("cols"))
-    place = lambda tile, role: F.struct(tile.cast("int").alias("tile"), role.cast("int").alias("role"))
-    seeking = F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda j: place(row * F.col("cols") + j, F.lit(SEEKING)))
-    sought = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: place(i * F.col("cols") + col, F.when(F.col("new"), SOUGHT).otherwise(KNOWN)))
-    places = F.when(F.col("rows").isNull(), F.array(place(F.lit(0), known))).when(F.col("new"), F.concat(seeking, sought)).otherwise(sought)
-    return postings.join(_small(hot), "k", "left").select("k", "tag", F.explode(places).alias("p")).select("k", "p.tile", "tag", "p.role")
+    below = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda tile, role: F.struct(tile.cast("int").alias("tile"), F.lit(role).alias("role"))
+    seeking = F.transform(below("cols"), lambda j: place(row * F.col("cols") + j, SEEKING))
+    sought = F.transform(below("rows"), lambda i: place(i * F.col("cols") + col, SOUGHT))
+    new = new.select("k", "tag", F.explode(F.when(F.col("rows").isNull(), F.array(place(F.lit(0), NEW))).otherwise(F.concat(seeking, sought))).alias("p")).select("k", "p.tile", "tag", "p.role")
+    if most > 1:
+        known = known.withColumn("row", F.explode(F.when(F.col("rows").isNull(), F.array(F.lit(0))).otherwise(below("rows"))))
+    else:
+        known = known.withColumn("row", F.lit(0))
+    tile = F.when(F.col("rows").isNull(), 0).otherwise(F.col("row") * F.col("cols") + col).cast("int")
+    return known.select("k", tile.alias("tile"), "tag", F.lit(KNOWN).alias("role")).unionByName(new)
 
 
 def _refused(edges: DataFrame) -> DataFrame | None:
@@ -349,10 +360,11 @@ class ChunkStore:
     """What was accepted so far, in a folder: a table from chunks to records, and the records' features.
 
     Both tables are partitioned by buckets of their hashes; matching a batch reads the buckets of the batch's chunks
-    and of its candidates only, and no text again. buckets should grow with the records that are expected.
+    and of its candidates only, and no text again. buckets should grow with the records that are expected; it is fixed
+    when a store is begun.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 8) -> None:
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 4) -> None:
         self.spark, self.path, self.buckets = spark, path, buckets
 
     def _bucket(self, c: str) -> Column:
@@ -407,13 +419,13 @@ class ChunkStore:
 
     def candidates(self, reps: DataFrame) -> DataFrame:
         """(x new, y, y_new, n): tags of classes that share n bytes in chunks, as far as their tags allow a match."""
-        mine = reps.select(F.explode("keys").alias("k"), "tag", F.lit(True).alias("new"))
+        mine = reps.select(F.explode("keys").alias("k"), "tag")
         wanted = materialize(mine.select("k").distinct(), "keys")
-        stored = self._in_buckets(self.chunks(), wanted, "k").select("k", "tag", F.lit(False).alias("new"))
+        stored = self._in_buckets(self.chunks(), wanted, "k").select("k", "tag")
         if wanted.count() <= BROADCAST_ROWS:
             stored = stored.join(F.broadcast(wanted), "k", "left_semi")
         counts = _counted(reps).withColumn("fresh", F.lit(True)).unionByName(self._table("frequent", "k long, n long").withColumn("fresh", F.lit(False)))
-        tiled = _tiled(stored.unionByName(mine), counts).repartition("k", "tile").sortWithinPartitions("k", "tile")
+        tiled = _tiled(stored, mine, counts).repartition("k", "tile").sortWithinPartitions("k", "tile")
         return tiled.mapInArrow(_compare, "x long, y long, y_new boolean, n int").groupBy("x", "y", "y_new").agg(F.sum("n").alias("n"))
 
     def similar(self, reps: DataFrame) -> DataFrame:
@@ -509,8 +521,9 @@ def duplicate_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     What is known from the start is entered into a ChunkStore; then the discards go through it, day after day.
     """
     known, new = claim_texts(table(spark, sf_dir, "memory_items"), table(spark, sf_dir, "memory_discarded"))
-    ranks = word_ranks(table(spark, sf_dir, "memory_items").select("id", "text"))
-    store = ChunkStore(spark, scratch(spark, "store"))
+    items = table(spark, sf_dir, "memory_items").select("id", "text")
+    ranks = word_ranks(items)
+    store = ChunkStore(spark, scratch(spark, "store"), max(4, items.count() // BUCKET_RECORDS))
     store.append(records(known, ranks))
     found = None
     for lo, hi in passes(new, PASS_RECORDS):
