@@ -42,8 +42,8 @@ def test_inconsistent_slots_are_no_leak():
     assert leakage.slots_agree(a, a) == leakage.VERBATIM
 
 
-def test_blocks_and_empty(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "BLOCK_WINDOWS", 40)
+def test_joined_and_empty(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "BROADCAST_WINDOWS", 40)
     assert {k for k, v in run(spark, [PASSAGE], [PASSAGE] * 5).items() if v[0]} == {(0, 100 + i) for i in range(5)}
     assert run(spark, [], [PASSAGE]) == {}
     assert run(spark, [PASSAGE], []) == {}
