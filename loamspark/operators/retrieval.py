@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that carry no meaning in a query (fixed values).
-STOP_WORDS = ["what", "when", "where", "which", "with", "that", "this", "from", "have", "about", "does", "were", "will", "your", "they", "them", "then", "than", "into"]
+STOP_WORDS = "this that with from into they them then than have will would could should there their about because system".split()
 #: Weight of a query term found in each field, and of each part of the final score (fixed values).
 FIELD_WEIGHTS = {"text": 0.18, "entity": 0.20, "property": 0.45, "value": 0.55}
 SCORE_WEIGHTS = {"fts": 3.0, "vector": 1.1, "recency": 0.6}
@@ -112,12 +112,6 @@ def hybrid_score(terms: Sequence[str], recency: Column, fts: Column, vector: Col
     return w["fts"] * fts + w["vector"] * (F.lit(0.0) if vector is None else F.coalesce(vector, F.lit(0.0))) + overlap_bonus(terms) + IMPORTANCE_BONUS + w["recency"] * recency
 
 
-def rerank(df: DataFrame, score: str, key: str, head: int, scorer: Column) -> DataFrame:
-    """The first `head` rows by score, ordered anew by .35 score + 1.25 sigmoid(scorer); head is the bound."""
-    top = df.orderBy(F.desc(score), key).limit(head)
-    return top.withColumn("reranked", 0.35 * F.col(score) + 1.25 / (1 + F.exp(-scorer))).orderBy(F.desc("reranked"), key)
-
-
 def metrics_at(ranked: DataFrame, relevant: DataFrame, query: str, item: str, k: int) -> DataFrame:
     """(query, recall, precision, mrr, ndcg) at k of ranked(query, item, rank) against relevant(query, item, gain).
 

@@ -194,12 +194,6 @@ def _(s, d):
     return c.groupBy("scope", "memory_type", "entity", "property", "tags_key").agg(F.count(F.lit(1)).alias("n"), F.least(F.lit(1.0), F.round(F.max("confidence") + 0.05, 6)).alias("confidence"), F.min("id").alias("keeper")).where("n > 1")
 
 
-@R("AGG29_session_scores", "SELECT session_id, max(length(text)) AS score FROM {TURNS} WHERE contains(text, 'container') GROUP BY session_id ORDER BY score DESC, session_id LIMIT 20")
-def _(s, d):
-    t = table(s, d, "documents").where(F.contains("text", F.lit("container")))
-    return t.groupBy(F.col("source").alias("session_id")).agg(F.max(F.length("text")).alias("score")).orderBy(F.desc("score"), "session_id").limit(20)
-
-
 @R("AGG30_metric_summary", "SELECT metric, round(avg(v), 6) AS mean, min(v) AS least, max(v) AS most FROM (SELECT unnest(['confidence', 'importance']) AS metric, unnest([confidence, importance]) AS v FROM {CUR}) GROUP BY metric")
 def _(s, d):
     u = claims(s, d, "confidence", "importance").unpivot("id", ["confidence", "importance"], "metric", "v")

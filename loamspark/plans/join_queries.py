@@ -35,15 +35,6 @@ def _(s, d):
     return table(s, d, "code_chunks").select("id", "chunk_type").join(_current_embeddings(s, d).select(F.col("chunk_id").alias("id"), "model_name"), "id")
 
 
-@R("JON03_full_outer_fusion", """
-WITH v AS (SELECT id, confidence AS s FROM {CUR} WHERE confidence > 0.6), f AS (SELECT id, importance AS s FROM {CUR} WHERE importance > 0.6)
-SELECT coalesce(v.id, f.id) AS id, round(0.6 * coalesce(v.s, 0) + 0.4 * coalesce(f.s, 0), 6) AS score FROM v FULL JOIN f ON v.id = f.id""")
-def _(s, d):
-    c = claims(s, d, "confidence", "importance")
-    v, f = c.where("confidence > 0.6").select("id", F.col("confidence").alias("v")), c.where("importance > 0.6").select("id", F.col("importance").alias("f"))
-    return v.join(f, "id", "full").select("id", F.round(0.6 * F.coalesce("v", F.lit(0.0)) + 0.4 * F.coalesce("f", F.lit(0.0)), 6).alias("score"))
-
-
 @R("JON04_slot_conflicts", _conflict_sql("entity, property, scope", _SLOT))
 def _(s, d):
     return joins.conflicts(claims(s, d, "entity", "property", "scope", "value").where(_SLOT), ["entity", "property", "scope"], "value", "id")

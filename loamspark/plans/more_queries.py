@@ -223,15 +223,6 @@ def _(s, d):
     return seg.groupBy(F.regexp_extract("p", p, 1).alias("role")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.regexp_replace("p", p, ""))).alias("chars"))
 
 
-@R("SCO09_filtered_score", f"""
-WITH a AS (SELECT id, confidence, {_TOK.format('text')} AS t, greatest(epoch_us({{AS_OF}}) - epoch_us(last_confirmed), 0) / 86400000000.0 AS age FROM {{CUR}} WHERE status = 'active' AND last_confirmed IS NOT NULL)
-SELECT id, round({' + '.join(f"0.18 * CAST(list_contains(t, '{x}') AS INTEGER)" for x in TERMS)} + 0.2 + 0.6 * power(0.5, age / 14), 6) AS score FROM a""")
-def _(s, d):
-    c = claims(s, d, "text", "status", "last_confirmed").where("status = 'active' AND last_confirmed IS NOT NULL")
-    score = retrieval.overlap_bonus(TERMS, {"text": 0.18}) + 0.2 + temporal.half_life(temporal.age_days(F.col("last_confirmed"), as_of()), 14.0, 0.6)
-    return c.select("id", F.round(score, 6).alias("score"))
-
-
 @R("SCO20_fused_sources", """
 SELECT id, round(sum(s), 6) AS score FROM (SELECT id, coalesce(confidence, 0) + 0.10 AS s FROM {CUR} WHERE project_id = 'atlas' UNION ALL SELECT id, coalesce(confidence, 0) * 0.55 FROM (SELECT DISTINCT id, confidence FROM neo4j_nodes) WHERE confidence > 0.8) GROUP BY id""")
 def _(s, d):
@@ -287,13 +278,6 @@ def _(s, d):
     return lines.withColumn("heading", head).where(F.col("line").startswith("- ")).select("doc_id", "pos", "heading", "line")
 
 
-@R("RPT36_component_scores", f"SELECT id, {' + '.join(f'''CAST(list_contains({_TOK.format('text')}, '{x}') AS INTEGER)''' for x in TERMS)} AS hits FROM {{CUR}} ORDER BY hits DESC, id LIMIT 15")
-def _(s, d):
-    held = retrieval.tokens(F.col("text"))
-    hits = sum((F.array_contains(held, t).cast("int") for t in TERMS[1:]), F.array_contains(held, TERMS[0]).cast("int"))
-    return claims(s, d, "text").select("id", hits.alias("hits")).orderBy(F.desc("hits"), "id").limit(15)
-
-
 @R("TOP10_greedy_packet")
 def _(s, d):
     """For each project the best claims that fit 8 items and 300 tokens, without near-duplicates."""

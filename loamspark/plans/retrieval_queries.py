@@ -48,17 +48,6 @@ def _(s, d):
     return retrieval.similarity(e, "vec_id", "embedding", q[0] if q else [1.0]).withColumn("score", F.round("score", 6))
 
 
-@R("SCO04_text_rank", f"SELECT id, round({_rank_sql(SHORT)}, 6) AS fts FROM {{CUR}}")
-def _(s, d):
-    return claims(s, d, "text").select("id", F.round(retrieval.text_rank(SHORT, F.col("text")), 6).alias("fts"))
-
-
-@R("SCO04_cover_density")
-def _(s, d):
-    """Closeness of the query's terms in the text; tested against brute force."""
-    return claims(s, d, "text").select("id", retrieval.cover_density(SHORT, "text").alias("density"))
-
-
 @R("SCO06_recency_30", f"SELECT id, round(0.6 * {_REC}, 6) AS recency FROM {{CUR}}")
 def _(s, d):
     at = F.coalesce("last_confirmed", "first_seen", "created_at")
@@ -70,33 +59,6 @@ def _(s, d):
     return claims(s, d, "last_confirmed", "first_seen").select("id", F.round(temporal.half_life(_age(F.coalesce("last_confirmed", "first_seen")), 14.0, 0.6), 6).alias("recency"))
 
 
-def hybrid(s, d, limit: int = 20):
-    """The best claims for the question by the fused score; ties by confidence, importance, recency and id."""
-    at = F.coalesce("last_confirmed", "first_seen", "created_at")
-    c = claims(s, d, "text", "entity", "property", "value", "status", "confidence", "importance", "last_confirmed", "first_seen", "created_at").where("status = 'active'")
-    score = retrieval.hybrid_score(TERMS, temporal.half_life(_age(at), 30.0, 1.0), retrieval.text_rank(SHORT, F.col("text")))
-    scored = c.withColumn("score", F.round(score, 6))
-    return scored.orderBy(F.desc("score"), F.desc_nulls_last("confidence"), F.desc_nulls_last("importance"), F.desc_nulls_last("last_confirmed"), "id").limit(limit).select("id", "score")
-
-
-_HYBRID = f"""SELECT id, round(3.0 * {_rank_sql(SHORT)} + {_BONUS} + 0.2 + 0.6 * {_REC}, 6) AS score, * EXCLUDE (id) FROM {{CUR}} WHERE status = 'active'
- ORDER BY score DESC, confidence DESC NULLS LAST, importance DESC NULLS LAST, last_confirmed DESC NULLS LAST, id LIMIT 20"""
-
-
-@R("TOP01_hybrid_search", f"SELECT id, score FROM ({_HYBRID})")
-def _(s, d):
-    return hybrid(s, d)
-
-
-@R("TOP02_rerank_head")
-def _(s, d):
-    """The first 12 hits reranked by how many of the question's terms they hold."""
-    at = F.coalesce("last_confirmed", "first_seen", "created_at")
-    c = claims(s, d, "text", "entity", "property", "value", "last_confirmed", "first_seen", "created_at")
-    scored = c.withColumns({"score": retrieval.hybrid_score(TERMS, temporal.half_life(_age(at), 30.0, 1.0), F.lit(0.0)), "raw": retrieval.overlap_bonus(TERMS)})
-    return retrieval.rerank(scored.select("id", "score", "raw"), "score", "id", 12, F.col("raw"))
-
-
 @R("TOP05_vector_topk", """
 WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))
 SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 6) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 10""")
@@ -106,12 +68,6 @@ def _(s, d):
     return retrieval.similarity(e, "vec_id", "embedding", q[0] if q else [1.0]).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "vec_id").limit(10)
 
 
-@R("SCO10_fused_lists", "SELECT id, round(0.6 * coalesce(confidence, 0) + 0.4 * coalesce(importance, 0), 6) AS score FROM {CUR} ORDER BY score DESC, id LIMIT 30")
-def _(s, d):
-    z = lambda c: F.coalesce(c, F.lit(0.0))
-    return claims(s, d, "confidence", "importance").select("id", F.round(0.6 * z("confidence") + 0.4 * z("importance"), 6).alias("score")).orderBy(F.desc("score"), "id").limit(30)
-
-
 @R("SCO11_effective_ts", "SELECT id, coalesce(last_confirmed, first_seen, created_at) AS at_ts, CASE WHEN coalesce(last_confirmed, first_seen) IS NOT NULL THEN 'high' WHEN created_at IS NOT NULL THEN 'low' ELSE 'none' END AS certainty FROM {CUR}")
 def _(s, d):
     sure = F.when(F.coalesce("last_confirmed", "first_seen").isNotNull(), "high").when(F.col("created_at").isNotNull(), "low").otherwise("none")
@@ -150,15 +106,6 @@ def _(s, d):
     return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", (0.30 * (hit("compiler") + hit("snapshot"))).alias("score"))
 
 
-@R("SCO30_components", f"SELECT id, unnest(['overlap', 'recency', 'importance']) AS component, round(unnest([{_BONUS}, 0.6 * {_REC}, 0.2]), 6) AS weighted FROM {{CUR}} WHERE status = 'active'")
-def _(s, d):
-    at = F.coalesce("last_confirmed", "first_seen", "created_at")
-    parts = {"overlap": retrieval.overlap_bonus(TERMS), "recency": temporal.half_life(_age(at), 30.0, 0.6), "importance": F.lit(0.2)}
-    c = claims(s, d, "text", "entity", "property", "value", "status", "last_confirmed", "first_seen", "created_at").where("status = 'active'")
-    each = F.array(*[F.struct(F.lit(k).alias("component"), F.round(v, 6).alias("weighted")) for k, v in parts.items()])
-    return c.select("id", F.inline(each))
-
-
 @R("FUN01_parse_times", "SELECT event_id, epoch_us(CAST(strftime(ts, '%Y-%m-%dT%H:%M:%S') AS TIMESTAMP)) AS at_us FROM events")
 def _(s, d):
     text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")

@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from loamspark.operators import graph, joins, retrieval, store, temporal
+from loamspark.operators import search, graph, joins, retrieval, store, temporal
 from loamspark.sources import files
 
 
@@ -54,7 +54,9 @@ def test_query_terms():
 
 def test_rerank_and_metrics(spark):
     df = spark.createDataFrame([(str(i), 10.0 - i, float(i)) for i in range(6)], "id string, score double, raw double")
-    assert retrieval.rerank(df, "score", "id", 3, F.col("raw") * 10).first().id == "1"
+    rows = {r.id: r for r in search.rerank(df, [F.desc("score")], ["id"], 3, F.col("raw") * 10, True).collect()}
+    assert len(rows) == df.count() and [i for i, r in sorted(rows.items(), key=lambda x: x[1].place or 9)][0] == "1"
+    assert sum(r.place is None for r in rows.values()) == df.count() - 3
     ranked = spark.createDataFrame([("q", "a", 1), ("q", "b", 2), ("z", "a", 1)], "query string, item string, rank int")
     relevant = spark.createDataFrame([("q", "b", 1.0), ("q", "c", 1.0)], "query string, item string, gain double")
     got = {r["query"]: (r.recall, r.precision, r.mrr) for r in retrieval.metrics_at(ranked, relevant, "query", "item", 2).collect()}
