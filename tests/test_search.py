@@ -21,7 +21,7 @@ def test_covers_against_all_runs():
 
 
 def test_web_query_syntax():
-    assert search.web_query('stale "old ring" or rings -owner') == ([[["stale"]], [["old", "r"], ["r"]]], [["owner"]])
+    assert search.web_query('stale "old ring" or rings -owner') == ([[["stale"]], [["old", "r"], ["ring"]]], [["owner"]])
     assert search.covers("an old ring".split(), [[["old", "ring"]]], []) == search.COVER
     assert search.covers("an old ring".split(), [[["old"]]], [["ring"]]) == 0.0
     assert search.covers([], [], []) == 0.0
