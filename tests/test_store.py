@@ -49,7 +49,7 @@ def test_cover_density_is_the_shortest_window(spark):
 
 
 def test_query_terms():
-    assert retrieval.query_terms("What about THE Compiler-warnings, cpu?") == ["compiler", "warnings"]
+    assert retrieval.query_terms("What about THE Compiler-warnings, cpu?") == ["what", "compiler", "warnings"]
 
 
 def test_rerank_and_metrics(spark):
