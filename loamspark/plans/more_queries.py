@@ -167,34 +167,6 @@ def _(s, d):
     return claims(s, d, "source_agent", "entity", "property", "last_confirmed", "created_at").where("coalesce(entity, '') <> ''").withColumn("r", F.row_number().over(w)).where("r = 1").select("source_agent", "entity", "property", "id")
 
 
-@R("WIN10_notes_follow_errors", """
-SELECT doc_id, pos, line, max(CASE WHEN line LIKE '%error:%' THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS error_at FROM (
-SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE kind = 'build_log' AND text IS NOT NULL))""")
-def _(s, d):
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    lines = table(s, d, "documents").where("kind = 'build_log' AND text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
-    lines = lines.select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "line")
-    return lines.withColumn("error_at", F.last(F.when(F.contains("line", F.lit("error:")), F.col("pos")), ignorenulls=True).over(w))
-
-
-@R("FUN29_compiler_lines", r"""
-SELECT file, CAST(line AS INTEGER) AS line, CAST(col AS INTEGER) AS col, severity, message, count(*) AS n FROM (SELECT regexp_extract(l, '^(\S+?):(\d+):(\d+): (error|warning): (.*)$', 1) AS file, regexp_extract(l, '^(\S+?):(\d+):(\d+): (error|warning): (.*)$', 2) AS line,
- regexp_extract(l, '^(\S+?):(\d+):(\d+): (error|warning): (.*)$', 3) AS col, regexp_extract(l, '^(\S+?):(\d+):(\d+): (error|warning): (.*)$', 4) AS severity, regexp_extract(l, '^(\S+?):(\d+):(\d+): (error|warning): (.*)$', 5) AS message
-FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents WHERE kind = 'build_log')) WHERE file <> '' GROUP BY ALL""")
-def _(s, d):
-    p = r"^(\S+?):(\d+):(\d+): (error|warning): (.*)$"
-    lines = table(s, d, "documents").where("kind = 'build_log'").select(F.explode(F.split("text", "\n")).alias("l"))
-    part = lambda i: F.regexp_extract("l", p, i)
-    return lines.where(F.col("l").rlike(p)).groupBy(part(1).alias("file"), part(2).cast("int").alias("line"), part(3).cast("int").alias("col"), part(4).alias("severity"), part(5).alias("message")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@R("FUN30_error_categories", "SELECT category, count(*) AS n FROM (SELECT CASE WHEN contains(l, 'undeclared') THEN 'undeclared' WHEN contains(l, 'expected') THEN 'syntax' WHEN contains(l, 'error:') THEN 'other' END AS category FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents WHERE kind = 'build_log')) WHERE category IS NOT NULL GROUP BY category")
-def _(s, d):
-    has = lambda x: F.contains("l", F.lit(x))
-    lines = table(s, d, "documents").where("kind = 'build_log'").select(F.explode(F.split("text", "\n")).alias("l"))
-    return lines.select(F.when(has("undeclared"), "undeclared").when(has("expected"), "syntax").when(has("error:"), "other").alias("category")).where("category IS NOT NULL").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-
-
 @R("FUN32_test_lines", r"""
 SELECT name, count(*) AS n, round(sum(CAST(secs AS DOUBLE)), 3) AS total FROM (SELECT regexp_extract(l, '^PASS (\S+) .*\t(\d+\.\d+) s', 1) AS name, regexp_extract(l, '^PASS (\S+) .*\t(\d+\.\d+) s', 2) AS secs FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents WHERE kind = 'build_log')) WHERE name <> '' GROUP BY name""")
 def _(s, d):
@@ -330,12 +302,3 @@ def _(s, d):
     # one inode throughout: a changed head tells a rotated file
     same = F.when(F.col("old").isNotNull(), F.lit(1))
     return j.select("file_path", selection.file_change(same, F.col("was"), F.lit(1), F.col("size"), F.col("h") == F.col("old")).alias("change"))
-
-
-@R("EVA16_latest_correct", """
-SELECT memory_type, round(avg(CASE WHEN id = newest THEN 1.0 ELSE 0 END), 6) AS share FROM (SELECT memory_type, id, first_value(id) OVER (PARTITION BY entity, property ORDER BY last_confirmed DESC NULLS LAST, id) AS newest FROM {CUR} WHERE coalesce(entity, '') <> '' AND coalesce(property, '') <> '') GROUP BY memory_type""")
-def _(s, d):
-    w = Window.partitionBy("entity", "property").orderBy(F.desc_nulls_last("last_confirmed"), "id")
-    c = claims(s, d, "memory_type", "entity", "property", "last_confirmed").where("coalesce(entity, '') <> '' AND coalesce(property, '') <> ''")
-    c = c.select("memory_type", (F.first("id").over(w) == F.col("id")).cast("double").alias("hit"))
-    return c.groupBy("memory_type").agg(F.round(F.avg("hit"), 6).alias("share"))

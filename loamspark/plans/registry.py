@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loamspark.plans import aggregate_queries, extra_queries, graph_queries, join_queries, more_queries, problems, retrieval_queries, search_queries, store_queries, stream_queries
+from loamspark.plans import aggregate_queries, extra_queries, graph_queries, join_queries, more_queries, problems, retrieval_queries, search_queries, store_queries, stream_queries, text_queries
 
-MODULES = [problems, store_queries, join_queries, aggregate_queries, retrieval_queries, graph_queries, stream_queries, more_queries, extra_queries, search_queries]
+MODULES = [problems, store_queries, join_queries, aggregate_queries, retrieval_queries, graph_queries, stream_queries, more_queries, extra_queries, search_queries, text_queries]
 
 
 def queries():

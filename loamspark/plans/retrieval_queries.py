@@ -118,51 +118,15 @@ def _(s, d):
     return table(s, d, "events").select("event_id", F.date_format("ts", "yyyy-MM").alias("month"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.weekofyear("ts").cast("long").alias("iso_week"), F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("monday"))
 
 
-@R("FUN07_dates_in_text", r"SELECT doc_id, len(regexp_extract_all(text, '\d{4}-\d{2}-\d{2}')) AS n, regexp_extract(text, '\d{4}-\d{2}-\d{2}') AS first_day FROM documents WHERE text IS NOT NULL")
-def _(s, d):
-    p = r"\d{4}-\d{2}-\d{2}"
-    return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.regexp_count("text", F.lit(p)).cast("long").alias("n"), F.regexp_extract("text", p, 0).alias("first_day"))
-
-
 _KINDS = {"code": "function|class|import|compile|error|module", "timeline": "when|yesterday|today|week|month|ago", "memory": "remember|memory|decision|claim|prefer"}
 
 
-@R("FUN09_query_types", "SELECT item_id, CASE " + " ".join(f"WHEN {k} = greatest(code, timeline, memory) AND {k} > 0 THEN '{k}'" for k in _KINDS) + " ELSE 'general' END AS kind FROM (SELECT item_id, " + ", ".join(f"len(regexp_extract_all(lower(question), '\\b({p})\\b')) AS {k}" for k, p in _KINDS.items()) + " FROM eval_items)")
-def _(s, d):
-    e = table(s, d, "eval_items").select("item_id", *[F.regexp_count(F.lower("question"), F.lit(rf"\b({p})\b")).alias(k) for k, p in _KINDS.items()])
-    most, kind = F.greatest(*_KINDS), F.lit("general")
-    for k in reversed(_KINDS):
-        kind = F.when((F.col(k) == most) & (F.col(k) > 0), k).otherwise(kind)
-    return e.select("item_id", kind.alias("kind"))
-
-
 @R("FUN11_question_types", "SELECT item_id, CASE WHEN regexp_matches(lower(question), '\\bwhen\\b') THEN 'when' WHEN regexp_matches(lower(question), '\\bwhere\\b') THEN 'where' WHEN regexp_matches(lower(question), '\\bwho\\b') THEN 'who' WHEN regexp_matches(lower(question), '\\bhow (many|much)\\b') THEN 'quantity' ELSE 'what' END AS kind FROM eval_items")
 def _(s, d):
     q = lambda p: F.lower("question").rlike(rf"\b{p}\b")
     return table(s, d, "eval_items").select("item_id", F.when(q("when"), "when").when(q("where"), "where").when(q("who"), "who").when(q("how (many|much)"), "quantity").otherwise("what").alias("kind"))
 
 
-@R("FUN16_strip_blocks", r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '(?s)\[tool\].*?(\n|$)', '', 'g'), '^(USER|ASSISTANT): ', '', 'g')) AS h FROM documents WHERE kind = 'transcript' AND text IS NOT NULL")
-def _(s, d):
-    cut = F.regexp_replace(F.regexp_replace("text", r"(?s)\[tool\].*?(\n|$)", ""), "^(USER|ASSISTANT): ", "")
-    return table(s, d, "documents").where("kind = 'transcript' AND text IS NOT NULL").select("doc_id", F.md5(cut).alias("h"))
-
-
-@R("FUN19_sentences", "SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[.!?\\n]+'), lambda x: length(x) BETWEEN 15 AND 500)) AS n FROM documents WHERE text IS NOT NULL")
-def _(s, d):
-    parts = F.filter(F.split("text", "[.!?\\n]+"), lambda x: F.length(x).between(15, 500))
-    return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.size(parts).cast("long").alias("n"))
-
-
-@R("FUN23_token_f1", f"""
-SELECT item_id, round(CASE WHEN n = 0 THEN 0 ELSE 2.0 * n / (len(a) + len(b)) END, 6) AS f1 FROM (SELECT item_id, a, b, len(list_intersect(a, b)) AS n FROM (
-SELECT item_id, list_distinct({_TOK.format('question')}) AS a, list_distinct({_TOK.format('text')}) AS b FROM eval_items))""")
-def _(s, d):
-    a, b = (F.array_distinct(retrieval.tokens(F.col(c))) for c in ("question", "text"))
-    n = F.size(F.array_intersect("a", "b"))
-    return table(s, d, "eval_items").select("item_id", a.alias("a"), b.alias("b")).select("item_id", F.round(F.coalesce(F.try_divide(2.0 * n, F.size("a") + F.size("b")), F.lit(0.0)), 6).alias("f1"))
-
-
 @R("FUN24_token_counts", "SELECT doc_id, greatest(1, length(text) // 4) AS n FROM documents WHERE text IS NOT NULL")
 def _(s, d):
     return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.greatest(F.lit(1), F.floor(F.length("text") / 4)).cast("long").alias("n"))
@@ -297,14 +261,6 @@ def _(s, d):
     return e.select(F.coalesce("event_type", F.lit("ALL")).alias("grp"), "mean", "n")
 
 
-@R("EVA12_nugget_recall", f"""
-SELECT item_id, len(list_filter(a, lambda x: list_contains(b, x))) > 0.5 * len(a) AS found FROM (SELECT item_id, list_distinct(list_filter({_TOK.format('question')}, lambda x: length(x) > 2)) AS a, {_TOK.format('text')} AS b FROM eval_items)""")
-def _(s, d):
-    a = F.array_distinct(F.filter(retrieval.tokens(F.col("question")), lambda x: F.length(x) > 2))
-    e = table(s, d, "eval_items").select("item_id", a.alias("a"), F.array_distinct(retrieval.tokens(F.col("text"))).alias("b"))
-    return e.select("item_id", (F.size(F.array_intersect("a", "b")) > 0.5 * F.size("a")).alias("found"))
-
-
 @R("UDF06_multimodal_text", "SELECT doc_id, '[' || coalesce(kind, 'text') || '] ' || coalesce(source, '') AS label FROM documents")
 def _(s, d):
     return table(s, d, "documents").select("doc_id", F.concat(F.lit("["), F.coalesce("kind", F.lit("text")), F.lit("] "), F.coalesce("source", F.lit(""))).alias("label"))
