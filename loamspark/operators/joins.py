@@ -59,3 +59,73 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataF
     a, b = old.select(key, F.col(value).alias("_a"), F.lit(True).alias("_old")), new.select(key, F.col(value).alias("_b"), F.lit(True).alias("_new"))
     change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(~F.col("_a").eqNullSafe(F.col("_b")), "changed")
     return a.join(b, key, "full").select(key, change.alias("change")).where("change IS NOT NULL")
+
+
+def opposite_links(df: DataFrame, key: str, group: str, text: str, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(key, links): how many rows of the same group hold the opposite word of a pair that a row holds.
+
+    Rows with the same words form a class; only classes of a group meet (at most a few hundred), never rows. A row isn't
+    its own partner. Null groups and texts have no partners.
+    """
+    mask = lambda side: sum((F.when(F.contains(F.lower(text), F.lit(p[side])), 1 << i).otherwise(0) for i, p in enumerate(pairs)), F.lit(0))
+    rows = df.where(F.col(group).isNotNull() & F.col(text).isNotNull()).select(key, group, mask(0).alias("a"), mask(1).alias("b")).where("a <> 0 OR b <> 0")
+    classes = rows.groupBy(group, "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    meet = (F.col("x.a").bitwiseAND(F.col("y.b")) != 0) | (F.col("x.b").bitwiseAND(F.col("y.a")) != 0)
+    itself = (F.col("x.a") == F.col("y.a")) & (F.col("x.b") == F.col("y.b"))
+    links = classes.alias("x").join(classes.alias("y"), (F.col(f"x.{group}") == F.col(f"y.{group}")) & meet)
+    links = links.groupBy(f"x.{group}", "x.a", "x.b").agg(F.sum(F.col("y.n") - F.when(itself, 1).otherwise(0)).alias("links")).where("links > 0")
+    return rows.join(links, [group, "a", "b"]).select(key, "links")
+
+
+def disputed(df: DataFrame, slot: Sequence[str], who: str, value: str, key: str) -> DataFrame:
+    """(key, links): with how many rows of its slot a row differs in both `who` and `value` (null is a value).
+
+    Counted from the sizes of a slot, of its agents, values and their pairs; no two rows meet. Null slots are left out.
+    """
+    same = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
+    rows = df.where(" AND ".join(f"{c} IS NOT NULL" for c in slot)).select(key, *slot, same(who).alias("_w"), same(value).alias("_v"))
+    cells = rows.groupBy(*slot, "_w", "_v").agg(F.count(F.lit(1)).alias("wv"))
+    by = lambda cols, name: cells.groupBy(*slot, *cols).agg(F.sum("wv").alias(name))
+    known = cells.join(by([], "n"), list(slot)).join(by(["_w"], "w"), [*slot, "_w"]).join(by(["_v"], "v"), [*slot, "_v"])
+    open_ = known.select(*slot, "_w", "_v", (F.col("n") - F.col("w") - F.col("v") + F.col("wv")).alias("links")).where("links > 0")
+    return rows.join(open_, [*slot, "_w", "_v"]).select(key, "links")
+
+
+def trigrams(text: Column) -> Column:
+    """Distinct trigrams of the words of a text, each padded by two spaces before and one behind."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    of_word = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)))
+    return F.array_distinct(F.flatten(F.transform(words, of_word)))
+
+
+def similar_texts(df: DataFrame, key: str, group: str, text: str, value: str, percent: int) -> DataFrame:
+    """(key, links): with how many rows of its group a row's text shares more than `percent` % of all trigrams, while
+    their values differ (null is a value).
+
+    Rows of equal text and value form a class; classes of a group meet where one of their rarest trigrams agrees (by a
+    fixed order of trigrams, as many as no similar text can do without), are compared exactly, and carry their sizes.
+    """
+    held = df.where(F.col(group).isNotNull() & F.col(text).isNotNull()).select(key, group, F.lower(text).alias("_t"), F.coalesce(F.concat(F.lit("="), F.col(value)), F.lit("null")).alias("_v"))
+    classes = held.groupBy(group, "_t", "_v").agg(F.count(F.lit(1)).alias("n")).withColumn("g", trigrams(F.col("_t"))).where("size(g) > 0")
+    keep = F.size("g") - F.ceil(F.size("g") * percent / 100) + 1
+    classes = classes.withColumn("c", F.xxhash64(group, "_t", "_v"))
+    first = F.slice(F.array_sort(F.transform("g", lambda x: F.xxhash64(x))), 1, F.greatest(keep, F.lit(1)))
+    posting = classes.select(group, "c", F.size("g").alias("s"), F.explode(first).alias("h"))
+    x, y = posting.alias("x"), posting.alias("y")
+    fits = (F.col("x.s") * 100 > F.col("y.s") * percent) & (F.col("y.s") * 100 > F.col("x.s") * percent)
+    met = x.join(y, (F.col(f"x.{group}") == F.col(f"y.{group}")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & fits).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+    side = lambda n: classes.select(F.col("c").alias(n), F.struct("g", "_v", "n").alias(f"{n}_of"))
+    both = met.join(side("a"), "a").join(side("b"), "b").where("a_of._v <> b_of._v")
+    common = F.size(F.array_intersect("a_of.g", "b_of.g"))
+    alike = common * 100 > (F.size("a_of.g") + F.size("b_of.g") - common) * percent
+    found = both.where(alike).groupBy("a").agg(F.sum("b_of.n").alias("links"))
+    # equal texts of other values are similar as well
+    same = classes.groupBy(group, "_t").agg(F.sum("n").alias("all"))
+    total = classes.join(same, [group, "_t"]).join(found.withColumnRenamed("a", "c"), "c", "left").select(group, "_t", "_v", (F.coalesce("links", F.lit(0)) + F.col("all") - F.col("n")).alias("links"))
+    # classes of equal text met through their trigrams too, and are in both counts
+    twice = both.where(alike & (F.size("a_of.g") == F.size("b_of.g")) & (common == F.size("a_of.g"))).select("a", "b", F.col("b_of.n").alias("m"))
+    texts = classes.select("c", "_t")
+    equal = twice.join(texts.select(F.col("c").alias("a"), F.col("_t").alias("ta")), "a").join(texts.select(F.col("c").alias("b"), F.col("_t").alias("tb")), "b").where("ta = tb").groupBy("a").agg(F.sum("m").alias("again"))
+    again = classes.select("c", group, "_t", "_v").join(equal.withColumnRenamed("a", "c"), "c").select(group, "_t", "_v", "again")
+    total = total.join(again, [group, "_t", "_v"], "left").select(group, "_t", "_v", (F.col("links") - F.coalesce("again", F.lit(0))).alias("links")).where("links > 0")
+    return held.join(total, [group, "_t", "_v"]).select(key, "links")

@@ -102,21 +102,11 @@ def _(s, d):
     return one.crossJoin(F.broadcast(slots))  # one row each
 
 
-@R("AGG15_ingestion_by_status", "SELECT status, count(*) AS n, round(avg(confidence), 6) AS confidence, max(created_at) AS last_created FROM {CUR} GROUP BY status")
-def _(s, d):
-    return claims(s, d, "status", "confidence", "created_at").groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"), F.max("created_at").alias("last_created"))
-
-
 @R("AGG16_reprocessing_plan", "SELECT count(*) AS items, count(DISTINCT source_session) AS sessions FROM {CUR} WHERE created_at >= {AS_OF} - INTERVAL 200 DAY")
 def _(s, d):
     return claims(s, d, "source_session", "created_at").where(F.col("created_at") >= as_of() - F.expr("INTERVAL 200 DAYS")).agg(F.count(F.lit(1)).alias("items"), F.count_distinct("source_session").alias("sessions"))
 
 
-@R("AGG17_entity_distribution", "SELECT entity, count(*) AS n FROM {CUR} WHERE coalesce(entity, '') <> '' GROUP BY entity ORDER BY n DESC, entity LIMIT 10")
-def _(s, d):
-    return claims(s, d, "entity").where("coalesce(entity, '') <> ''").groupBy("entity").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "entity").limit(10)
-
-
 @R("AGG18_file_status", "SELECT file_path, count(*) AS chunks, count(*) FILTER (chunk_type = 'class') AS classes, count(DISTINCT qualified_name) AS names, min(created_at) AS first_at, max(updated_at) AS last_at FROM code_chunks GROUP BY file_path")
 def _(s, d):
     return table(s, d, "code_chunks").groupBy("file_path").agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("chunk_type") == "class").alias("classes"), F.count_distinct("qualified_name").alias("names"), F.min("created_at").alias("first_at"), F.max("updated_at").alias("last_at"))
@@ -140,11 +130,6 @@ def _aged(s, d, *more, now=None):
     return claims(s, d, "last_confirmed", "first_seen", "created_at", *more).withColumns({"at_ts": at, "age": temporal.age_days(at, as_of() if now is None else now)})
 
 
-@R("AGG21_temporal_cohorts", f"SELECT {_BUCKET} AS bucket, count(*) AS n, min(coalesce(last_confirmed, first_seen, created_at)) AS oldest, max(coalesce(last_confirmed, first_seen, created_at)) AS newest FROM {{CUR}} GROUP BY bucket")
-def _(s, d):
-    return _aged(s, d).groupBy(temporal.bucket(F.col("age")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min("at_ts").alias("oldest"), F.max("at_ts").alias("newest"))
-
-
 @R("AGG22_temporal_signals", f"SELECT count({_AGE}) AS dated, round(min({_AGE}), 6) AS least, round(max({_AGE}), 6) AS most, round(avg({_AGE}), 6) AS mean, round(median({_AGE}), 6) AS middle FROM {{CUR}} WHERE coalesce(last_confirmed, first_seen, created_at) IS NOT NULL")
 def _(s, d):
     r = lambda f, n: F.round(f("age"), 6).alias(n)
@@ -289,11 +274,6 @@ def _(s, d):
     return table(s, d, "code_chunks").select("id", (F.col("chunk_type") != F.first("chunk_type").over(w)).alias("later"))
 
 
-@R("WIN14_daily_bullets", "SELECT DISTINCT strftime(captured_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, kind, lang FROM documents WHERE captured_at IS NOT NULL ORDER BY day DESC, kind, lang NULLS FIRST LIMIT 20")
-def _(s, d):
-    return table(s, d, "documents").where("captured_at IS NOT NULL").select(F.date_format("captured_at", "yyyy-MM-dd").alias("day"), "kind", "lang").dropDuplicates().orderBy(F.desc("day"), "kind", F.asc_nulls_first("lang")).limit(20)
-
-
 @R("TOP13_random_baseline")
 def _(s, d):
     """A repeatable random order: by hash of the id and a seed."""

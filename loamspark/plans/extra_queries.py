@@ -13,13 +13,6 @@ R = Registry()
 QUERIES, SQL = R.QUERIES, R.SQL
 
 
-@R("JON08_like_pairs", """
-SELECT entity, count(*) FILTER (t LIKE '%enabled%') AS a, count(*) FILTER (t LIKE '%disabled%') AS b FROM (SELECT entity, lower(value) AS t FROM {CUR} WHERE coalesce(entity, '') <> '' AND entity <> 'general') GROUP BY entity HAVING a > 0 AND b > 0""")
-def _(s, d):
-    c = claims(s, d, "entity", "value").where("coalesce(entity, '') <> '' AND entity <> 'general'").withColumn("t", F.lower("value"))
-    return c.groupBy("entity").agg(F.count_if(F.col("t").like("%enabled%")).alias("a"), F.count_if(F.col("t").like("%disabled%")).alias("b")).where("a > 0 AND b > 0")
-
-
 @R("JON17_any_match", """
 WITH x AS (SELECT DISTINCT lower(coalesce(payload->>'$.text', payload->>'$.normalized_text')) AS t, payload->>'$.entity' AS e, payload->>'$.property' AS p, payload->>'$.value' AS v FROM memory_discarded WHERE json_valid(payload))
 SELECT id FROM {CUR} WHERE lower(text) IN (SELECT t FROM x WHERE t IS NOT NULL) OR EXISTS (SELECT 1 FROM x WHERE e = entity AND p = property AND v = value)""")
@@ -84,17 +77,6 @@ def _(s, d):
     return claims(s, d, "last_confirmed", "first_seen", "created_at").select("id", at.alias("at_ts"), temporal.bucket(age).alias("bucket"), F.round(age, 6).alias("age"))
 
 
-@R("SCO22_insight_score", "SELECT id, CAST(contains(lower(text), 'compiler') AS INTEGER) + CAST(contains(lower(text), 'snapshot') AS INTEGER) AS score FROM {CUR} WHERE text IS NOT NULL ORDER BY score DESC, id LIMIT 30")
-def _(s, d):
-    hit = lambda t: F.contains(F.lower("text"), F.lit(t)).cast("int")
-    return claims(s, d, "text").where("text IS NOT NULL").select("id", (hit("compiler") + hit("snapshot")).alias("score")).orderBy(F.desc("score"), "id").limit(30)
-
-
-@R("SCO29_best_specificity", "SELECT id, length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS digits FROM {CUR} WHERE text IS NOT NULL")
-def _(s, d):
-    return claims(s, d, "text").where("text IS NOT NULL").select("id", (F.length("text") - F.length(F.regexp_replace("text", "[0-9]", ""))).cast("long").alias("digits"))
-
-
 @R("FUN06_interval_days", "SELECT id, round((epoch_us(updated_at) - epoch_us(created_at)) / 86400000000.0, 6) AS days FROM {CUR}")
 def _(s, d):
     return claims(s, d, "created_at", "updated_at").select("id", F.round((F.unix_micros("updated_at") - F.unix_micros("created_at")) / 86_400_000_000.0, 6).alias("days"))
@@ -132,39 +114,11 @@ def _(s, d):
     return lines.withColumn("seg", F.sum(F.col("line").startswith("PASS ").cast("long")).over(w)).groupBy("doc_id").agg(F.max("seg").alias("segments"))
 
 
-@R("GRA07_links_once", "SELECT DISTINCT 'item:' || item_id AS src, 'report:' || report_id AS dst, issue_type AS type FROM parity_issue")
-def _(s, d):
-    i = table(s, d, "parity_issue").select(F.concat(F.lit("item:"), "item_id").alias("src"), F.concat(F.lit("report:"), "report_id").alias("dst"), F.col("issue_type").alias("type"))
-    return i.dropDuplicates(["src", "dst", "type"])
-
-
-@R("GRA09_reach_of_an_entity", "SELECT count(DISTINCT 'item:' || id) AS items FROM {CUR} WHERE entity = 'general'")
-def _(s, d):
-    e = graph.claim_edges(claims(s, d, "scope", "entity", "property", "value"))
-    return e.where("type = 'ABOUT_ENTITY' AND dst = 'entity:general'").agg(F.count_distinct("src").alias("items"))
-
-
-@R("EVA11_needle_recall", "SELECT suite, count(*) AS n, round(avg(CASE WHEN contains(lower(text), 'snapshot') THEN 1.0 ELSE 0 END), 6) AS recall FROM eval_items GROUP BY suite")
-def _(s, d):
-    hit = F.coalesce(F.contains(F.lower("text"), F.lit("snapshot")).cast("double"), F.lit(0.0))
-    return table(s, d, "eval_items").groupBy("suite").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(hit), 6).alias("recall"))
-
-
 @R("EVA17_hit_by_sessions", "SELECT source_agent, count(DISTINCT source_session) AS sessions, bool_or(memory_type = 'decision') AS hit FROM {CUR} WHERE source_agent IS NOT NULL GROUP BY source_agent")
 def _(s, d):
     return claims(s, d, "source_agent", "source_session", "memory_type").where("source_agent IS NOT NULL").groupBy("source_agent").agg(F.count_distinct("source_session").alias("sessions"), F.bool_or(F.col("memory_type") == "decision").alias("hit"))
 
 
-@R("RPT02_feedback_labels", """
-SELECT selected_id, unnest(list_filter([CASE WHEN bad >= 12 THEN 'many bad' END, CASE WHEN useful > bad THEN 'useful' END, CASE WHEN n < 60 THEN 'rare' END], lambda x: x IS NOT NULL)) AS label FROM (
-SELECT selected_id, count(*) AS n, count(*) FILTER (operator_feedback = 'useful') AS useful, count(*) FILTER (operator_feedback = 'bad') AS bad FROM {FB} GROUP BY selected_id)""")
-def _(s, d):
-    mark = F.col("operator_feedback")
-    f = feedback(s, d).groupBy("selected_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(mark == "useful").alias("useful"), F.count_if(mark == "bad").alias("bad"))
-    labels = F.array_compact(F.array(F.when(F.col("bad") >= 12, "many bad"), F.when(F.col("useful") > F.col("bad"), "useful"), F.when(F.col("n") < 60, "rare")))
-    return f.select("selected_id", F.explode(labels).alias("label"))
-
-
 @R("RPT08_superseded_listing", "SELECT id, status FROM {CUR} WHERE status IN ('superseded', 'archived', 'uncertain') ORDER BY id LIMIT 100")
 def _(s, d):
     return claims(s, d, "status").where(F.col("status").isin("superseded", "archived", "uncertain")).orderBy("id").limit(100)
@@ -193,12 +147,6 @@ def _(s, d):
     return table(s, d, "documents").where(F.col("captured_at") < as_of() - F.expr("INTERVAL 7 DAYS")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R("RPT42_append_if_absent", "SELECT DISTINCT value FROM {CUR} WHERE value IS NOT NULL AND memory_type = 'fact' AND value NOT IN (SELECT value FROM {CUR} WHERE value IS NOT NULL AND memory_type <> 'fact')")
-def _(s, d):
-    c = claims(s, d, "value", "memory_type").where("value IS NOT NULL")
-    return store.append_new(c.where("memory_type <> 'fact'").select("value"), c.where("memory_type = 'fact'").select("value"), "value")
-
-
 @R("RPT44_routed_worklist", "SELECT id FROM {CUR} WHERE status = 'active' AND lower(suggested_route) = 'auto'")
 def _(s, d):
     return claims(s, d, "status", "suggested_route").where((F.col("status") == "active") & (F.lower("suggested_route") == "auto")).select("id")

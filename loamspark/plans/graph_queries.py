@@ -28,13 +28,6 @@ def _(s, d):
     return _edges(s, d)
 
 
-@R("GRA01_path_lookup", f"SELECT DISTINCT a.src AS entity, a.dst AS property, b.dst AS value FROM {_EDGES} a JOIN {_EDGES} b ON a.dst = b.src AND b.type = 'HAS_VALUE' WHERE a.type = 'HAS_PROPERTY' AND a.src = 'entity:general'")
-def _(s, d):
-    e = _edges(s, d)
-    first = e.where("type = 'HAS_PROPERTY' AND src = 'entity:general'").select(F.col("src").alias("entity"), F.col("dst").alias("property"))
-    return first.join(e.where("type = 'HAS_VALUE'").select(F.col("src").alias("property"), F.col("dst").alias("value")), "property").select("entity", "property", "value").distinct()
-
-
 @R("GRA02_text_contains", "SELECT node_no, id FROM neo4j_nodes WHERE contains(lower(text), 'snapshot') AND scope = 'stable' ORDER BY confidence DESC NULLS LAST, importance DESC NULLS LAST, id, node_no LIMIT 20")
 def _(s, d):
     n = table(s, d, "neo4j_nodes").where(F.contains(F.lower("text"), F.lit("snapshot")) & (F.col("scope") == "stable"))
@@ -51,26 +44,6 @@ def _(s, d):
     return graph.k_hops(e, start, 2, ["HAS_PROPERTY", "HAS_VALUE"])
 
 
-@R("GRA04_imports_of_files", "SELECT DISTINCT file_path, unnest(imports) AS module FROM code_chunks")
-def _(s, d):
-    e = graph.code_edges(table(s, d, "code_chunks")).where("type = 'IMPORTS'")
-    return e.select(F.substring_index("src", "file:", -1).alias("file_path"), F.substring_index("dst", "module:", -1).alias("module"))
-
-
-@R("GRA05_dependents", "SELECT module, count(DISTINCT file_path) AS files FROM (SELECT file_path, unnest(imports) AS module FROM code_chunks) GROUP BY module")
-def _(s, d):
-    e = graph.code_edges(table(s, d, "code_chunks")).where("type = 'IMPORTS'")
-    return e.groupBy(F.substring_index("dst", "module:", -1).alias("module")).agg(F.count(F.lit(1)).alias("files"))
-
-
-@R("GRA06_code_graph_counts", """
-SELECT type, count(*) AS n FROM (SELECT DISTINCT file_path AS a, qualified_name AS b, 'DEFINES' AS type FROM code_chunks WHERE file_path IS NOT NULL AND qualified_name IS NOT NULL
-UNION ALL SELECT DISTINCT module_name || '.' || class_name, qualified_name, 'HAS_METHOD' FROM code_chunks WHERE class_name IS NOT NULL AND chunk_type = 'method' AND module_name IS NOT NULL AND qualified_name IS NOT NULL
-UNION ALL SELECT DISTINCT file_path, m, 'IMPORTS' FROM (SELECT file_path, unnest(imports) AS m FROM code_chunks) WHERE m IS NOT NULL) GROUP BY type""")
-def _(s, d):
-    return graph.code_edges(table(s, d, "code_chunks")).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
-
-
 @R("AGG20_node_counts", "SELECT coalesce(memory_type, 'none') AS label, count(*) AS n FROM neo4j_nodes GROUP BY coalesce(memory_type, 'none')")
 def _(s, d):
     return table(s, d, "neo4j_nodes").groupBy(F.coalesce("memory_type", F.lit("none")).alias("label")).agg(F.count(F.lit(1)).alias("n"))

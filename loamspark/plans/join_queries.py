@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loamspark.operators import joins
 from loamspark.plans.common import Registry, as_of, claims, feedback
+from loamspark.operators.rows import numbered
 from loamspark.session import table
 
 R = Registry()
@@ -40,23 +41,6 @@ def _(s, d):
     return joins.conflicts(claims(s, d, "entity", "property", "scope", "value").where(_SLOT), ["entity", "property", "scope"], "value", "id")
 
 
-@R("JON05_cross_agent_disputes", """
-WITH r AS (SELECT entity, property, source_agent, value FROM {CUR} WHERE coalesce(entity, '') <> '' AND coalesce(property, '') <> '' AND source_agent IS NOT NULL AND value IS NOT NULL)
-SELECT entity, property, count(DISTINCT source_agent) AS agents, count(DISTINCT value) AS "values" FROM r GROUP BY ALL HAVING agents > 1 AND "values" > 1""")
-def _(s, d):
-    c = claims(s, d, "entity", "property", "source_agent", "value").where(_SLOT + " AND source_agent IS NOT NULL AND value IS NOT NULL")
-    return c.groupBy("entity", "property").agg(F.count_distinct("source_agent").alias("agents"), F.count_distinct("value").alias("values")).where("agents > 1 AND values > 1")
-
-
-@R("JON07_opposite_keywords", """
-WITH r AS (SELECT entity, regexp_matches(lower(text), '\\b(enabled|always|keep)\\b') AS pro, regexp_matches(lower(text), '\\b(disabled|never|drop)\\b') AS con FROM {CUR} WHERE coalesce(entity, '') <> '')
-SELECT entity, count(*) FILTER (pro AND NOT con) AS pro, count(*) FILTER (con AND NOT pro) AS con FROM r GROUP BY entity HAVING count(*) FILTER (pro AND NOT con) > 0 AND count(*) FILTER (con AND NOT pro) > 0""")
-def _(s, d):
-    has = lambda p: F.lower("text").rlike(rf"\b({p})\b")
-    c = claims(s, d, "entity", "text").where("coalesce(entity, '') <> ''").select("entity", has("enabled|always|keep").alias("p"), has("disabled|never|drop").alias("c"))
-    return c.groupBy("entity").agg(F.count_if(F.col("p") & ~F.col("c")).alias("pro"), F.count_if(F.col("c") & ~F.col("p")).alias("con")).where("pro > 0 AND con > 0")
-
-
 @R("JON10_items_missing_in_graph", "SELECT id FROM {CUR} WHERE status = 'active' AND id NOT IN (SELECT id FROM neo4j_nodes WHERE id IS NOT NULL)")
 def _(s, d):
     return claims(s, d, "status").where("status = 'active'").select("id").join(table(s, d, "neo4j_nodes").select("id"), "id", "left_anti")
@@ -127,9 +111,9 @@ def _(s, d):
 
 
 def turns(s, d):
-    """Documents of a source as the turns of a session, numbered in order."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return table(s, d, "documents").select("doc_id", F.col("source").alias("session_id"), F.row_number().over(w).alias("turn_index"), "text")
+    """Documents of a source as the turns of a session, numbered in order; a hot source is numbered in parts."""
+    t = table(s, d, "documents").select("doc_id", F.col("source").alias("session_id"), "text")
+    return numbered(t, "session_id", "doc_id", "turn_index")
 
 
 @R("JON24_corroboration", """

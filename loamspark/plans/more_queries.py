@@ -34,20 +34,7 @@ def _(s, d):
     return e.groupBy("chunk_id").agg(F.max(F.struct("updated_at", "model_name")).alias("b")).select("chunk_id", "b.model_name", "b.updated_at")
 
 
-@R("SNK06_point_ids", "SELECT id, substr(sha1(id), 1, 32) AS point_id FROM {CUR}")
-def _(s, d):
-    return claims(s, d, "status").select("id", F.substring(F.sha1("id"), 1, 32).alias("point_id"))
-
-
-@R("SNK10_summary_upsert", """
-SELECT source_session, count(*) AS n, list(id ORDER BY id) AS constituents, max(last_confirmed) AS last_confirmed FROM (SELECT *, row_number() OVER (PARTITION BY source_session ORDER BY id) AS r FROM {CUR} WHERE source_session IS NOT NULL) WHERE r <= 20 GROUP BY source_session""")
-def _(s, d):
-    w = Window.partitionBy("source_session").orderBy("id")
-    c = claims(s, d, "source_session", "last_confirmed").where("source_session IS NOT NULL").withColumn("r", F.row_number().over(w)).where("r <= 20")
-    return c.groupBy("source_session").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("id")).alias("constituents"), F.max("last_confirmed").alias("last_confirmed"))  # at most 20 each
-
-
-@R("SNK10_summary_all_items")
+@R("SNK10_summary_all_items", "SELECT source_session, id, count(*) OVER (PARTITION BY source_session) AS n, max(last_confirmed) OVER (PARTITION BY source_session) AS last_confirmed FROM {CUR} WHERE source_session IS NOT NULL")
 def _(s, d):
     """Every claim of each session with its session's summary; the id list is kept as rows, so a session may hold any share of them."""
     c = claims(s, d, "source_session", "last_confirmed").where("source_session IS NOT NULL")
@@ -67,29 +54,6 @@ def _(s, d):
     return held.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R("JON06_similar_values", """
-WITH r AS (SELECT entity, property, value, lead(value) OVER (PARTITION BY entity, property ORDER BY first_seen NULLS LAST, id) AS nxt FROM {CUR} WHERE coalesce(entity, '') <> '' AND coalesce(property, '') <> '' AND value IS NOT NULL)
-SELECT entity, property, count(*) AS n FROM r WHERE nxt IS NOT NULL AND nxt <> value AND regexp_matches(value || nxt, '^[ -~]*$') AND levenshtein(value, nxt) <= 3 GROUP BY ALL""")
-def _(s, d):
-    w = Window.partitionBy("entity", "property").orderBy(F.asc_nulls_last("first_seen"), "id")
-    c = claims(s, d, "entity", "property", "value", "first_seen").where("coalesce(entity, '') <> '' AND coalesce(property, '') <> '' AND value IS NOT NULL")
-    c = c.withColumn("nxt", F.lead("value").over(w)).where("nxt IS NOT NULL AND nxt <> value")
-    return c.where(F.concat("value", "nxt").rlike(r"^[ -~]*\z") & (F.levenshtein("value", "nxt") <= 3)).groupBy("entity", "property").agg(F.count(F.lit(1)).alias("n"))
-
-
-@R("NAM09_items_by_module_name", """
-SELECT c.id, k.id AS chunk_id FROM (SELECT id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+_[a-z]+(?:_[0-9]+)?'))) AS name FROM {CUR} WHERE text IS NOT NULL) c
-JOIN (SELECT id, lower(module_name) AS name FROM code_chunks WHERE module_name IS NOT NULL) k USING (name) QUALIFY row_number() OVER (PARTITION BY c.id ORDER BY k.id) <= 3""")
-def _(s, d):
-    names = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+_[a-z]+(?:_[0-9]+)?"), F.lit(0)))
-    c = claims(s, d, "text").where("text IS NOT NULL").select("id", F.explode(names).alias("name"))
-    # only the first three chunks of a module can be among an item's first three
-    w = Window.partitionBy("name").orderBy("chunk_id")
-    k = table(s, d, "code_chunks").where("module_name IS NOT NULL").select(F.lower("module_name").alias("name"), F.col("id").alias("chunk_id")).withColumn("r", F.row_number().over(w)).where("r <= 3")
-    mine = Window.partitionBy("id").orderBy("chunk_id")
-    return c.join(k, "name").withColumn("r", F.row_number().over(mine)).where("r <= 3").select("id", "chunk_id")
-
-
 @R("JON12_documents_without_project", "SELECT count(*) AS n FROM documents WHERE project_id IS NULL OR project_id NOT IN (SELECT project_id FROM memory_items WHERE project_id IS NOT NULL)")
 def _(s, d):
     return table(s, d, "documents").select("project_id").join(table(s, d, "memory_items").select("project_id"), "project_id", "left_anti").agg(F.count(F.lit(1)).alias("n"))
@@ -229,12 +193,6 @@ def _(s, d):
     return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", t.alias("t")).select("doc_id", F.when(F.length("t") > 80, F.concat(F.substring("t", 1, 77), F.lit("..."))).otherwise(F.col("t")).alias("preview"))
 
 
-@R("RPT23_path_buckets", "SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN file_path LIKE '%.md' THEN 'docs' WHEN file_path LIKE '%test%' THEN 'tests' WHEN regexp_matches(file_path, '\\.(py|cpp|h)$') THEN 'code' ELSE 'other' END AS bucket FROM code_chunks) GROUP BY bucket")
-def _(s, d):
-    p = F.col("file_path")
-    return table(s, d, "code_chunks").groupBy(F.when(p.endswith(".md"), "docs").when(p.contains("test"), "tests").when(p.rlike(r"\.(py|cpp|h)$"), "code").otherwise("other").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @R("RPT32_transcript_profile", "SELECT kind, count(*) AS n, count(text) AS with_text, max(length(text)) AS longest FROM documents GROUP BY kind")
 def _(s, d):
     return table(s, d, "documents").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count("text").alias("with_text"), F.max(F.length("text")).alias("longest"))

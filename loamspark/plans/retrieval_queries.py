@@ -100,12 +100,6 @@ def _(s, d):
     return claims(s, d, "last_confirmed").select("id", F.when(inside, 0.12).otherwise(0.0).alias("bonus"))
 
 
-@R("SCO21_line_score", "SELECT doc_id, 0.30 * ((CASE WHEN contains(lower(text), 'compiler') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(text), 'snapshot') THEN 1 ELSE 0 END)) AS score FROM documents WHERE text IS NOT NULL")
-def _(s, d):
-    hit = lambda t: F.contains(F.lower("text"), F.lit(t)).cast("int")
-    return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", (0.30 * (hit("compiler") + hit("snapshot"))).alias("score"))
-
-
 @R("FUN01_parse_times", "SELECT event_id, epoch_us(CAST(strftime(ts, '%Y-%m-%dT%H:%M:%S') AS TIMESTAMP)) AS at_us FROM events")
 def _(s, d):
     text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
@@ -174,12 +168,6 @@ def _(s, d):
     return table(s, d, "code_chunks").select("id", F.md5(F.concat_ws("\n", "qualified_name", "signature", "docstring", "body")).alias("h"))
 
 
-@R("FUN44_calls_in_bodies", r"SELECT id, unnest(list_distinct(regexp_extract_all(body, '([A-Za-z_][A-Za-z0-9_]*)\(', 1))) AS callee FROM code_chunks WHERE body IS NOT NULL")
-def _(s, d):
-    calls = F.array_distinct(F.regexp_extract_all("body", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\("), F.lit(1)))
-    return table(s, d, "code_chunks").where("body IS NOT NULL").select("id", F.explode(calls).alias("callee"))
-
-
 _RANKED = """(SELECT label AS query, vec_id AS item, row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) AS rank FROM embeddings)"""
 _REL = "(SELECT label AS query, vec_id AS item, CAST(vec_id % 3 AS DOUBLE) AS gain FROM embeddings WHERE vec_id % 3 > 0)"
 
@@ -229,7 +217,7 @@ def _(s, d):
     """
     e = table(s, d, "events").where("value IS NOT NULL").groupBy(F.pmod(F.xxhash64("event_id"), F.lit(1000)).alias("block")).agg(F.sum("value").alias("t"), F.count(F.lit(1)).alias("n"))
     u = (F.pmod(F.xxhash64("block", "draw"), F.lit(1 << 30)) / float(1 << 30)).alias("u")
-    w = F.when(F.col("u") < 0.36788, 0).when(F.col("u") < 0.73576, 1).when(F.col("u") < 0.91970, 2).when(F.col("u") < 0.98101, 3).otherwise(4)
+    w = F.when(F.col("u") < 0.36788, 0).when(F.col("u") < 0.73576, 1).when(F.col("u") < 0.91970, 2).when(F.col("u") < 0.98101, 3).when(F.col("u") < 0.99634, 4).when(F.col("u") < 0.99941, 5).when(F.col("u") < 0.99992, 6).otherwise(7)
     drawn = e.crossJoin(F.broadcast(s.range(1000).withColumnRenamed("id", "draw"))).select("t", "n", "draw", u)  # 1,000 blocks and 1,000 draws, however large the data
     means = drawn.groupBy("draw").agg((F.sum(F.col("t") * w) / F.sum(F.col("n") * w)).alias("m"))
     return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
@@ -237,11 +225,11 @@ def _(s, d):
 
 @R("EVA06_permutation_test")
 def _(s, d):
-    """Share of 2,000 random sign flips of paired differences whose mean is at least as far from 0."""
+    """Share of 5,000 random sign flips of paired differences whose mean is at least as far from 0."""
     e = table(s, d, "embeddings").groupBy("label").agg((F.avg(F.col("embedding")[0]) - F.avg(F.col("embedding")[1])).alias("diff"))
     seen = e.agg(F.abs(F.avg("diff")).alias("seen"))
     sign = F.when(F.pmod(F.xxhash64("label", "flip"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    flips = e.crossJoin(F.broadcast(s.range(2000).withColumnRenamed("id", "flip"))).groupBy("flip").agg(F.abs(F.avg(F.col("diff") * sign)).alias("m"))
+    flips = e.crossJoin(F.broadcast(s.range(5000).withColumnRenamed("id", "flip"))).groupBy("flip").agg(F.abs(F.avg(F.col("diff") * sign)).alias("m"))
     return flips.crossJoin(F.broadcast(seen)).agg(F.avg((F.col("m") >= F.col("seen")).cast("double")).alias("p"))
 
 

@@ -102,19 +102,6 @@ def _(s, d):
     return c.select("id", "status").join(hit, "id", "left").select("id", F.when(F.col("hit") & (F.col("status") == "active"), "consolidated").otherwise(F.col("status")).alias("status"))
 
 
-@R("SNK12_prune_discards", "SELECT DISTINCT id, discarded_at FROM memory_discarded WHERE discarded_at IS NULL OR discarded_at >= {AS_OF} - INTERVAL 365 DAY")
-def _(s, d):
-    at = F.col("discarded_at")
-    return table(s, d, "memory_discarded").select("id", "discarded_at").where(at.isNull() | (at >= as_of() - F.expr("INTERVAL 365 DAYS"))).distinct()
-
-
-@R("SNK13_move_between_queues", """
-SELECT id, 'inbox' AS queue FROM {CUR} WHERE suggested_route = 'INBOX' UNION ALL SELECT id, 'pending_stable' FROM {CUR} WHERE suggested_route = 'PENDING_STABLE'""")
-def _(s, d):
-    c = claims(s, d, "suggested_route")
-    return c.where(F.col("suggested_route").isin("INBOX", "PENDING_STABLE")).select("id", F.lower("suggested_route").alias("queue"))
-
-
 @R("SNK14_quarantine", "SELECT CASE WHEN json_valid(payload) THEN 'written' ELSE 'set aside' END AS side, count(*) AS n FROM memory_discarded GROUP BY ALL")
 def _(s, d):
     good, bad = store.quarantine(table(s, d, "memory_discarded"), F.try_parse_json("payload").isNotNull())
@@ -154,20 +141,6 @@ def _(s, d):
     return store.substring_search(claims(s, d, "text", "confidence", "importance", "last_confirmed"), "Compiler", 25).select("id", "confidence", "importance")
 
 
-@R("FLT06_allowed_sensitivities", """
-SELECT c.id, a.agent FROM {CUR} c JOIN (VALUES ('main', 'public'), ('main', 'internal'), ('main', 'restricted'), ('scout', 'public')) a(agent, sensitivity) ON coalesce(c.sensitivity, 'public') = a.sensitivity""")
-def _(s, d):
-    allowed = s.createDataFrame([("main", "public"), ("main", "internal"), ("main", "restricted"), ("scout", "public")], "agent string, sensitivity string")
-    return claims(s, d, "sensitivity").withColumn("sensitivity", F.coalesce("sensitivity", F.lit("public"))).join(F.broadcast(allowed), "sensitivity").select("id", "agent")  # the policy's rows
-
-
-@R("FLT07_visibility", "SELECT id FROM {CUR} WHERE scope = 'global' OR (starts_with(scope, 'project:') AND (project_id = 'atlas' OR project_id IS NULL)) OR (scope = 'session' AND source_agent = 'main')")
-def _(s, d):
-    c, project = claims(s, d, "scope", "project_id", "source_agent"), F.col("project_id")
-    own = (F.col("scope") == "session") & (F.col("source_agent") == "main")
-    return c.where((F.col("scope") == "global") | (F.col("scope").startswith("project:") & ((project == "atlas") | project.isNull())) | own).select("id")
-
-
 @R("FLT08_agent_prefix", "SELECT id, source_agent FROM {CUR} WHERE source_agent LIKE 'co%'")
 def _(s, d):
     return claims(s, d, "source_agent").where(F.col("source_agent").startswith("co"))
@@ -261,4 +234,3 @@ def _(s, d):
 @R("SNK03_append_feedback", "SELECT event_id, selected_id, operator_feedback FROM {FB} WHERE operator_feedback IS NOT NULL")
 def _(s, d):
     return feedback(s, d).where("operator_feedback IS NOT NULL").select("event_id", "selected_id", "operator_feedback")
-

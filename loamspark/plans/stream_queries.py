@@ -29,11 +29,6 @@ def _(s, d):
     return _drain(s, d, ev.event_items).drop("at")
 
 
-@R("STR03_dead_letters", "SELECT event_id FROM events WHERE event_type IS NULL OR event_type NOT IN ('signup', 'error', 'click', 'view', 'purchase') OR NOT coalesce(json_valid(props), FALSE)")
-def _(s, d):
-    return ev.dead_letters(table(s, d, "events")).select("event_id")
-
-
 @R("STR04_latency_stats", "SELECT round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, quantile_disc(value, 0.99) AS p99 FROM events")
 def _(s, d):
     return table(s, d, "events").agg(F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY value)").alias("p99"))
