@@ -6,10 +6,11 @@ import pyarrow as pa
 from loamspark.llm import curve_knn as c
 
 
-def test_sample_is_bounded_and_blocks_do_not_grow():
+def test_sample_is_bounded_and_the_compared_share_falls():
     small, large = c.Settings.for_rows(80_000), c.Settings.for_rows(80_000_000)
-    assert small.landmarks == 10_000 and large.sample == 65_536
-    assert small.block == large.block and small.reach == large.reach
+    assert small.landmarks == 10_000 and large.sample == 262_144
+    assert 3 * small.orderings * small.block / 80_000 < 0.03
+    assert 3 * large.orderings * large.block / 80_000_000 < 0.001
 
 
 def near_in_one_process(x, s):
