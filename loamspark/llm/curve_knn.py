@@ -431,8 +431,9 @@ def _moved_by_tasks(spark):
                 for lo in b["id"].to_pylist():
                     yield pa.record_batch([pa.array([lo]), pa.array([shared.value.moved(lo, lo + step).tobytes()], pa.binary())], ["lo", "x"])
 
-        parts = spark.range(0, n, step, max(1, n // step)).mapInArrow(run, "lo long, x binary").orderBy("lo").collect()  # bounded by s.landmarks
-        shared.unpersist()
+        parts = spark.range(0, n, step, max(1, n // step)).mapInArrow(run, "lo long, x binary").collect()  # bounded by s.landmarks
+        shared.destroy()
+        parts.sort(key=lambda r: r.lo)
         return np.frombuffer(b"".join(bytes(r.x) for r in parts), np.float32).reshape(n, -1)
 
     return move
