@@ -225,12 +225,12 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _one_of_each(rows: DataFrame) -> DataFrame:
-    """One row of each class: the first by (at, id). Only hashes move, and the ids of classes with several rows."""
+def _one_of_each(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the first row of each class by (at, id), ids of the others). Only hashes move, and ids of classes with several."""
     several = _small(materialize(rows.groupBy(*CLS).count().where("count > 1").select(*CLS), "several"))
     first = rows.join(several, CLS, "left_semi").groupBy(*CLS).agg(F.min(F.struct("at", "id")).getField("id").alias("first"))
     copies = materialize(rows.select("id", *CLS).join(first, CLS).where("id <> first").select("id"), "copies")
-    return rows.join(_small(copies), "id", "left_anti")
+    return rows.join(_small(copies), "id", "left_anti"), copies
 
 
 def _may_match(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -392,9 +392,12 @@ class ChunkStore:
         rows.drop("base").withColumn("bucket", self._bucket("tag")).write.option("compression", "zstd").partitionBy("bucket").parquet(path)
         one = self.spark.read.schema(f"id string, at long, {_FEATURES}, bucket int").parquet(path)
         if not fresh:
-            one = _one_of_each(one)
+            one, copies = _one_of_each(one)
             if exists(self.spark, f"{self.path}/records"):
-                one = one.join(self.accepted().select(*CLS, "bucket"), [*CLS, "bucket"], "left_anti")
+                before = self.accepted().select(*CLS, "bucket")
+                copies = copies.unionByName(one.join(before, [*CLS, "bucket"], "left_semi").select("id"))
+                one = one.join(before, [*CLS, "bucket"], "left_anti")
+            copies.write.mode("append").parquet(f"{self.path}/copies")
         keys = one.select(F.explode("keys").alias("k"), "tag").withColumn("bucket", self._bucket("k"))
         keys.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").mode("append").partitionBy("bucket").parquet(f"{self.path}/chunks")
         _counted(one).coalesce(1).write.mode("append").parquet(f"{self.path}/frequent")
@@ -434,9 +437,9 @@ class ChunkStore:
         look = lambda rows: rows.select(F.col("tag"), F.struct(*CLS).alias("cls"), "size", "words")
         mine = look(reps)
         wanted = materialize(met.where("NOT y_new").select(F.col("y").alias("tag")).distinct(), "wanted")
-        known = self._in_buckets(self.accepted(), wanted, "tag").join(_small(wanted), "tag", "left_semi")
-        # copies of a class have the same words
-        known = look(known.groupBy("tag", *CLS).agg(F.first("size").alias("size"), F.first("words").alias("words")))
+        # one record of each class: its copies have the same words
+        known = self._in_buckets(self.accepted(), wanted, "tag").join(_small(wanted), "tag", "left_semi").join(_small(self._table("copies", "id string")), "id", "left_anti")
+        known = look(known)
         named = lambda rows, side: rows.select(F.col("tag").alias(side), F.struct("cls", "size", "words").alias(f"{side}_of"))
         left = met.join(named(mine, "x"), "x")
         both = left.where("y_new").join(named(mine, "y"), "y").unionByName(left.where("NOT y_new").join(named(known, "y"), "y"))
@@ -453,7 +456,7 @@ class ChunkStore:
         gives no matches; records of the batch are still matched with each other.
         """
         rows = materialize(rows.withColumn("base", F.lit(False)), "batch")
-        reps = _one_of_each(rows)
+        reps, _ = _one_of_each(rows)
         pairs = materialize(self.similar(reps), "pairs")
         info = rows.groupBy(*CLS).agg(F.min(F.struct("at", "id")).alias("first"), F.first("tag").alias("tag")).select(F.struct(*CLS).alias("cls"), "tag", "first")
         info = materialize(info, "classes")
