@@ -161,15 +161,6 @@ def _(s, d):
     return _consolidation(s, d).groupBy("resolution").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("items"))
 
 
-@R("AGG25_hierarchy_rollup", """
-SELECT week, day, session, count(*) AS n, round(sum(confidence), 2) AS confidence_sum, count(nullif(confidence, 0)) AS rated FROM (
-SELECT strftime(date_trunc('week', created_at AT TIME ZONE 'UTC'), '%Y-%m-%d') AS week, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, coalesce(source_session, '') AS session, confidence FROM {CUR} WHERE created_at IS NOT NULL) GROUP BY ROLLUP (week, day, session)""")
-def _(s, d):
-    c = claims(s, d, "created_at", "source_session", "confidence").where("created_at IS NOT NULL")
-    c = c.select(F.date_format(F.date_trunc("week", "created_at"), "yyyy-MM-dd").alias("week"), F.date_format("created_at", "yyyy-MM-dd").alias("day"), F.coalesce("source_session", F.lit("")).alias("session"), "confidence")
-    return c.rollup("week", "day", "session").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 2).alias("confidence_sum"), F.count(F.nullif("confidence", F.lit(0.0))).alias("rated"))
-
-
 @R("AGG28_compaction", """
 SELECT scope, memory_type, entity, property, tags_key, count(*) AS n, least(1.0, round(max(confidence) + 0.05, 6)) AS confidence, min(id) AS keeper FROM (
 SELECT *, array_to_string(list_sort(coalesce(tags, [])), ',') AS tags_key FROM {CUR} WHERE lifecycle_state IN ('durable', 'reinforced')) GROUP BY ALL HAVING count(*) > 1""".replace("SELECT *, array", "SELECT id, scope, memory_type, entity, property, confidence, array").replace("GROUP BY ALL", "GROUP BY scope, memory_type, entity, property, tags_key"))
@@ -203,11 +194,6 @@ def _(s, d):
     return m.select(marked.alias("marked"), F.round(F.try_divide("useful", marked), 6).alias("quality"), F.when(F.col("useful") < 0.5 * marked, 0.5).otherwise(0.4).alias("fts_weight"))
 
 
-@R("AGG38_strongest_link", "SELECT report_id, item_id, max(severity) AS severity, arg_max(issue_type, severity || issue_type) AS issue_type FROM parity_issue GROUP BY ALL")
-def _(s, d):
-    return table(s, d, "parity_issue").groupBy("report_id", "item_id").agg(F.max("severity").alias("severity"), F.max_by("issue_type", F.concat("severity", "issue_type")).alias("issue_type"))
-
-
 @R("WIN01_relative_recency", """
 SELECT id, round(CASE WHEN coalesce(entity, '') = '' OR coalesce(property, '') = '' THEN 0 ELSE 0.8 * (1 - coalesce((row_number() OVER w - 1) / nullif(count(*) OVER (PARTITION BY entity, property) - 1, 0), 0)) END, 6) AS recency
 FROM {CUR} WINDOW w AS (PARTITION BY entity, property ORDER BY coalesce(last_confirmed, first_seen, TIMESTAMPTZ '1970-01-01 00:00:00+00') DESC, id)""")
@@ -252,13 +238,6 @@ def _(s, d):
     return t.select("doc_id", "w", F.posexplode(starts).alias("chunk", "at")).select("doc_id", "chunk", F.array_join(F.slice("w", F.col("at") + 1, F.lit(100)), " ").alias("text"))
 
 
-@R("WIN08_conversation_groups", """
-SELECT event_id, user_id, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS grp FROM events""")
-def _(s, d):
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(s, d, "events").select("event_id", "user_id", F.sum((F.col("event_type") == "purchase").cast("long")).over(w).alias("grp"))
-
-
 @R("WIN09_runs_of_kind", """
 SELECT user_id, event_type, grp, count(*) AS n FROM (SELECT user_id, event_type, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS grp FROM (
 SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS new FROM events)) GROUP BY ALL""")
@@ -288,8 +267,3 @@ def _(s, d):
 @R("TOP07_best_match", "SELECT entity, arg_max(id, struct_pack(c := coalesce(confidence, -1), i := id)) AS best FROM {CUR} WHERE coalesce(entity, '') <> '' GROUP BY entity")
 def _(s, d):
     return claims(s, d, "entity", "confidence").where("coalesce(entity, '') <> ''").groupBy("entity").agg(F.max_by("id", F.struct(F.coalesce("confidence", F.lit(-1.0)), "id")).alias("best"))
-
-
-@R("TOP12_timeline", "SELECT id, created_at FROM {CUR} WHERE project_id = 'atlas' AND coalesce(confidence, 0) >= 0.8 ORDER BY created_at, id LIMIT 50")
-def _(s, d):
-    return claims(s, d, "project_id", "confidence", "created_at").where("project_id = 'atlas' AND coalesce(confidence, 0) >= 0.8").orderBy("created_at", "id").limit(50).select("id", "created_at")

@@ -142,11 +142,6 @@ def _(s, d):
     return lines.select("doc_id", "month", F.substr("l", F.lit(4)).alias("topic")).distinct().groupBy("month", "topic").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R("RPT38_older_than_a_week", "SELECT kind, count(*) AS n FROM documents WHERE captured_at < {AS_OF} - INTERVAL 7 DAY GROUP BY kind")
-def _(s, d):
-    return table(s, d, "documents").where(F.col("captured_at") < as_of() - F.expr("INTERVAL 7 DAYS")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-
-
 @R("RPT44_routed_worklist", "SELECT id FROM {CUR} WHERE status = 'active' AND lower(suggested_route) = 'auto'")
 def _(s, d):
     return claims(s, d, "status", "suggested_route").where((F.col("status") == "active") & (F.lower("suggested_route") == "auto")).select("id")

@@ -161,15 +161,6 @@ def _(s, d):
     return joins.as_of_rows(c, ["entity", "property"], "first_seen", F.lit("2025-12-31 00:00:00").cast("timestamp"), "id").drop("first_seen")
 
 
-@R("JON31_store_parity", """
-SELECT 'missing_in_graph' AS kind, count(*) AS n FROM (SELECT id FROM {CUR} WHERE id NOT IN (SELECT id FROM neo4j_nodes WHERE id IS NOT NULL))
-UNION ALL SELECT 'orphan_in_graph', count(*) FROM (SELECT DISTINCT id FROM neo4j_nodes WHERE id NOT IN (SELECT id FROM memory_items WHERE id IS NOT NULL))""")
-def _(s, d):
-    a, b = claims(s, d, "status").select("id"), table(s, d, "neo4j_nodes").select("id").distinct()
-    n = F.count(F.lit(1)).alias("n")
-    return a.join(b, "id", "left_anti").agg(F.lit("missing_in_graph").alias("kind"), n).unionByName(b.join(a, "id", "left_anti").agg(F.lit("orphan_in_graph").alias("kind"), n))
-
-
 @R("JON32_snapshot_diff", """
 WITH o AS (SELECT file_path, min(file_hash) AS h FROM code_chunks WHERE chunk_type <> 'class' GROUP BY file_path), n AS (SELECT file_path, max(file_hash) AS h FROM code_chunks WHERE chunk_type <> 'function' GROUP BY file_path)
 SELECT coalesce(o.file_path, n.file_path) AS file_path, CASE WHEN o.file_path IS NULL THEN 'added' WHEN n.file_path IS NULL THEN 'removed' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.file_path = n.file_path

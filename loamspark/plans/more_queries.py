@@ -28,12 +28,6 @@ def _(s, d):
     return store.upsert(old, new, ["entity", "property"])
 
 
-@R("SNK05_upsert_embeddings", "SELECT chunk_id, model_name, updated_at FROM code_chunk_embeddings WHERE chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY updated_at DESC) = 1")
-def _(s, d):
-    e = table(s, d, "code_chunk_embeddings").where("chunk_id IS NOT NULL")
-    return e.groupBy("chunk_id").agg(F.max(F.struct("updated_at", "model_name")).alias("b")).select("chunk_id", "b.model_name", "b.updated_at")
-
-
 @R("SNK10_summary_all_items", "SELECT source_session, id, count(*) OVER (PARTITION BY source_session) AS n, max(last_confirmed) OVER (PARTITION BY source_session) AS last_confirmed FROM {CUR} WHERE source_session IS NOT NULL")
 def _(s, d):
     """Every claim of each session with its session's summary; the id list is kept as rows, so a session may hold any share of them."""
@@ -108,12 +102,6 @@ def _(s, d):
     return c.withColumn("r", F.row_number().over(w)).where("r <= 3").select("day", "id", "confidence")
 
 
-@R("AGG27_representative_score", "SELECT id, round(0.7 * coalesce(confidence, 0) + 0.3 * least(length(text) / 500.0, 1), 6) AS score FROM {CUR} WHERE text IS NOT NULL AND NOT starts_with(text, '{') ORDER BY score DESC, id LIMIT 8")
-def _(s, d):
-    score = F.round(0.7 * F.coalesce("confidence", F.lit(0.0)) + 0.3 * F.least(F.length("text") / 500.0, F.lit(1.0)), 6)
-    return claims(s, d, "text", "confidence").where(F.col("text").isNotNull() & ~F.col("text").startswith("{")).select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(8)
-
-
 @R("AGG39_maintenance_sections", """
 SELECT 'undated' AS section, count(*) AS n FROM {CUR} WHERE last_confirmed IS NULL AND first_seen IS NULL UNION ALL SELECT 'unplaced', count(*) FROM {CUR} WHERE coalesce(entity, '') = '' OR coalesce(property, '') = ''
 UNION ALL SELECT 'stale', count(*) FROM {CUR} WHERE freshness_class = 'volatile' AND last_confirmed < {AS_OF} - INTERVAL 30 DAY""")
@@ -125,12 +113,6 @@ def _(s, d):
     return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("section"), F.col(k).alias("n")) for k in tests])))
 
 
-@R("WIN04_newest_in_batch", "SELECT source_agent, entity, property, id FROM {CUR} WHERE coalesce(entity, '') <> '' QUALIFY row_number() OVER (PARTITION BY source_agent, entity, property ORDER BY coalesce(last_confirmed, created_at) DESC NULLS LAST, id) = 1")
-def _(s, d):
-    w = Window.partitionBy("source_agent", "entity", "property").orderBy(F.desc_nulls_last(F.coalesce("last_confirmed", "created_at")), "id")
-    return claims(s, d, "source_agent", "entity", "property", "last_confirmed", "created_at").where("coalesce(entity, '') <> ''").withColumn("r", F.row_number().over(w)).where("r = 1").select("source_agent", "entity", "property", "id")
-
-
 @R("FUN32_test_lines", r"""
 SELECT name, count(*) AS n, round(sum(CAST(secs AS DOUBLE)), 3) AS total FROM (SELECT regexp_extract(l, '^PASS (\S+) .*\t(\d+\.\d+) s', 1) AS name, regexp_extract(l, '^PASS (\S+) .*\t(\d+\.\d+) s', 2) AS secs FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents WHERE kind = 'build_log')) WHERE name <> '' GROUP BY name""")
 def _(s, d):
@@ -173,14 +155,6 @@ def _(s, d):
     return of("view", "a").join(of("click", "b"), "user_id").agg(F.round(F.avg(F.col("b") - F.col("a")), 6).alias("mean_change"), F.count(F.lit(1)).alias("n"))
 
 
-@R("EVA10_session_recall", " UNION ALL ".join(f"SELECT {k} AS k, round(avg(CASE WHEN first_hit <= {k} THEN 1.0 ELSE 0 END), 6) AS recall FROM (SELECT label, min(CASE WHEN vec_id % 7 = 0 THEN r END) AS first_hit FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) AS r FROM embeddings) GROUP BY label)" for k in (1, 3, 5, 8, 10, 20)))
-def _(s, d):
-    w = Window.partitionBy("label").orderBy(F.desc(F.col("embedding")[0]), "vec_id")
-    first = table(s, d, "embeddings").withColumn("r", F.row_number().over(w)).groupBy("label").agg(F.min(F.when(F.col("vec_id") % 7 == 0, F.col("r"))).alias("first_hit"))
-    each = first.select("first_hit", F.explode(F.array(*[F.lit(k) for k in (1, 3, 5, 8, 10, 20)])).alias("k"))
-    return each.groupBy("k").agg(F.round(F.avg(F.coalesce((F.col("first_hit") <= F.col("k")).cast("double"), F.lit(0.0))), 6).alias("recall"))
-
-
 @R("STR14_last_loaded", "SELECT source_agent, max(created_at) AS newest, max(created_at) > {AS_OF} - INTERVAL 60 DAY AS behind FROM {CUR} WHERE source_agent IS NOT NULL GROUP BY source_agent")
 def _(s, d):
     c = claims(s, d, "source_agent", "created_at").where("source_agent IS NOT NULL").groupBy("source_agent").agg(F.max("created_at").alias("newest"))

@@ -13,11 +13,6 @@ R = Registry()
 QUERIES, SQL = R.QUERIES, R.SQL
 
 
-@R("SRC01_scan_by_status", "SELECT id, text, entity, property, value, status, confidence FROM {CUR} WHERE status = 'active'")
-def _(s, d):
-    return claims(s, d, "text", "entity", "property", "value", "status", "confidence").where("status = 'active'")
-
-
 @R("SRC03_scan_by_statuses", "SELECT id, status, lifecycle_state FROM {CUR} WHERE status IN ('active', 'superseded')")
 def _(s, d):
     return claims(s, d, "status", "lifecycle_state").where(F.col("status").isin("active", "superseded"))
@@ -114,11 +109,6 @@ def _(s, d):
     return store.append_new(e.where("event_type = 'view'"), e, "event_id")
 
 
-@R("SNK18_prefix_cleanup", "SELECT id FROM {CUR} WHERE NOT starts_with(id, 'mi_0')")
-def _(s, d):
-    return claims(s, d, "status").where(~F.col("id").startswith("mi_0")).select("id")
-
-
 _BOUNDS = {"equal": {"status": "active"}, "min_confidence": 0.3, "since": "2025-06-01 00:00:00", "until": "2026-07-01 00:00:00", "as_of": "2026-05-01 00:00:00"}
 
 
@@ -229,8 +219,3 @@ def _(s, d):
     i = table(s, d, "parity_issue").select(F.concat("report_id", "item_id").alias("a"), F.col("issue_type").alias("b"))
     e = i.withColumn("m", F.lit(0)).unionByName(i.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1).alias("m")))
     return e.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("m").alias("method"))
-
-
-@R("SNK03_append_feedback", "SELECT event_id, selected_id, operator_feedback FROM {FB} WHERE operator_feedback IS NOT NULL")
-def _(s, d):
-    return feedback(s, d).where("operator_feedback IS NOT NULL").select("event_id", "selected_id", "operator_feedback")
