@@ -36,11 +36,6 @@ def _(s, d):
     return c.select("source_session", "id").join(summary, "source_session")
 
 
-@R("FLT14_keep_plain_claims", r"SELECT id FROM {CUR} WHERE NOT regexp_matches(lower(coalesce(text, '')), '\b(maybe|perhaps|because)\b')")
-def _(s, d):
-    return claims(s, d, "text").where(~F.lower(F.coalesce("text", F.lit(""))).rlike(r"\b(maybe|perhaps|because)\b")).select("id")
-
-
 @R("JON02_terms_times_items", "SELECT t.term, count(*) AS n FROM {CUR} c, (SELECT unnest(['compiler', 'snapshot', 'warnings']) AS term) t WHERE contains(lower(c.text), t.term) GROUP BY t.term")
 def _(s, d):
     terms = F.array(*[F.lit(t) for t in ("compiler", "snapshot", "warnings")])
@@ -48,11 +43,6 @@ def _(s, d):
     return held.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R("JON12_documents_without_project", "SELECT count(*) AS n FROM documents WHERE project_id IS NULL OR project_id NOT IN (SELECT project_id FROM memory_items WHERE project_id IS NOT NULL)")
-def _(s, d):
-    return table(s, d, "documents").select("project_id").join(table(s, d, "memory_items").select("project_id"), "project_id", "left_anti").agg(F.count(F.lit(1)).alias("n"))
-
-
 @R("JON14_existing_ids", "SELECT id FROM neo4j_nodes WHERE id IN (SELECT id FROM memory_items UNION ALL SELECT coalesce(payload->>'$.id', payload->>'$.memory_id') FROM qdrant_points)")
 def _(s, d):
     p = table(s, d, "qdrant_points").select(F.coalesce(F.get_json_object("payload", "$.id"), F.get_json_object("payload", "$.memory_id")).alias("id"))

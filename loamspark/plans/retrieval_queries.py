@@ -126,12 +126,6 @@ def _(s, d):
     return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.greatest(F.lit(1), F.floor(F.length("text") / 4)).cast("long").alias("n"))
 
 
-@R("FUN25_dedupe_keys", "SELECT key, count(*) AS n, min(id) AS first_id FROM (SELECT id, regexp_replace(regexp_replace(lower(text), '^(note|fyi|claim)[:> -]+', ''), '[^a-z0-9]', '', 'g') AS key FROM {CUR} WHERE text IS NOT NULL) GROUP BY key")
-def _(s, d):
-    key = F.regexp_replace(F.regexp_replace(F.lower("text"), "^(note|fyi|claim)[:> -]+", ""), "[^a-z0-9]", "")
-    return claims(s, d, "text").where("text IS NOT NULL").groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
-
-
 @R("FUN27_content_hash", "SELECT id, substr(sha256(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))), 1, 16) AS h FROM {CUR} WHERE text IS NOT NULL")
 def _(s, d):
     t = F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), "[^a-z0-9 ]", ""), " +", " "))

@@ -259,3 +259,78 @@ def _(s, d):
     """Daily notes whose name is a date and which are older than a week, seen from September 2025."""
     t = table(s, d, "documents").where("kind = 'daily_note' AND text IS NOT NULL").select("doc_id", F.regexp_extract("text", r"^# (\d{4}-\d{2}-\d{2})\b", 1).try_cast("date").alias("day"))
     return t.where(F.col("day") < F.lit("2025-08-25").cast("date")).select("doc_id", F.col("day").cast("string").alias("day"))
+
+
+_REASONING = "['let''s think', 'step by step', 'i think', 'i suspect', 'brainstorm', 'maybe', 'might', 'could', 'perhaps', 'probably']"
+
+
+@R("FLT14_without_reasoning", f"SELECT id FROM {{CUR}} WHERE len(list_filter({_REASONING}, lambda w: contains(lower(coalesce(text, '')), w))) = 0")
+def _(s, d):
+    """Claims that hold neither reasoning nor speculation."""
+    from loamspark.functions import claims as says
+
+    t = F.lower(F.coalesce("text", F.lit("")))
+    return claims(s, d, "text").where(~says.holds_any(t, says.REASONING_WORDS) & ~says.holds_any(t, says.SPECULATION_WORDS)).select("id")
+
+
+_KEY = r"array_to_string(list_filter(string_split_regex(regexp_replace(lower(trim(coalesce(text, ''), ' ')), '^(decision:|rule:|implementation pattern:|bug history:|must )\s*', ''), '[^\p{L}\p{N}]+'), lambda w: w <> ''), ' ')"
+
+
+@R("FUN25_near_duplicate_neighbours", f"""
+SELECT id, k = b OR ((contains(k, b) OR contains(b, k)) AND least(length(k), length(b)) >= 24) OR k = '' AS near FROM (SELECT id, k, lag(k) OVER (PARTITION BY entity, property ORDER BY id) AS b FROM (SELECT id, entity, property, {_KEY} AS k FROM {{CUR}} WHERE entity IS NOT NULL AND property IS NOT NULL AND entity <> 'general')) WHERE b IS NOT NULL""")
+def _(s, d):
+    """Whether a claim is nearly the same as the one before it in its slot: equal keys, or one within the other from 24 characters on; an empty key is always one."""
+    bare = F.regexp_replace(F.lower(F.trim(F.coalesce("text", F.lit("")))), r"^(decision:|rule:|implementation pattern:|bug history:|must )\s*", "")
+    key = F.array_join(F.filter(F.split(bare, r"[^\p{L}\p{N}]+"), lambda w: w != ""), " ")
+    c = claims(s, d, "entity", "property", "text").where("entity IS NOT NULL AND property IS NOT NULL AND entity <> 'general'").select("id", "entity", "property", key.alias("k"))
+    c = c.withColumn("b", F.lag("k").over(Window.partitionBy("entity", "property").orderBy("id"))).where("b IS NOT NULL")
+    k, b = F.col("k"), F.col("b")
+    inside = (F.contains(k, b) | F.contains(b, k)) & (F.least(F.length(k), F.length(b)) >= 24)
+    return c.select("id", ((k == b) | inside | (k == "")).alias("near"))
+
+
+@R("GRA07_merged_links", "SELECT id AS src, supersedes AS dst, 'SUPERSEDES' AS type, max(coalesce(confidence, 0)) AS confidence FROM {CUR} WHERE supersedes IS NOT NULL GROUP BY ALL")
+def _(s, d):
+    """Links stored twice leave one edge each: merging is idempotent, the newest properties win."""
+    c = claims(s, d, "supersedes", "confidence").where("supersedes IS NOT NULL")
+    links = c.select(F.col("id").alias("src"), F.col("supersedes").alias("dst"), F.lit("SUPERSEDES").alias("type"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    once = store.upsert(links.limit(0), links, ["src", "dst", "type"])
+    return store.upsert(once, links, ["src", "dst", "type"])
+
+
+@R("JON12_rows_without_embedding", "SELECT id, file_path FROM code_chunks WHERE id IS NOT NULL AND id NOT IN (SELECT chunk_id FROM code_chunk_embeddings WHERE chunk_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = 384)")
+def _(s, d):
+    """Rows without a usable embedding; an anti-join, so a null in the list takes nothing away."""
+    e = table(s, d, "code_chunk_embeddings").where("embedding IS NOT NULL AND size(embedding) = 384").select(F.col("chunk_id").alias("id"))
+    return table(s, d, "code_chunks").where("id IS NOT NULL").select("id", "file_path").join(e, "id", "left_anti")
+
+
+@R("SRC11_note_lines_of_a_week", r"""
+WITH n AS (SELECT doc_id, regexp_extract(text, '^# (\d{4}-\d{2}-\d{2})', 1) AS day, text FROM documents WHERE kind = 'daily_note' AND text IS NOT NULL), k AS (SELECT DISTINCT day FROM n WHERE day <> '' ORDER BY day DESC LIMIT 7)
+SELECT doc_id, day, line FROM (SELECT doc_id, day, unnest(string_split(text, chr(10))) AS line FROM n WHERE day IN (SELECT day FROM k)) WHERE regexp_matches(line, '^(- |## |### )')""")
+def _(s, d):
+    """Bullets and headings of the notes of the last seven days that have any."""
+    n = table(s, d, "documents").where("kind = 'daily_note' AND text IS NOT NULL").withColumn("day", F.regexp_extract("text", r"^# (\d{4}-\d{2}-\d{2})", 1)).where("day <> ''")
+    week = n.select("day").distinct().orderBy(F.desc("day")).limit(7)
+    lines = n.join(F.broadcast(week), "day").select("doc_id", "day", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.where(F.col("line").rlike("^(- |## |### )"))
+
+
+@R("SRC13_discovered_sources", "SELECT count(*) AS files, count(DISTINCT doc_id) AS documents FROM documents WHERE kind = 'code' AND text IS NOT NULL AND source_agent IS NOT NULL")
+def _(s, d):
+    """Source files found by their suffix in nested folders: texts of code are written as such first, one row a file line set."""
+    path = scratch(s, "sources")
+    t = table(s, d, "documents").where("kind = 'code' AND text IS NOT NULL AND source_agent IS NOT NULL").select(F.to_json(F.struct("doc_id", "text")).alias("value"), F.col("source_agent").alias("agent"))
+    t.write.partitionBy("agent").text(path)
+    found = s.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
+    rows = found.select(F.explode(F.split(F.col("content").cast("string"), "\n")).alias("l")).where("l <> ''").select(F.from_json("l", "doc_id long, text string").alias("r"))
+    return rows.agg(F.count(F.lit(1)).alias("files"), F.count_distinct("r.doc_id").alias("documents"))
+
+
+@R("FUN42_parsed_chunks")
+def _(s, d):
+    """Functions, classes and methods of the code texts, nested ones too; texts that don't parse have none."""
+    from loamspark.sources import files
+
+    code = table(s, d, "documents").where("kind = 'code' AND text IS NOT NULL").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("code"))
+    return files.python_chunks(code)
