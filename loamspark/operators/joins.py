@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamspark.session import materialize
+
 
 def conflicts(df: DataFrame, slot: Sequence[str], value: str, key: str) -> DataFrame:
     """(key, slot, value_class, conflicting): rows of slots that hold several values, and how many rows disagree.
@@ -98,34 +103,115 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(words, of_word)))
 
 
+#: Texts of a group that are compared at once with as many; groups with more are split into tiles.
+TILE = 32_768
+#: Words of 64 bits of a text's map: for each bit, whether an odd number of its trigrams fall on it.
+MAP_WORDS = 4
+#: Ids that are broadcast; more are joined.
+BROADCAST_IDS = 1_000_000
+_AT_ONCE = 1 << 21
+
+
+def _mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gid, tid, s, m0 ..) of (gid, tid, g): number and map of the trigrams' hashes."""
+    for b in batches:
+        lists, n = b["g"], pa.compute.list_value_length(b["g"]).to_numpy().astype(np.int32)
+        h = lists.flatten().to_numpy().view(np.uint64)
+        row, word = np.repeat(np.arange(len(n)), n), (h >> np.uint64(6)) % np.uint64(MAP_WORDS)
+        maps = np.zeros((len(n), MAP_WORDS), np.uint64)
+        np.bitwise_xor.at(maps, (row, word.astype(np.int64)), np.uint64(1) << (h & np.uint64(63)))
+        yield pa.record_batch([b["gid"], b["tid"], pa.array(n), *[pa.array(maps[:, i].view(np.int64)) for i in range(MAP_WORDS)]], ["gid", "tid", "s", *[f"m{i}" for i in range(MAP_WORDS)]])
+
+
+def _near(tile: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b): pairs of a tile's texts that sizes and maps allow to be alike, once each. side 0 meets side 1, side 2 itself.
+
+    Of two texts that share more than `percent` % of n trigrams, fewer than (100 - percent) % of n are in one only, and
+    each of these turns one bit of the map at most.
+    """
+    tid, side, s, *maps = tile
+    order = np.argsort(s, kind="stable")
+    tid, side, s, maps = tid[order], side[order], s[order].astype(np.int64), [m[order].view(np.uint64) for m in maps]
+    alone = side[0] == 2
+    left, right = (np.arange(len(s)),) * 2 if alone else (np.nonzero(side == 0)[0], np.nonzero(side == 1)[0])
+    i = 0
+    while i < len(left):
+        # sizes rise: the rows of `right` that a left one may match are a window
+        lo = i + 1 if alone else int(np.searchsorted(s[right], s[left[i]] * percent / 100, "right"))
+        to = min(len(left), i + max(1, _AT_ONCE // max(1, len(right) - lo)), i + 1024)
+        x = left[i:to]
+        hi = int(np.searchsorted(s[right], s[x[-1]] * 100 / percent, "left"))
+        y = right[lo:hi]
+        apart = np.bitwise_count(maps[0][x][:, None] ^ maps[0][y]).astype(np.int16) + np.bitwise_count(maps[1][x][:, None] ^ maps[1][y])
+        r, c = np.nonzero(apart * np.int64(100 + percent) < (s[x][:, None] + s[y]) * (100 - percent))
+        r, c = x[r], y[c]
+        if alone:
+            r, c = r[r < c], c[r < c]
+        apart = sum((np.bitwise_count(m[r] ^ m[c]).astype(np.int64) for m in maps), np.zeros(len(r), np.int64))
+        keep = (apart * (100 + percent) < (s[r] + s[c]) * (100 - percent)) & (s[r] * 100 > s[c] * percent) & (s[c] * 100 > s[r] * percent)
+        if keep.any():
+            yield pa.record_batch([pa.array(tid[r[keep]]), pa.array(tid[c[keep]])], ["a", "b"])
+        i = to
+
+
+def _near_pairs(percent: int):
+    """_near() of each tile of rows sorted by (gid, tile); a tile has about 2 * TILE rows at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held = ["gid", "tile", "tid", "side", "s", *[f"m{i}" for i in range(MAP_WORDS)]], None
+
+        def tiles(z: list[np.ndarray], cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi - lo > 1:
+                    yield from _near([x[lo:hi] for x in z[2:]], percent)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = [b[x].to_numpy() for x in names]
+            held = now if held is None else [np.concatenate(z) for z in zip(held, now, strict=True)]
+            cuts = np.nonzero(np.append(True, (held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])))[0]
+            yield from tiles(held, cuts)
+            held = [z[cuts[-1] :] for z in held]
+        if held is not None:
+            yield from tiles(held, np.array([0, len(held[0])]))
+
+    return run
+
+
 def similar_texts(df: DataFrame, key: str, group: str, text: str, value: str, percent: int) -> DataFrame:
     """(key, links): with how many rows of its group a row's text shares more than `percent` % of all trigrams, while
     their values differ (null is a value).
 
-    Rows of equal text and value form a class; classes of a group meet where one of their rarest trigrams agrees (by a
-    fixed order of trigrams, as many as no similar text can do without), are compared exactly, and carry their sizes.
+    The distinct texts of a group are compared by sizes and maps of their trigrams, which lose no similar pair; large
+    groups are split into tiles in which each pair meets once. What is left is compared exactly. A row's links are the
+    rows of its own and of similar texts, less those of them with its value; both are sums over distinct texts.
     """
-    held = df.where(F.col(group).isNotNull() & F.col(text).isNotNull()).select(key, group, F.lower(text).alias("_t"), F.coalesce(F.concat(F.lit("="), F.col(value)), F.lit("null")).alias("_v"))
-    classes = held.groupBy(group, "_t", "_v").agg(F.count(F.lit(1)).alias("n")).withColumn("g", trigrams(F.col("_t"))).where("size(g) > 0")
-    keep = F.size("g") - F.ceil(F.size("g") * percent / 100) + 1
-    classes = classes.withColumn("c", F.xxhash64(group, "_t", "_v"))
-    first = F.slice(F.array_sort(F.transform("g", lambda x: F.xxhash64(x))), 1, F.greatest(keep, F.lit(1)))
-    posting = classes.select(group, "c", F.size("g").alias("s"), F.explode(first).alias("h"))
-    x, y = posting.alias("x"), posting.alias("y")
-    fits = (F.col("x.s") * 100 > F.col("y.s") * percent) & (F.col("y.s") * 100 > F.col("x.s") * percent)
-    met = x.join(y, (F.col(f"x.{group}") == F.col(f"y.{group}")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & fits).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
-    side = lambda n: classes.select(F.col("c").alias(n), F.struct("g", "_v", "n").alias(f"{n}_of"))
-    both = met.join(side("a"), "a").join(side("b"), "b").where("a_of._v <> b_of._v")
+    held = df.where(F.col(group).isNotNull() & F.col(text).isNotNull()).select(key, F.col(group).alias("_g"), F.lower(text).alias("_t"), F.coalesce(F.concat(F.lit("="), F.col(value)), F.lit("null")).alias("_v"))
+    held = materialize(held.withColumn("tid", F.xxhash64("_g", "_t")), "texts-held")
+    grams = F.transform(trigrams(F.col("_t")), lambda x: F.xxhash64(x)).alias("g")
+    texts = held.groupBy("tid").agg(F.first("_g").alias("_g"), F.first("_t").alias("_t"))
+    sizes = ", ".join(f"m{i} long" for i in range(MAP_WORDS))
+    mapped = texts.select(F.xxhash64("_g").alias("gid"), "tid", grams).where("size(g) > 0")
+    mapped = materialize(mapped.mapInArrow(_mapped, f"gid long, tid long, s int, {sizes}"), "texts-mapped")
+    groups = mapped.groupBy("gid").count().where("count > 1").select("gid", F.ceil(F.col("count") / F.lit(TILE)).cast("int").alias("parts"))
+    parted = mapped.join(groups, "gid").withColumn("p", F.pmod(F.xxhash64("tid", F.lit(1)), F.col("parts")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct((F.least("p", j) * F.col("parts") + F.greatest("p", j)).alias("tile"), F.when(F.col("p") == j, 2).when(F.col("p") < j, 0).otherwise(1).alias("side")))
+    tiled = parted.withColumn("o", F.explode(others)).select("gid", "o.tile", "tid", "o.side", "s", *[f"m{i}" for i in range(MAP_WORDS)])
+    near = materialize(tiled.repartition("gid", "tile").sortWithinPartitions("gid", "tile").mapInArrow(_near_pairs(percent), "a long, b long"), "texts-near")
+    asked = materialize(near.select(F.col("a").alias("tid")).unionByName(near.select(F.col("b").alias("tid"))).distinct(), "texts-asked")
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
+    lists = materialize(held.join(asked, "tid", "left_semi").groupBy("tid").agg(F.first("_g").alias("_g"), F.first("_t").alias("_t")).select("tid", "_g", grams), "texts-grams")
+    of = lambda n: lists.select(F.col("tid").alias(n), F.struct("_g", "g").alias(f"{n}_of"))
     common = F.size(F.array_intersect("a_of.g", "b_of.g"))
-    alike = common * 100 > (F.size("a_of.g") + F.size("b_of.g") - common) * percent
-    found = both.where(alike).groupBy("a").agg(F.sum("b_of.n").alias("links"))
-    # equal texts of other values are similar as well
-    same = classes.groupBy(group, "_t").agg(F.sum("n").alias("all"))
-    total = classes.join(same, [group, "_t"]).join(found.withColumnRenamed("a", "c"), "c", "left").select(group, "_t", "_v", (F.coalesce("links", F.lit(0)) + F.col("all") - F.col("n")).alias("links"))
-    # classes of equal text met through their trigrams too, and are in both counts
-    twice = both.where(alike & (F.size("a_of.g") == F.size("b_of.g")) & (common == F.size("a_of.g"))).select("a", "b", F.col("b_of.n").alias("m"))
-    texts = classes.select("c", "_t")
-    equal = twice.join(texts.select(F.col("c").alias("a"), F.col("_t").alias("ta")), "a").join(texts.select(F.col("c").alias("b"), F.col("_t").alias("tb")), "b").where("ta = tb").groupBy("a").agg(F.sum("m").alias("again"))
-    again = classes.select("c", group, "_t", "_v").join(equal.withColumnRenamed("a", "c"), "c").select(group, "_t", "_v", "again")
-    total = total.join(again, [group, "_t", "_v"], "left").select(group, "_t", "_v", (F.col("links") - F.coalesce("again", F.lit(0))).alias("links")).where("links > 0")
-    return held.join(total, [group, "_t", "_v"]).select(key, "links")
+    alike = (F.col("a_of._g") == F.col("b_of._g")) & (common * 100 > (F.size("a_of.g") + F.size("b_of.g") - common) * percent)
+    pairs = near.join(of("a"), "a").join(of("b"), "b").where(alike).select("a", "b")
+    pairs = materialize(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "texts-alike")
+
+    # a text with any trigrams is similar to itself
+    cells = materialize(held.join(mapped.select("tid"), "tid", "left_semi").groupBy("tid", "_v").agg(F.count(F.lit(1)).alias("n")), "texts-values")
+    reach = pairs.unionByName(mapped.select(F.col("tid").alias("a"), F.col("tid").alias("b")))
+    met = reach.join(cells.withColumnRenamed("tid", "b"), "b").groupBy("a", "_v").agg(F.sum("n").alias("n"))
+    totals = met.groupBy("a").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("values")).where("values > 1")
+    open_ = met.join(totals, "a").select(F.col("a").alias("tid"), "_v", (F.col("all") - F.col("n")).alias("links"))
+    return held.join(materialize(open_, "texts-links"), ["tid", "_v"]).select(key, "links")

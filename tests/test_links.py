@@ -73,6 +73,26 @@ def test_similar_texts_against_all_pairs(spark):
     assert joins.similar_texts(spark.createDataFrame([], SCHEMA), "id", "entity", "text", "value", 85).collect() == []
 
 
+def test_similar_texts_in_tiles(spark, monkeypatch):
+    """Groups beyond a tile give the same, and the last plan is small: the whole in one plan took the driver's memory."""
+    rng = random.Random(4)
+    data = []
+    for i in range(120):
+        t = list("the stale snapshot of the early deployment ring keeps its retry budget")
+        for _ in range(rng.randrange(3)):
+            t[rng.randrange(len(t))] = rng.choice("qxz")
+        data.append((f"i{i:03}", rng.choice(["e", "e", "e", "f"]), "".join(t), rng.choice([None, "1", "2"]), "x"))
+    pairs = []
+    for a, b in itertools.combinations(data, 2):
+        x, y = grams(a[2]), grams(b[2])
+        if a[1] == b[1] and a[3] != b[3] and len(x & y) * 100 > 85 * len(x | y):
+            pairs.append((a[0], b[0]))
+    monkeypatch.setattr(joins, "TILE", 16, raising=False)
+    found = joins.similar_texts(spark.createDataFrame(data, SCHEMA), "id", "entity", "text", "value", 85)
+    assert {r.id: r.links for r in found.collect()} == counted(pairs) and pairs
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 6
+
+
 def test_calls_are_resolved_in_order(spark):
     chunks = [
         ("1", "a.py", "function", "a.run", "a", "def run(x):\n    helper(x)\n    b.only(x)\n    self.skip()\n    both()\n    obj.deep(x)\n    run(x)", None, None, None),
