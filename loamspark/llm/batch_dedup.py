@@ -6,7 +6,8 @@ the bytes of their shared chunks decide whether they are compared, and the disti
 the verdict. Short texts, all of whose chunks a few edits may hit, are found by their rarest words in the same table,
 which misses none. Accepted records go into the table; a batch reads only the buckets of its own chunks.
 
-No chunk is left out for being frequent: the records of one that many hold are compared in tiles of bounded size.
+No chunk is left out for being frequent: the records of one that many hold are compared where they also share one of
+their rarest other words, which no match can do without, and in tiles of bounded size.
 """
 
 from __future__ import annotations
@@ -42,10 +43,13 @@ RANK_SAMPLE = 64
 HOT = 16_384
 #: Keys beyond HOT are found by counting one of so many classes.
 COUNTED = 16
+#: Of frequent keys, the words that most holders have are found in one of so many records.
+HELD_SAMPLE = 256
 #: Records for each bucket of a store.
 BUCKET_RECORDS = 65_536
-#: Days of new records are matched together until they have so many: results are those of one day after another.
-PASS_RECORDS = 65_536
+#: Days of new records are matched together until they have so many, or this share of what is known from the start, so
+#: that the passes over a store don't multiply with it: results are those of one day after another.
+PASS_RECORDS, PASS_SHARE = 65_536, 4
 #: Least share of the smaller text's bytes in shared chunks.
 COVERAGE = 0.02
 #: Rows of (at most) 16 bytes that are broadcast; more are joined.
@@ -335,6 +339,77 @@ def _tiled(known: DataFrame, new: DataFrame, counts: DataFrame) -> DataFrame:
     return known.select("k", tile.alias("tile"), "tag", F.lit(KNOWN).alias("role")).unionByName(new)
 
 
+def _hot_words(keys: np.ndarray):
+    """(k, w): words of records that hold one of the keys; k is null for each word once more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, k = _hot_hits(keys, b["keys"])
+            flat, starts, n = b["words"].flatten().to_numpy(), *_spans(b["words"])
+            of = np.repeat(np.arange(len(row)), n[row])
+            w = flat[np.arange(len(of)) + np.repeat(starts[row] - (np.cumsum(n[row]) - n[row]), n[row])]
+            yield pa.record_batch([pa.array(keys[k][of]), pa.array(w)], ["k", "w"])
+            yield pa.record_batch([pa.nulls(len(flat), pa.int64()), pa.array(flat)], ["k", "w"])
+
+    return run
+
+
+def _spans(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of lists in their flattened values."""
+    n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    return np.cumsum(n) - n, n
+
+
+def _hot_hits(keys: np.ndarray, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, index of the key) of the sorted keys that lists hold."""
+    flat, (_, n) = lists.flatten().to_numpy(), _spans(lists)
+    at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
+    hit = np.nonzero(keys[at] == flat)[0]
+    return np.repeat(np.arange(len(n)), n)[hit], at[hit]
+
+
+def _split(shared):
+    """(k, tag): postings of frequent keys of (tag, words, keys), each for some of the record's rarest words.
+
+    Words that most holders of a key have (held) are passed over. Of two matching records, x has at least t of its n words
+    in common with the other; whatever is held, one of the n - t + 1 rarest that aren't is among as many of the other,
+    unless t of the words of both are held: records with so many held words meet once more.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, held, known, counts = shared.value
+        num, den = SHARE
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                b = whole.slice(at, 4096)
+                row, k = _hot_hits(keys, b["keys"])
+                if not len(row):
+                    continue
+                flat, (starts, n) = b["words"].flatten().to_numpy().view(np.uint32).astype(np.int64), _spans(b["words"])
+                i = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
+                rank = np.where(known[i] == flat, counts[i], 0) if len(known) else np.zeros(len(flat), np.int64)
+                flat = flat[np.lexsort((flat, rank, np.repeat(np.arange(len(n)), n)))]
+                size = n[row]
+                first = np.cumsum(size) - size
+                of = np.repeat(np.arange(len(row)), size)
+                w = flat[np.arange(len(of)) + np.repeat(starts[row] - first, size)]
+                code = k[of] << 32 | w
+                j = np.minimum(np.searchsorted(held, code), max(len(held) - 1, 0))
+                free = held[j] != code if len(held) else np.ones(len(code), bool)
+                place = np.cumsum(free) - free
+                place -= place[np.minimum(first, len(place) - 1)][of]
+                least = (size * num + den - 1) // den
+                keep = free & (place < (size - least + 1)[of])
+                full = np.nonzero(np.bincount(of, ~free, len(row)) >= least)[0]
+                hit, w = np.append(of[keep], full), np.append(w[keep].astype(np.uint64), np.full(len(full), 1 << 33, np.uint64))
+                h = (keys[k[hit]].view(np.uint64) ^ (w + np.uint64(1)) * np.uint64(_TURN)) * np.uint64(_MULTIPLY)
+                h = (h ^ (h >> np.uint64(31))) * np.uint64(_MULTIPLY)
+                split = (h ^ (h >> np.uint64(29))) & np.uint64(0xFFFFFFFFFFFFFF00) | keys[k[hit]].view(np.uint64) & np.uint64(255)
+                yield pa.record_batch([pa.array(split.view(np.int64)), b["tag"].take(pa.array(row[hit]))], ["k", "tag"])
+
+    return run
+
+
 def _refused(edges: DataFrame) -> DataFrame | None:
     """Of classes joined by (early, late) edges: those that match an accepted earlier one. Null if there is no edge.
 
@@ -428,9 +503,33 @@ class ChunkStore:
         if wanted.count() <= BROADCAST_ROWS:
             stored = stored.join(F.broadcast(wanted), "k", "left_semi")
         counts = _counted(reps).withColumn("fresh", F.lit(True)).unionByName(self._table("frequent", "k long, n long").withColumn("fresh", F.lit(False)))
+        hot = counts.groupBy("k").agg(F.sum("n").alias("n"), F.max("fresh").alias("fresh")).where(F.col("n") > HOT).where("fresh").select("k").collect()  # fewer than postings / HOT
+        if hot:
+            stored, mine, counts = self._split_hot(np.sort(np.array([r.k for r in hot], np.int64)), reps, stored, mine, counts)
         tiled = _tiled(stored, mine, counts).repartition("k", "tile").sortWithinPartitions("k", "tile")
         return tiled.mapInArrow(_compare, "x long, y long, y_new boolean, n int").groupBy("x", "y", "y_new").agg(F.sum("n").alias("n"))
 
+    def _split_hot(self, keys: np.ndarray, reps: DataFrame, stored: DataFrame, mine: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Postings of known and of new records and their counts, with those of the sorted frequent keys split by words."""
+        known = self.accepted().join(_small(self._table("copies", "id string")), "id", "left_anti")
+        few = known.select("tag", "words", "keys").unionByName(reps.select("tag", "words", "keys")).where(F.pmod(F.xxhash64("tag", F.lit(3)), F.lit(HELD_SAMPLE)) == 0)
+        held = materialize(few.mapInArrow(_hot_words(keys), "k long, w int").groupBy("k", "w").count(), "held-words")
+        most = held.where("k IS NOT NULL").groupBy("k").agg(F.max("count").alias("most"))  # about the holders in the sample
+        common = held.join(F.broadcast(most), "k").where("2 * count > most AND most > 7").select("k", "w").collect()  # a few for each key
+        ranks = held.where("k IS NULL AND count > 1").orderBy(F.desc("count"), "w").limit(RANKED).select("w", "count").collect()  # bounded by RANKED
+        at = np.searchsorted(keys, np.array([r.k for r in common], np.int64))
+        codes = np.sort(at << 32 | np.array([r.w for r in common], np.int64) & 0xFFFFFFFF)
+        ranked = sorted((r.w & 0xFFFFFFFF, r["count"]) for r in ranks)
+        shared = self.spark.sparkContext.broadcast((keys, codes, np.array([w for w, _ in ranked], np.int64), np.array([n for _, n in ranked], np.int64)))
+        split = lambda rows: rows.select("tag", "words", "keys").mapInArrow(_split(shared), "k long, tag long")
+        new = materialize(split(reps), "split-new")
+        old = split(known).join(_small(materialize(new.select("k").distinct(), "split-keys")), "k", "left_semi")
+        old = materialize(old, "split-known")
+        hot = F.broadcast(self.spark.createDataFrame([(int(k),) for k in keys], "k long"))
+        rest = lambda df: df.join(hot, "k", "left_anti")
+        sizes = lambda df, fresh: df.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COUNTED).withColumn("fresh", F.lit(fresh))
+        return rest(stored).unionByName(old), rest(mine).unionByName(new.select("k", "tag")), rest(counts).unionByName(sizes(new, True)).unionByName(sizes(old, False))
+
     def similar(self, reps: DataFrame) -> DataFrame:
         """(a, b, b_new): classes (structs) of a batch with those that match them, known ones and others of the batch."""
         met = materialize(self.candidates(reps), "candidates")
@@ -526,10 +625,11 @@ def duplicate_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     known, new = claim_texts(table(spark, sf_dir, "memory_items"), table(spark, sf_dir, "memory_discarded"))
     items = table(spark, sf_dir, "memory_items").select("id", "text")
     ranks = word_ranks(items)
-    store = ChunkStore(spark, scratch(spark, "store"), max(4, items.count() // BUCKET_RECORDS))
+    size = items.count()
+    store = ChunkStore(spark, scratch(spark, "store"), max(4, size // BUCKET_RECORDS))
     store.append(records(known, ranks))
     found = None
-    for lo, hi in passes(new, PASS_RECORDS):
+    for lo, hi in passes(new, max(PASS_RECORDS, size // PASS_SHARE)):
         more = store.add_batch(records(new.where((F.col("at") >= lo) & (F.col("at") < hi)), ranks))
         found = more if found is None else found.unionByName(more)
     if found is None:
