@@ -1,3 +1,4 @@
+import dataclasses
 from types import SimpleNamespace
 
 import numpy as np
@@ -65,3 +66,30 @@ def test_candidates_of_both_orderings_are_ranked_together():
         cos = [float(u[int(i[1:])] @ u[int(j[1:])]) for j in js]
         assert len(set(js)) == len(js) == 10 and i not in js
         assert all(a >= b - 2e-6 for a, b in zip(cos, cos[1:], strict=False))
+
+
+def test_more_orderings_beyond_a_million_rows():
+    """Fewer landmarks for each region lose neighbours: at 2 million rows there are half of them."""
+    at = [c.Settings.for_rows(n) for n in (0, 4_000, 790_000, 1_048_576, 1_048_577, 2_000_000, 10_000_000)]
+    assert [s.orderings for s in at] == [2, 2, 2, 2, 3, 3, 6]
+    assert at[-1].sample == 2 * at[-1].landmarks == 262_144
+
+
+def test_third_ordering_makes_up_for_landmarks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = (rng.standard_normal((400, 64))[np.arange(4000) % 400] + 0.5 * rng.standard_normal((4000, 64))).astype(np.float32)
+    rows = [(f"i{i:05}", v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id string, embedding array<float>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    far = unit @ unit.T
+    np.fill_diagonal(far, -9)
+    want = {rows[i][0]: {rows[j][0] for j in np.argsort(-far[i])[:10]} for i in range(len(rows))}
+    monkeypatch.setattr(c, "MOST_LANDMARKS", 60, raising=False)
+    s = c.Settings.for_rows(4000)
+    few = {"landmarks": 60, "block": 64, "reach": 2, "sketch": 64, "partition_rows": 1000}
+    recall = []
+    for n in (2, s.orderings):
+        got = {r.id: set(r.near) for r in c.nearest(df, dataclasses.replace(s, orderings=n, **few), 4000).collect()}
+        assert len(got) == len(rows)
+        recall.append(sum(len(want[k] & got[k]) for k in want) / (10 * len(rows)))
+    assert s.orderings > 2 and recall[1] > recall[0] + 0.02
