@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -43,7 +44,7 @@ RANK_SAMPLE = 64
 HOT = 16_384
 #: Keys beyond HOT are found by counting one of so many classes.
 COUNTED = 16
-#: Of frequent keys, the words that most holders have are found in one of so many records.
+#: Of frequent keys, the words that most holders have are found in one of so many records, a multiple of COUNTED.
 HELD_SAMPLE = 256
 #: Records for each bucket of a store.
 BUCKET_RECORDS = 65_536
@@ -57,6 +58,11 @@ BROADCAST_ROWS = 1_000_000
 #: Layout of a tag: number of distinct words (at most TOP_WORDS), then a bitmap of their hashes.
 WORD_BITS, MAP_BITS = 8, 54
 TOP_WORDS = (1 << WORD_BITS) - 1
+#: Tables of hashes, in which hardly a value recurs, are written without dictionaries but for the words.
+_PLAIN = {"compression": "zstd", "parquet.enable.dictionary": "false"}
+_FEATURES_PLAIN = {"compression": "zstd", **{f"parquet.enable.dictionary#{c}": "false" for c in ("id", "at", "cls_a", "cls_b", "tag", "keys.list.element")}}
+#: Partitions of a table that a task writes at once instead of sorting its rows by them; beyond that it sorts.
+WRITERS = 8
 
 _FEATURES = "cls_a long, cls_b long, tag long, size int, words array<int>, keys array<long>"
 
@@ -130,6 +136,19 @@ def _groups_sorted(row: np.ndarray, *by: np.ndarray) -> tuple[np.ndarray, np.nda
     return order, np.arange(len(row)) - np.searchsorted(at, at)
 
 
+def _sorted_hashes(row: np.ndarray, hashes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) by row and hash, each once: one number orders nearly all, and a full sort those it leaves open."""
+    bits = np.uint64(max(1, rows.bit_length()))
+    order = np.argsort(row.astype(np.uint64) << (np.uint64(64) - bits) | hashes >> bits)
+    row, hashes = row[order], hashes[order]
+    same = row[1:] == row[:-1]
+    if (same & (hashes[1:] < hashes[:-1])).any():
+        order = np.lexsort((hashes, row))
+        row, hashes = row[order], hashes[order]
+    once = np.append(True, ~same | (hashes[1:] != hashes[:-1]))[: len(row)]
+    return row[once], hashes[once]
+
+
 def _rarest(row: np.ndarray, words: np.ndarray, n: np.ndarray, ranks) -> tuple[np.ndarray, np.ndarray]:
     """(row, key): so many of the rarest words of each short record that any match has one of them among its own."""
     num, den = SHARE
@@ -161,9 +180,7 @@ def _featurise(ranks):
             number = np.fromiter(map(vocabulary.__getitem__, chain.from_iterable(found)), np.int64, int(sizes.sum()))
             hashes, ends, width = np.array(vocabulary.hashes, np.uint64)[number], np.array(vocabulary.ends, bool)[number], np.array(vocabulary.sizes, np.int64)[number]
             row = np.repeat(np.arange(len(found)), sizes)
-            order, _ = _groups_sorted(row, hashes)
-            fresh = np.append(True, (row[order][1:] != row[order][:-1]) | (hashes[order][1:] != hashes[order][:-1]))[: len(order)]
-            distinct, of = hashes[order][fresh], row[order][fresh]
+            of, distinct = _sorted_hashes(row, hashes, len(found))
             enough = np.bincount(of, minlength=len(found)) >= LEAST_WORDS
             place = np.cumsum(enough) - 1
             keep = np.nonzero(enough)[0]
@@ -180,15 +197,12 @@ def _featurise(ranks):
             cls = np.frombuffer(b"".join([xxhash.xxh128_digest(whole[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]), np.int64).reshape(-1, 2)
             last, keys = _chunks(hashes, ends, width, np.append(True, row[1:] != row[:-1]))
             rare_row, rare = _rarest(of, distinct, n, ranks.value if ranks else None)
-            key_row, keys = np.append(row[last], rare_row), np.append(keys, rare)
-            order, _ = _groups_sorted(key_row, keys)
-            key_row, keys = key_row[order], keys[order]
-            once = np.append(True, (key_row[1:] != key_row[:-1]) | (keys[1:] != keys[:-1]))
+            key_row, keys = _sorted_hashes(np.append(row[last], rare_row), np.append(keys, rare), rows)
             take = pa.array(keep)
             yield pa.RecordBatch.from_arrays(
                 [
                     *[b[x].take(take) for x in ("id", "base", "at")], pa.array(cls[:, 0]), pa.array(cls[:, 1]), pa.array(tags), pa.array(np.bincount(row, width, rows).astype(np.int32)),
-                    _lists(of, pa.array((distinct >> np.uint64(32)).astype(np.uint32).view(np.int32)), rows), _lists(key_row[once], pa.array(keys[once].view(np.int64)), rows),
+                    _lists(of, pa.array((distinct >> np.uint64(32)).astype(np.uint32).view(np.int32)), rows), _lists(key_row, pa.array(keys.view(np.int64)), rows),
                 ],
                 ["id", "base", "at", "cls_a", "cls_b", "tag", "size", "words", "keys"],
             )
@@ -224,6 +238,11 @@ def records(texts: DataFrame, ranks=None) -> DataFrame:
 CLS = ["cls_a", "cls_b"]
 
 
+def _kept(df: DataFrame, label: str) -> DataFrame:
+    """materialize(df) for tables of hashes."""
+    return materialize(df, label, **_PLAIN)
+
+
 def _small(df: DataFrame) -> DataFrame:
     """df, to be broadcast if it has at most BROADCAST_ROWS rows of (at most) 16 bytes."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -231,30 +250,44 @@ def _small(df: DataFrame) -> DataFrame:
 
 def _one_of_each(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(the first row of each class by (at, id), ids of the others). Only hashes move, and ids of classes with several."""
-    several = _small(materialize(rows.groupBy(*CLS).count().where("count > 1").select(*CLS), "several"))
+    several = _kept(rows.groupBy(*CLS).count().where("count > 1").select(*CLS), "several")
+    if several.isEmpty():
+        return rows, rows.select("id").where(F.lit(False))
+    several = _small(several)
     first = rows.join(several, CLS, "left_semi").groupBy(*CLS).agg(F.min(F.struct("at", "id")).getField("id").alias("first"))
-    copies = materialize(rows.select("id", *CLS).join(first, CLS).where("id <> first").select("id"), "copies")
+    copies = _kept(rows.select("id", *CLS).join(first, CLS).where("id <> first").select("id"), "copies")
     return rows.join(_small(copies), "id", "left_anti"), copies
 
 
-def _may_match(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Necessary conditions from sizes and word bitmaps of tags: no match is lost by them."""
+def _limits() -> np.ndarray:
+    """By (x, y) numbers of words: bits that the maps of matching texts differ in are fewer. 0: they never match."""
     num, den = SHARE
-    x, y = (a & np.uint64(TOP_WORDS)).astype(np.int16), (b & np.uint64(TOP_WORDS)).astype(np.int16)
-    apart = np.bitwise_count((a ^ b) >> np.uint64(WORD_BITS)).astype(np.int16)
-    most = np.maximum(x, y)
-    return ((np.minimum(x, y) * den >= most * num) & (apart * (den + num) <= (x + y) * (den - num))) | (most == TOP_WORDS)
+    x, y = np.ogrid[: TOP_WORDS + 1, : TOP_WORDS + 1]
+    fewer = np.where(np.minimum(x, y) * den >= np.maximum(x, y) * num, (x + y) * (den - num) // (den + num) + 1, 0)
+    fewer[TOP_WORDS], fewer[:, TOP_WORDS] = MAP_BITS + 1, MAP_BITS + 1
+    return np.minimum(fewer, MAP_BITS + 1).astype(np.uint8)
 
 
+#: Necessary conditions from sizes and word bitmaps of tags: no match is lost by them.
+_LIMITS = _limits()
 #: What a posting is to its tile: known, new, new to be compared with the others only, new for the others to compare.
 KNOWN, NEW, SEEKING, SOUGHT = range(4)
-_AT_ONCE = 1 << 21
+#: A posting is a tag with its role in the two bits above.
+_ROLE_BIT = WORD_BITS + MAP_BITS
+#: Pairs that are compared at once: few enough to stay in a processor's cache.
+_AT_ONCE = 1 << 17
 
 
-def _pairs_of(k: np.ndarray, tile: np.ndarray, tag: np.ndarray, role: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Pairs (x new, y) of whole groups of postings of equal (k, tile), sorted by these."""
-    starts = np.nonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (tile[1:] != tile[:-1])]))[0]
+def _posting(role: int) -> Column:
+    return F.col("tag").bitwiseOR(F.lit(role - 4 * (role > 1)) * F.lit(1 << _ROLE_BIT).cast("long"))
+
+
+def _pairs_of(k: np.ndarray, posting: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs (x new, y) of whole groups of postings of equal k, sorted by these."""
+    starts = np.nonzero(np.append(True, k[1:] != k[:-1]))[0]
     sizes = np.diff(np.append(starts, len(k)))
+    role, tag = posting >> np.uint64(_ROLE_BIT), posting & np.uint64((1 << _ROLE_BIT) - 1)
+    n, maps = (tag & np.uint64(TOP_WORDS)).astype(np.int32), tag >> np.uint64(WORD_BITS)
     seeks, new = (role == NEW) | (role == SEEKING), role != KNOWN
     asked = np.add.reduceat(seeks.astype(np.int64), starts)
 
@@ -265,12 +298,16 @@ def _pairs_of(k: np.ndarray, tile: np.ndarray, tag: np.ndarray, role: np.ndarray
 
     wide = asked * sizes > 4096
     for g in np.nonzero(wide)[0]:
-        every = np.arange(starts[g], starts[g] + sizes[g])
-        seeking = every[seeks[every]]
-        step = max(1, _AT_ONCE // len(every))
-        for i in range(0, len(seeking), step):
-            x, y = np.nonzero(_may_match(tag[seeking[i : i + step], None], tag[None, every]))
-            yield out(seeking[i : i + step][x], every[y])
+        at, m = starts[g], sizes[g]
+        every = maps[at : at + m]
+        seeking = at + np.nonzero(seeks[at : at + m])[0]
+        kinds, kind = np.unique(n[seeking], return_inverse=True)
+        limits = _LIMITS[kinds[:, None], n[None, at : at + m]]
+        step = max(1, _AT_ONCE // m)
+        met = [i * m + np.flatnonzero(np.bitwise_count(maps[seeking[i : i + step], None] ^ every) < limits[kind[i : i + step]]) for i in range(0, len(seeking), step)]
+        for i in range(0, len(met), 64):
+            x, y = np.divmod(np.concatenate(met[i : i + 64]), m)
+            yield out(seeking[x], at + y)
     group = np.repeat(np.arange(len(starts)), sizes)
     seeking = np.nonzero(seeks & ~wide[group] & (sizes[group] > 1))[0]
     ends = np.cumsum(sizes[group[seeking]])
@@ -279,64 +316,68 @@ def _pairs_of(k: np.ndarray, tile: np.ndarray, tag: np.ndarray, role: np.ndarray
         done = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, done + _AT_ONCE)))
         some = seeking[at:to]
-        n = sizes[group[some]]
-        x = np.repeat(some, n)
-        y = np.repeat(starts[group[some]] - (ends[at:to] - n - done), n) + np.arange(len(x))
-        near = _may_match(tag[x], tag[y])
+        m = sizes[group[some]]
+        x = np.repeat(some, m)
+        y = np.repeat(starts[group[some]] - (ends[at:to] - m - done), m) + np.arange(len(x))
+        near = np.bitwise_count(maps[x] ^ maps[y]) < _LIMITS[n[x], n[y]]
         yield out(x[near], y[near])
         at = to
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings (k, tile, tag, role) sorted by (k, tile) to pairs; a group has about 2 * HOT rows at most."""
+    """Postings (k, tag with role) sorted by k to pairs; a group has about 2 * HOT rows at most."""
     held = None
     for b in batches:
         if not b.num_rows:
             continue
-        now = [b[x].to_numpy() for x in ("k", "tile", "tag", "role")]
+        now = [b["k"].to_numpy(), b["tag"].to_numpy()]
         now = now if held is None else [np.concatenate(z) for z in zip(held, now, strict=True)]
-        last = int(np.nonzero(np.concatenate([[True], (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])]))[0][-1])
+        last = int(np.searchsorted(now[0], now[0][-1]))
         held = [z[last:] for z in now]
         if last:
-            k, tile, tag, role = (z[:last] for z in now)
-            yield from _pairs_of(k, tile, tag.view(np.uint64), role)
+            yield from _pairs_of(now[0][:last], now[1][:last].view(np.uint64))
     if held is not None:
-        k, tile, tag, role = held
-        yield from _pairs_of(k, tile, tag.view(np.uint64), role)
+        yield from _pairs_of(held[0], held[1].view(np.uint64))
+
 
+def _one_of(rows: DataFrame, n: int) -> DataFrame:
+    """The rows of one of n tags; those of one of a multiple of n are among them."""
+    return rows.where(F.pmod(F.xxhash64("tag"), F.lit(n)) == 0)
 
-def _counted(keys: DataFrame) -> DataFrame:
-    """(k, n) of (tag, keys): about how many rows hold the keys that many do, from one of COUNTED classes."""
-    some = keys.where(F.pmod(F.xxhash64("tag"), F.lit(COUNTED)) == 0).select(F.explode("keys").alias("k"))
-    return some.groupBy("k").agg((F.count(F.lit(1)) * COUNTED).alias("n")).where(F.col("n") > COUNTED)
+
+def _counted(some: DataFrame) -> DataFrame:
+    """(k, n) of keys of one of COUNTED classes: about how many rows hold the keys that many do."""
+    return some.select(F.explode("keys").alias("k")).groupBy("k").agg((F.count(F.lit(1)) * COUNTED).alias("n")).where(F.col("n") > COUNTED)
 
 
 def _tiled(known: DataFrame, new: DataFrame, counts: DataFrame) -> DataFrame:
-    """(k, tile, tag, role) of postings (k, tag): keys with more than HOT are split so that each pair meets once.
+    """(k, tag with role) of postings (k, tag): keys with more than HOT are split so that each pair meets once.
 
-    counts are (k, n, fresh): rows of keys and new rows of keys; keys that few hold may be missing.
+    counts are (k, n, fresh): rows of keys and new rows of keys; keys that few hold may be missing. A tile's number is
+    hashed into its key, whose lowest eight bits stay.
     """
     some = counts.groupBy("k").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("fresh"), F.col("n")).otherwise(0)).alias("fresh"))
     parts = lambda c: F.ceil(F.col(c) / F.lit(HOT)).cast("int")
-    hot = materialize(some.where(F.col("all") > HOT).select("k", F.greatest(parts("fresh"), F.lit(1)).alias("rows"), parts("all").alias("cols")), "hot")
+    hot = _kept(some.where(F.col("all") > HOT).select("k", F.greatest(parts("fresh"), F.lit(1)).alias("rows"), parts("all").alias("cols")), "hot")
     most = hot.agg(F.max("rows")).first()[0]
     if most is None:
-        plain = lambda df, role: df.select("k", F.lit(0).alias("tile"), "tag", F.lit(role).alias("role"))
+        plain = lambda df, role: df.select("k", _posting(role).alias("tag"))
         return plain(known, KNOWN).unionByName(plain(new, NEW))
     hot = _small(hot)
     known, new = known.join(hot, "k", "left"), new.join(hot, "k", "left")
     row, col = F.pmod(F.xxhash64("tag", F.lit(1)), F.col("rows")), F.pmod(F.xxhash64("tag", F.lit(2)), F.col("cols"))
     below = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    place = lambda tile, role: F.struct(tile.cast("int").alias("tile"), F.lit(role).alias("role"))
-    seeking = F.transform(below("cols"), lambda j: place(row * F.col("cols") + j, SEEKING))
-    sought = F.transform(below("rows"), lambda i: place(i * F.col("cols") + col, SOUGHT))
-    new = new.select("k", "tag", F.explode(F.when(F.col("rows").isNull(), F.array(place(F.lit(0), NEW))).otherwise(F.concat(seeking, sought))).alias("p")).select("k", "p.tile", "tag", "p.role")
+    split = lambda tile: F.xxhash64("k", tile).bitwiseAND(F.lit(-256)).bitwiseOR(F.col("k").bitwiseAND(F.lit(255)))
+    place = lambda k, role: F.struct(k.alias("k"), _posting(role).alias("tag"))
+    seeking = F.transform(below("cols"), lambda j: place(split(row * F.col("cols") + j), SEEKING))
+    sought = F.transform(below("rows"), lambda i: place(split(i * F.col("cols") + col), SOUGHT))
+    new = new.select(F.explode(F.when(F.col("rows").isNull(), F.array(place(F.col("k"), NEW))).otherwise(F.concat(seeking, sought))).alias("p")).select("p.k", "p.tag")
     if most > 1:
         known = known.withColumn("row", F.explode(F.when(F.col("rows").isNull(), F.array(F.lit(0))).otherwise(below("rows"))))
     else:
         known = known.withColumn("row", F.lit(0))
-    tile = F.when(F.col("rows").isNull(), 0).otherwise(F.col("row") * F.col("cols") + col).cast("int")
-    return known.select("k", tile.alias("tile"), "tag", F.lit(KNOWN).alias("role")).unionByName(new)
+    k = F.when(F.col("rows").isNull(), F.col("k")).otherwise(split(F.col("row") * F.col("cols") + col))
+    return known.select(k.alias("k"), _posting(KNOWN).alias("tag")).unionByName(new)
 
 
 def _hot_words(keys: np.ndarray):
@@ -385,6 +426,8 @@ def _split(shared):
                 row, k = _hot_hits(keys, b["keys"])
                 if not len(row):
                     continue
+                hit, row = np.unique(row, return_inverse=True)
+                b = b.select(["tag", "words"]).take(pa.array(hit))
                 flat, (starts, n) = b["words"].flatten().to_numpy().view(np.uint32).astype(np.int64), _spans(b["words"])
                 i = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
                 rank = np.where(known[i] == flat, counts[i], 0) if len(known) else np.zeros(len(flat), np.int64)
@@ -420,17 +463,29 @@ def _refused(edges: DataFrame) -> DataFrame | None:
     rounds = 0
     while not edges.isEmpty():
         waiting = edges.select(F.col("late").alias("early"), F.lit(True).alias("waits")).distinct()
-        edges = materialize(edges.join(waiting, "early", "left"), f"round-{rounds}")
+        edges = _kept(edges.join(waiting, "early", "left"), f"round-{rounds}")
         out = edges.where("waits IS NULL").select(F.col("late").alias("c")).distinct()
         refused = out if refused is None else refused.unionByName(out)
         edges = edges.where("waits").drop("waits")
         for end in ("early", "late"):
             edges = edges.join(out.withColumnRenamed("c", end), end, "left_anti")
-        edges = materialize(edges, f"edges-{rounds}")
+        edges = _kept(edges, f"edges-{rounds}")
         rounds += 1
     return None if refused is None else refused.distinct()
 
 
+@contextmanager
+def _writers(spark: SparkSession) -> Iterator[None]:
+    """Let tasks write up to WRITERS partitions of a table at once, without a sort."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(WRITERS))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class ChunkStore:
     """What was accepted so far, in a folder: a table from chunks to records, and the records' features.
 
@@ -458,13 +513,18 @@ class ChunkStore:
         """Features of all records that are known."""
         return self._table("records", f"id string, at long, {_FEATURES}, bucket int")
 
+    def _sampled(self) -> DataFrame:
+        """Words and keys of one of COUNTED classes."""
+        return self._table("sampled", "tag long, words array<int>, keys array<long>")
+
     def append(self, rows: DataFrame, fresh: bool = False) -> None:
         """Accept records() rows as known; chunks of a class that is known already are not entered again.
 
         fresh says that each row is of a class of its own that isn't known.
         """
         path = f"{self.path}/incoming-{uuid.uuid4().hex}"
-        rows.drop("base").withColumn("bucket", self._bucket("tag")).write.option("compression", "zstd").partitionBy("bucket").parquet(path)
+        with _writers(self.spark):
+            rows.drop("base").withColumn("bucket", self._bucket("tag")).write.options(**_FEATURES_PLAIN).partitionBy("bucket").parquet(path)
         one = self.spark.read.schema(f"id string, at long, {_FEATURES}, bucket int").parquet(path)
         if not fresh:
             one, copies = _one_of_each(one)
@@ -474,8 +534,9 @@ class ChunkStore:
                 one = one.join(before, [*CLS, "bucket"], "left_anti")
             copies.write.mode("append").parquet(f"{self.path}/copies")
         keys = one.select(F.explode("keys").alias("k"), "tag").withColumn("bucket", self._bucket("k"))
-        keys.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").mode("append").partitionBy("bucket").parquet(f"{self.path}/chunks")
-        _counted(one).coalesce(1).write.mode("append").parquet(f"{self.path}/frequent")
+        with _writers(self.spark):
+            keys.write.options(**_PLAIN).mode("append").partitionBy("bucket").parquet(f"{self.path}/chunks")
+        _one_of(one, COUNTED).select("tag", "words", "keys").write.options(**_PLAIN).mode("append").parquet(f"{self.path}/sampled")
         self._move(path, f"{self.path}/records")
 
     def _move(self, path: str, to: str) -> None:
@@ -498,22 +559,29 @@ class ChunkStore:
     def candidates(self, reps: DataFrame) -> DataFrame:
         """(x new, y, y_new, n): tags of classes that share n bytes in chunks, as far as their tags allow a match."""
         mine = reps.select(F.explode("keys").alias("k"), "tag")
-        wanted = materialize(mine.select("k").distinct(), "keys")
+        wanted = _kept(mine.select("k").distinct(), "keys")
         stored = self._in_buckets(self.chunks(), wanted, "k").select("k", "tag")
-        if wanted.count() <= BROADCAST_ROWS:
-            stored = stored.join(F.broadcast(wanted), "k", "left_semi")
-        counts = _counted(reps).withColumn("fresh", F.lit(True)).unionByName(self._table("frequent", "k long, n long").withColumn("fresh", F.lit(False)))
+        counts = _counted(_one_of(reps, COUNTED)).withColumn("fresh", F.lit(True)).unionByName(_counted(self._sampled()).withColumn("fresh", F.lit(False)))
+        counts = _kept(counts, "counts")
         hot = counts.groupBy("k").agg(F.sum("n").alias("n"), F.max("fresh").alias("fresh")).where(F.col("n") > HOT).where("fresh").select("k").collect()  # fewer than postings / HOT
-        if hot:
-            stored, mine, counts = self._split_hot(np.sort(np.array([r.k for r in hot], np.int64)), reps, stored, mine, counts)
-        tiled = _tiled(stored, mine, counts).repartition("k", "tile").sortWithinPartitions("k", "tile")
+        few, hot = wanted.count() <= BROADCAST_ROWS, np.sort(np.array([r.k for r in hot], np.int64))
+        if len(hot):
+            listed = F.broadcast(self.spark.createDataFrame([(int(k),) for k in hot], "k long"))
+            wanted, mine, counts = (df.join(listed, "k", "left_anti") for df in (wanted, mine, counts))
+            stored = stored if few else stored.join(listed, "k", "left_anti")
+        if few:
+            stored = stored.join(F.broadcast(wanted), "k", "left_semi")
+        if len(hot):
+            known, new, sizes = self._split_hot(hot, reps)
+            stored, mine, counts = stored.unionByName(known), mine.unionByName(new), counts.unionByName(sizes)
+        tiled = _tiled(stored, mine, counts).repartition("k").sortWithinPartitions("k")
         return tiled.mapInArrow(_compare, "x long, y long, y_new boolean, n int").groupBy("x", "y", "y_new").agg(F.sum("n").alias("n"))
 
-    def _split_hot(self, keys: np.ndarray, reps: DataFrame, stored: DataFrame, mine: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Postings of known and of new records and their counts, with those of the sorted frequent keys split by words."""
+    def _split_hot(self, keys: np.ndarray, reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Postings of known and of new records that hold the sorted frequent keys, split by words, and their counts."""
         known = self.accepted().join(_small(self._table("copies", "id string")), "id", "left_anti")
-        few = known.select("tag", "words", "keys").unionByName(reps.select("tag", "words", "keys")).where(F.pmod(F.xxhash64("tag", F.lit(3)), F.lit(HELD_SAMPLE)) == 0)
-        held = materialize(few.mapInArrow(_hot_words(keys), "k long, w int").groupBy("k", "w").count(), "held-words")
+        few = _one_of(self._sampled().unionByName(reps.select("tag", "words", "keys")), HELD_SAMPLE)
+        held = _kept(few.mapInArrow(_hot_words(keys), "k long, w int").groupBy("k", "w").count(), "held-words")
         most = held.where("k IS NOT NULL").groupBy("k").agg(F.max("count").alias("most"))  # about the holders in the sample
         common = held.join(F.broadcast(most), "k").where("2 * count > most AND most > 7").select("k", "w").collect()  # a few for each key
         ranks = held.where("k IS NULL AND count > 1").orderBy(F.desc("count"), "w").limit(RANKED).select("w", "count").collect()  # bounded by RANKED
@@ -522,20 +590,18 @@ class ChunkStore:
         ranked = sorted((r.w & 0xFFFFFFFF, r["count"]) for r in ranks)
         shared = self.spark.sparkContext.broadcast((keys, codes, np.array([w for w, _ in ranked], np.int64), np.array([n for _, n in ranked], np.int64)))
         split = lambda rows: rows.select("tag", "words", "keys").mapInArrow(_split(shared), "k long, tag long")
-        new = materialize(split(reps), "split-new")
-        old = split(known).join(_small(materialize(new.select("k").distinct(), "split-keys")), "k", "left_semi")
-        old = materialize(old, "split-known")
-        hot = F.broadcast(self.spark.createDataFrame([(int(k),) for k in keys], "k long"))
-        rest = lambda df: df.join(hot, "k", "left_anti")
+        new = _kept(split(reps), "split-new")
+        old = split(known).join(_small(_kept(new.select("k").distinct(), "split-keys")), "k", "left_semi")
+        old = _kept(old, "split-known")
         sizes = lambda df, fresh: df.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COUNTED).withColumn("fresh", F.lit(fresh))
-        return rest(stored).unionByName(old), rest(mine).unionByName(new.select("k", "tag")), rest(counts).unionByName(sizes(new, True)).unionByName(sizes(old, False))
+        return old, new, sizes(new, True).unionByName(sizes(old, False))
 
     def similar(self, reps: DataFrame) -> DataFrame:
         """(a, b, b_new): classes (structs) of a batch with those that match them, known ones and others of the batch."""
-        met = materialize(self.candidates(reps), "candidates")
+        met = _kept(self.candidates(reps), "candidates")
         look = lambda rows: rows.select(F.col("tag"), F.struct(*CLS).alias("cls"), "size", "words")
         mine = look(reps)
-        wanted = materialize(met.where("NOT y_new").select(F.col("y").alias("tag")).distinct(), "wanted")
+        wanted = _kept(met.where("NOT y_new").select(F.col("y").alias("tag")).distinct(), "wanted")
         # one record of each class: its copies have the same words
         known = self._in_buckets(self.accepted(), wanted, "tag").join(_small(wanted), "tag", "left_semi").join(_small(self._table("copies", "id string")), "id", "left_anti")
         known = look(known)
@@ -554,32 +620,34 @@ class ChunkStore:
         A record becomes known only if nothing matched it. rows are records() with unique ids. An empty batch or store
         gives no matches; records of the batch are still matched with each other.
         """
-        rows = materialize(rows.withColumn("base", F.lit(False)), "batch")
+        rows = materialize(rows.withColumn("base", F.lit(False)), "batch", **_FEATURES_PLAIN)
         reps, _ = _one_of_each(rows)
-        pairs = materialize(self.similar(reps), "pairs")
-        info = rows.groupBy(*CLS).agg(F.min(F.struct("at", "id")).alias("first"), F.first("tag").alias("tag")).select(F.struct(*CLS).alias("cls"), "tag", "first")
-        info = materialize(info, "classes")
+        pairs = _kept(self.similar(reps), "pairs")
+        info = rows.groupBy(*CLS).agg(F.min(F.struct("at", "id")).alias("first"), F.count(F.lit(1)).alias("n")).select(F.struct(*CLS).alias("cls"), "first", "n")
+        info = _kept(info, "classes")
         touched = pairs.where("NOT b_new").select("b.*").unionByName(info.select("cls.*")).distinct()
-        ids = self.accepted().select(*CLS, F.col("id").alias("known_id")).join(_small(materialize(touched, "touched")), CLS, "left_semi")
-        ids = materialize(ids.select(F.struct(*CLS).alias("cls"), "known_id"), "known-ids")
+        ids = self.accepted().select(*CLS, F.col("id").alias("known_id")).join(_small(_kept(touched, "touched")), CLS, "left_semi")
+        ids = _kept(ids.select(F.struct(*CLS).alias("cls"), "known_id"), "known-ids")
         blocked = pairs.where("NOT b_new").select(F.col("a").alias("cls")).unionByName(ids.select("cls")).distinct()
-        free = materialize(info.join(blocked, "cls", "left_anti").select("cls", "first"), "free")
+        free = _kept(info.join(blocked, "cls", "left_anti").select("cls", "first"), "free")
         first = lambda side: free.select(F.col("cls").alias(side), F.col("first").alias(f"{side}_first"))
         inner = pairs.where("b_new").join(first("a"), "a").join(first("b"), "b")
         ordered = F.col("a_first") < F.col("b_first")
         edges = inner.select(F.when(ordered, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(ordered, F.col("b")).otherwise(F.col("a")).alias("late")).distinct()
-        refused = _refused(materialize(edges, "edges"))
+        refused = _refused(_kept(edges, "edges"))
         accepted = free if refused is None else free.join(refused.withColumnRenamed("c", "cls"), "cls", "left_anti")
-        accepted = materialize(accepted.select("cls", "first"), "accepted")
+        accepted = _kept(accepted.select("cls", "first"), "accepted")
 
         new = rows.select("id", F.struct("at", "id").alias("order"), F.struct(*CLS).alias("cls"))
         known = ids.select("cls", "known_id", F.lit(None).cast("struct<at:bigint,id:string>").alias("since"))
         known = known.unionByName(accepted.select("cls", F.col("first.id").alias("known_id"), F.col("first").alias("since")))
         reach = pairs.select(F.col("a").alias("cls"), F.col("b").alias("to")).unionByName(pairs.where("b_new").select(F.col("b").alias("cls"), F.col("a").alias("to")))
-        reach = reach.unionByName(info.select("cls", F.col("cls").alias("to"))).distinct().join(known.withColumnRenamed("cls", "to"), "to").select("cls", "known_id", "since")
+        # records of one class match it as well if it is known, or has several
+        own = info.where("n > 1").select("cls").unionByName(ids.select("cls"))
+        reach = reach.unionByName(own.select("cls", F.col("cls").alias("to"))).distinct().join(known.withColumnRenamed("cls", "to"), "to").select("cls", "known_id", "since")
         found = new.join(reach, "cls").where(F.col("since").isNull() | (F.col("since") < F.col("order"))).select("id", "known_id")
-        found = materialize(found, "matches")
-        self.append(rows.join(accepted.select(F.col("first.id").alias("id")), "id", "left_semi"), fresh=True)
+        found = _kept(found, "matches")
+        self.append(rows.join(_small(accepted.select(F.col("first.id").alias("id"))), "id", "left_semi"), fresh=True)
         return found
 
 
@@ -599,10 +667,10 @@ def claim_texts(items: DataFrame, discarded: DataFrame) -> tuple[DataFrame, Data
     null = lambda kind: F.lit(None).cast(kind)
     items = items.where("id IS NOT NULL").select("id", "updated_at", "text")
     # only ids with several rows are shuffled with their texts
-    several = _small(materialize(items.groupBy("id").count().where("count > 1").select("id"), "several-rows"))
+    several = _small(_kept(items.groupBy("id").count().where("count > 1").select("id"), "several-rows"))
     known = items.join(several, "id", "left_anti").select("id", "text").unionByName(current_rows(items.join(several, "id", "left_semi"), "id", "updated_at", ["text"]))
     known = known.select("id", F.lit(True).alias("base"), null("long").alias("at"), "text", null("string").alias("payload"))
-    rows = materialize(current_rows(discarded, "id", "discarded_at", ["discarded_at", "payload"]), "discards")
+    rows = _kept(current_rows(discarded, "id", "discarded_at", ["discarded_at", "payload"]), "discards")
     at = F.unix_micros(F.col("discarded_at").cast("timestamp"))
     rows = rows.select("id", at.isNull().alias("base"), at.alias("at"), null("string").alias("text"), F.coalesce("payload", F.lit("")).alias("payload"))
     return known.unionByName(rows.where("base")), rows.where("NOT base")
