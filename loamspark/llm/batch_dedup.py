@@ -612,7 +612,7 @@ class ChunkStore:
         wx, wy = F.col("x_of.words"), F.col("y_of.words")
         common = F.size(F.array_intersect(wx, wy))
         num, den = SHARE
-        return covered.where(common * den >= (F.size(wx) + F.size(wy) - common) * num).select(F.col("x_of.cls").alias("a"), F.col("y_of.cls").alias("b"), F.col("y_new").alias("b_new"))
+        return covered.where(common * (den + num) >= (F.size(wx) + F.size(wy)) * num).select(F.col("x_of.cls").alias("a"), F.col("y_of.cls").alias("b"), F.col("y_new").alias("b_new"))
 
     def add_batch(self, rows: DataFrame) -> DataFrame:
         """(id, known_id): matches of each record with all that is known before it, in the order of (at, id).
@@ -643,9 +643,9 @@ class ChunkStore:
         known = known.unionByName(accepted.select("cls", F.col("first.id").alias("known_id"), F.col("first").alias("since")))
         reach = pairs.select(F.col("a").alias("cls"), F.col("b").alias("to")).unionByName(pairs.where("b_new").select(F.col("b").alias("cls"), F.col("a").alias("to")))
         # records of one class match it as well if it is known, or has several
-        own = info.where("n > 1").select("cls").unionByName(ids.select("cls"))
-        reach = reach.unionByName(own.select("cls", F.col("cls").alias("to"))).distinct().join(known.withColumnRenamed("cls", "to"), "to").select("cls", "known_id", "since")
-        found = new.join(reach, "cls").where(F.col("since").isNull() | (F.col("since") < F.col("order"))).select("id", "known_id")
+        own = info.where("n > 1").select("cls").unionByName(ids.select("cls")).distinct()
+        reach = reach.unionByName(own.select("cls", F.col("cls").alias("to"))).join(known.withColumnRenamed("cls", "to"), "to").select("cls", "known_id", "since")
+        found = new.join(reach, "cls").where(F.col("since").isNull() | (F.col("since") < F.col("order"))).select("id", "known_id").distinct()
         found = _kept(found, "matches")
         self.append(rows.join(_small(accepted.select(F.col("first.id").alias("id"))), "id", "left_semi"), fresh=True)
         return found
@@ -662,15 +662,19 @@ def match_in_order(rows: DataFrame) -> DataFrame:
     return store.add_batch(rows.where("NOT base"))
 
 
+def _current(rows: DataFrame, order: str, fields: list[str]) -> DataFrame:
+    """current_rows() by id; only ids with several rows are shuffled with their texts."""
+    rows = rows.where("id IS NOT NULL").select("id", order, *[f for f in fields if f != order])
+    several = _small(_kept(rows.groupBy("id").count().where("count > 1").select("id"), "several-rows"))
+    return rows.join(several, "id", "left_anti").select("id", *fields).unionByName(current_rows(rows.join(several, "id", "left_semi"), "id", order, fields))
+
+
 def claim_texts(items: DataFrame, discarded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, base, at, text, payload) of what is known from the start, and of dated discards."""
     null = lambda kind: F.lit(None).cast(kind)
-    items = items.where("id IS NOT NULL").select("id", "updated_at", "text")
-    # only ids with several rows are shuffled with their texts
-    several = _small(_kept(items.groupBy("id").count().where("count > 1").select("id"), "several-rows"))
-    known = items.join(several, "id", "left_anti").select("id", "text").unionByName(current_rows(items.join(several, "id", "left_semi"), "id", "updated_at", ["text"]))
+    known = _current(items, "updated_at", ["text"])
     known = known.select("id", F.lit(True).alias("base"), null("long").alias("at"), "text", null("string").alias("payload"))
-    rows = _kept(current_rows(discarded, "id", "discarded_at", ["discarded_at", "payload"]), "discards")
+    rows = materialize(_current(discarded, "discarded_at", ["discarded_at", "payload"]), "discards")
     at = F.unix_micros(F.col("discarded_at").cast("timestamp"))
     rows = rows.select("id", at.isNull().alias("base"), at.alias("at"), null("string").alias("text"), F.coalesce("payload", F.lit("")).alias("payload"))
     return known.unionByName(rows.where("base")), rows.where("NOT base")

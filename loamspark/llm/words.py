@@ -6,10 +6,12 @@ import re
 import unicodedata
 
 _find = re.compile(r"[^\W_]+").findall
+#: ASCII characters in lower case, with spaces for all but letters and digits.
+_spaced = "".join(chr(c).lower() if chr(c).isalnum() else " " for c in range(128))
 
 
 def words(text: str | None) -> list[str]:
     """Words in order; none for null."""
     if not text:
         return []
-    return _find(text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).lower())
+    return text.translate(_spaced).split() if text.isascii() else _find(unicodedata.normalize("NFKC", text).lower())

@@ -1,5 +1,8 @@
+import re
+
 import numpy as np
 from loamspark.llm import batch_dedup as b
+from loamspark.llm.words import words
 
 
 def test_limits_equal_the_conditions_on_sizes_and_maps():
@@ -50,3 +53,37 @@ def test_a_table_in_buckets_is_written_without_a_sort(spark, tmp_path):
     store.append(b.records(spark.createDataFrame(rows, "id string, base boolean, at long, text string, payload string")))
     assert store.accepted().count() == 50 and store.accepted().select("bucket").distinct().count() > b.WRITERS
     assert store._sampled().count() <= 50
+
+
+def test_current_rows_shuffle_no_text_of_single_rows(spark):
+    rows = spark.createDataFrame([("a", "2026-01-01", "x"), ("a", "2026-01-02", "y"), ("b", None, "z"), ("c", "2026-01-01", None), (None, "2026-01-01", "n"), ("d", None, "p"), ("d", None, "q"), ("d", "2025-01-01", "r")], "id string, discarded_at string, payload string")
+    got = b._current(rows, "discarded_at", ["discarded_at", "payload"])
+    assert sorted((tuple(r) for r in got.collect()), key=str) == [("a", "2026-01-02", "y"), ("b", None, "z"), ("c", "2026-01-01", None), ("d", "2025-01-01", "r")]
+    want = b.current_rows(rows, "id", "discarded_at", ["discarded_at", "payload"])
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_matches_of_a_batch_come_once(spark, tmp_path):
+    """Several texts with one tag, copies among them and of what is known: each match is one row."""
+    rows = [(f"k{i}", True, None, f"one two three four five six own{i % 3}", None, 7) for i in range(6)]
+    rows += [(f"n{i}", False, i, f"one two three four five six own{i % 4}", None, 7) for i in range(12)]
+    store = b.ChunkStore(spark, str(tmp_path / "store"))
+    schema = "id string, base boolean, at long, text string, payload string, n int"
+    store.append(b.records(spark.createDataFrame([r for r in rows if r[1]], schema)))
+    got = [tuple(r) for r in store.add_batch(b.records(spark.createDataFrame([r for r in rows if not r[1]], schema))).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(f"n{i}", f"k{j}") for i in range(12) for j in range(6)}
+
+
+def test_ascii_texts_have_the_words_of_the_expression():
+    for c in range(128):
+        text = f"Ab{chr(c)}cD{chr(c)} {chr(c)}{chr(c)}x_Y"
+        assert words(text) == re.findall(r"[^\W_]+", text.lower())
+        assert words(text + "é") == re.findall(r"[^\W_]+", (text + "é").lower())
+
+
+def test_copies_of_a_known_class_dont_multiply(spark):
+    """A class with many known copies meets its new copies once."""
+    text = "one two three four five six seven"
+    rows = [(f"k{i}", True, None, text, None, 7) for i in range(40)] + [(f"n{i}", False, i, text, None, 7) for i in range(30)]
+    got = b.match_in_order(b.records(spark.createDataFrame(rows, "id string, base boolean, at long, text string, payload string, n int")))
+    assert got.count() == 30 * 40
